@@ -8,10 +8,10 @@ The work grows with the tables.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
 from datetime import date
+from functools import cache, cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signalloom.plans.backtest import BENCHMARK
@@ -24,293 +24,260 @@ from signalloom.plans.fundamentals import (
 )
 from signalloom.sources.landing import normalise_universe, trading_sessions
 
+# Parameters of the health report on the test tables.
+HEALTH_AS_OF = date(2001, 11, 30)
+
+_PRICE = "l_extendedprice / l_quantity"
+
+
+def _decimals(units: str, places: int) -> str:
+    """SQL text of a whole number of units as a plain decimal number."""
+    scale = 10**places
+    return (
+        f"concat(cast({units} div {scale} as string), '.', "
+        f"lpad(cast({units} % {scale} as string), {places}, '0'))"
+    )
+
 
-@dataclass(frozen=True)
 class Market:
     """The views for one grain: a ticker per supplier or per nation."""
 
-    spark: SparkSession
-    folder: str
-    grain: str = "supplier"
+    def __init__(self, spark: SparkSession, folder: str, grain: str = "supplier"):
+        self.spark, self.folder, self.grain = spark, folder, grain
 
+    @cache  # noqa: B019 - a market lives as long as the query that is built from it
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    @property
     def constituents(self) -> DataFrame:
         """Member list as landed. Some companies have a second share class; at supplier grain
         one supplier in fifty is not a member."""
-        nation, region = self.table("nation"), self.table("region")
-        places = nation.join(region, nation.n_regionkey == region.r_regionkey)
+        places = self.table("nation").join(
+            self.table("region"), F.col("n_regionkey") == F.col("r_regionkey")
+        )
         if self.grain == "nation":
-            base = places.select(
-                F.translate("n_name", "_", ".").alias("symbol"),
-                F.col("n_name").alias("security"),
-                F.col("r_name").alias("sector"),
-                F.col("n_nationkey").alias("_key"),
-            )
+            key, symbol, name = "n_nationkey", "translate(n_name, '_', '.')", "n_name"
+            base = places
         else:
-            supplier = self.table("supplier").where(F.col("s_suppkey") % 50 != 49)
-            base = supplier.join(places, supplier.s_nationkey == places.n_nationkey).select(
-                F.concat(F.lit("S."), F.col("s_suppkey")).alias("symbol"),
-                F.col("s_name").alias("security"),
-                F.col("r_name").alias("sector"),
-                F.col("s_suppkey").alias("_key"),
+            key, symbol, name = "s_suppkey", "concat('S.', s_suppkey)", "s_name"
+            base = (
+                self.table("supplier")
+                .where("s_suppkey % 50 <> 49")
+                .join(places, F.col("s_nationkey") == F.col("n_nationkey"))
             )
-        classes = F.when(
-            F.col("_key") % 40 == 7, F.array(F.col("symbol"), F.concat("symbol", F.lit(".B")))
-        ).otherwise(F.array("symbol"))
-        return base.select(
-            F.explode(classes).alias("symbol"),
-            "security",
-            "sector",
-            F.col("_key").cast("string").alias("cik"),
+        return base.selectExpr(
+            f"explode(if({key} % 40 = 7, array({symbol}, concat({symbol}, '.B')), array({symbol})))"
+            " AS symbol",
+            f"{name} AS security",
+            "r_name AS sector",
+            f"cast({key} as string) AS cik",
         )
 
+    @cached_property
     def universe(self) -> DataFrame:
-        return normalise_universe(self.constituents())
+        return normalise_universe(self.constituents)
 
+    @cached_property
     def _lines(self) -> DataFrame:
         """Order lines with the ticker's key and name, price and date."""
-        lines = self.table("lineitem").select(
+        lines, key, name = self.table("lineitem"), "l_suppkey", "concat('S-', l_suppkey)"
+        if self.grain == "nation":
+            key, name = "cast(n_nationkey as bigint)", "translate(n_name, '_', '-')"
+            lines = lines.join(
+                self.table("supplier"), F.col("l_suppkey") == F.col("s_suppkey")
+            ).join(self.table("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+        return lines.selectExpr(
+            f"{key} AS key",
+            f"{name} AS name",
             "l_orderkey",
-            "l_suppkey",
             "l_quantity",
             "l_extendedprice",
             "l_discount",
-            F.to_date("l_shipdate").alias("date"),
-        )
-        if self.grain == "nation":
-            supplier = self.table("supplier").select("s_suppkey", "s_nationkey")
-            nation = self.table("nation").select("n_nationkey", "n_name")
-            return (
-                lines.join(supplier, lines.l_suppkey == supplier.s_suppkey)
-                .join(nation, F.col("s_nationkey") == nation.n_nationkey)
-                .withColumns(
-                    {
-                        "key": F.col("n_nationkey").cast("bigint"),
-                        "name": F.translate("n_name", "_", "-"),
-                    }
-                )
-            )
-        return lines.withColumns(
-            {"key": F.col("l_suppkey"), "name": F.concat(F.lit("S-"), F.col("l_suppkey"))}
+            "cast(l_shipdate as date) AS date",
         )
 
+    @property
     def stock_quotes(self) -> DataFrame:
         """Raw quotes with the disorder of a real feed: two date layouts, padded lower-case
         tickers, dollar amounts cut to cents, unreadable values, several rows per day."""
-        order = F.col("l_orderkey")
-        price = F.col("l_extendedprice") / F.col("l_quantity")
-        return self._lines().select(
-            F.when(order % 89 == 5, F.lit("1999-13-45"))
-            .when(order % 5 == 0, F.date_format("date", "MM/dd/yyyy"))
-            .otherwise(F.date_format("date", "yyyy-MM-dd"))
-            .alias("trade_date"),
-            F.when(order % 10 == 1, F.concat(F.lit(" "), F.lower("name"), F.lit(" ")))
-            .otherwise(F.col("name"))
-            .alias("ticker"),
-            F.when(order % 97 == 3, F.lit("n/a"))
-            .when(
-                order % 10 == 2,
-                F.concat(F.lit("$"), F.format_number(F.floor(price * 100) / 100, 2)),
-            )
-            .otherwise(F.format_string("%.4f", F.floor(price * 10000) / 10000))
-            .alias("close"),
-            F.col("l_quantity").alias("volume"),
+        priced = self._lines.selectExpr(
+            "*", f"floor({_PRICE} * 100) AS cents", f"floor({_PRICE} * 10000) AS units"
+        )
+        return priced.selectExpr(
+            """CASE WHEN l_orderkey % 89 = 5 THEN '1999-13-45'
+                    WHEN l_orderkey % 5 = 0 THEN date_format(date, 'MM/dd/yyyy')
+                    ELSE cast(date as string) END AS trade_date""",
+            "if(l_orderkey % 10 = 1, concat(' ', lower(name), ' '), name) AS ticker",
+            f"""CASE WHEN l_orderkey % 97 = 3 THEN 'n/a'
+                     WHEN l_orderkey % 10 = 2 THEN concat('$', format_number(cents / 100, 2))
+                     ELSE {_decimals('units', 4)} END AS close""",
+            "l_quantity AS volume",
             "date",
         )
 
+    @property
     def benchmark_quotes(self) -> DataFrame:
         """One clean row per day for the benchmark: the mean price, cut to cents."""
-        lines = self.table("lineitem")
-        cents = F.floor(F.col("l_extendedprice") / F.col("l_quantity") * 100)
-        daily = lines.groupBy(F.to_date("l_shipdate").alias("date")).agg(
-            F.sum(cents).alias("_cents"), F.count(F.lit(1)).alias("_n")
+        daily = (
+            self.table("lineitem")
+            .selectExpr("cast(l_shipdate as date) AS date", f"floor({_PRICE} * 100) AS cents")
+            .groupBy("date")
+            .agg(F.expr("floor(sum(cents) / count(1))").alias("mean"), F.expr("count(1)").alias("n"))
         )
-        return daily.select(
-            F.date_format("date", "yyyy-MM-dd").alias("trade_date"),
-            F.lit(BENCHMARK).alias("ticker"),
-            F.format_string("%.2f", F.floor(F.col("_cents") / F.col("_n")) / 100).alias("close"),
-            F.col("_n").cast("double").alias("volume"),
+        return daily.selectExpr(
+            "cast(date as string) AS trade_date",
+            f"'{BENCHMARK}' AS ticker",
+            f"{_decimals('mean', 2)} AS close",
+            "cast(n as double) AS volume",
             "date",
         )
 
+    @property
     def raw_quotes(self) -> DataFrame:
-        return self.stock_quotes().unionByName(self.benchmark_quotes())
+        return self.stock_quotes.unionByName(self.benchmark_quotes)
 
     def wide_quotes(self, tickers: list[str]) -> DataFrame:
         """Per day one close and one volume column per ticker, as a quote feed delivers them."""
-        daily = (
-            self._lines()
-            .groupBy("date", "name")
-            .agg(
-                F.max(F.floor(F.col("l_extendedprice") / F.col("l_quantity") * 100)).alias("_c"),
-                F.sum(F.col("l_quantity").cast("bigint")).alias("_v"),
-            )
+        daily = self._lines.groupBy("date", "name").agg(
+            F.expr(f"max(floor({_PRICE} * 100)) / 100").alias("close"),
+            F.expr("sum(cast(l_quantity as bigint))").alias("volume"),
         )
         return daily.groupBy("date").agg(
             *[
-                F.max(F.when(F.col("name") == t, F.col("_c") / 100)).alias(f"close_{t}")
+                F.expr(f"max({c}) FILTER (WHERE name = '{t}')").alias(f"{c}_{t}")
                 for t in tickers
-            ],
-            *[F.max(F.when(F.col("name") == t, F.col("_v"))).alias(f"volume_{t}") for t in tickers],
+                for c in ("close", "volume")
+            ]
         )
 
     # ---------------------------------------------------------------- filings
 
+    @cached_property
     def _reports(self) -> DataFrame:
-        """Figures per key, year and report: three quarters and the year."""
-        quarter = F.quarter("date")
-        report = F.when(quarter == 4, F.array(F.lit("FY"))).otherwise(
-            F.array(F.concat(F.lit("Q"), quarter), F.lit("FY"))
-        )
-        cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
-        discount = F.round(F.col("l_discount") * 100).cast("bigint")
+        """Figures per key, year and report: three quarters and the year. Besides the original
+        (version '') there is a restatement of some years and, for some, an unrelated form."""
+        cents = "cast(round(l_extendedprice * 100) as bigint)"
         sums = (
-            self._lines()
-            .select(
+            self._lines.selectExpr(
                 "key",
-                F.year("date").alias("year"),
-                F.explode(report).alias("fp"),
-                cents.alias("cents"),
-                (cents * (10 - discount)).alias("margin"),
-                F.col("l_quantity").cast("bigint").alias("units"),
+                "year(date) AS year",
+                """explode(if(quarter(date) = 4, array('FY'),
+                              array(concat('Q', quarter(date)), 'FY'))) AS fp""",
+                f"{cents} AS cents",
+                f"{cents} * (10 - cast(round(l_discount * 100) as bigint)) AS margin",
+                "cast(l_quantity as bigint) AS units",
             )
-            .where((F.col("fp") != "FY") | (F.col("year") <= 2000))
+            .where("fp <> 'FY' OR year <= 2000")
             .groupBy("key", "year", "fp")
             .agg(
-                F.sum("cents").alias("cents"),
-                F.sum("margin").alias("margin"),
-                F.sum("units").alias("units"),
+                F.expr("sum(cents)").alias("cents"),
+                F.expr("sum(margin)").alias("margin"),
+                F.expr("sum(units)").alias("units"),
             )
         )
-        annual = F.col("fp") == "FY"
-        month = F.when(annual, F.lit(12)).otherwise(F.substring("fp", 2, 1).cast("int") * 3)
-        key = F.col("key")
-        # Versions: the original; for some a restatement of the year, and an unrelated form.
-        versions = F.concat(
-            F.array(F.lit("")),
-            F.when(annual & (key % 7 == 0), F.array(F.lit("A"))).otherwise(
-                F.array().cast("array<string>")
-            ),
-            F.when((F.col("fp") == "Q1") & (key % 4 == 0), F.array(F.lit("K"))).otherwise(
-                F.array().cast("array<string>")
-            ),
-        )
-        ended = self._with_period(sums, month)
-        return ended.withColumn("version", F.explode(versions)).withColumn(
-            "adsh",
-            F.concat_ws("-", key, F.concat("year", "fp"), F.concat(F.lit("v"), F.col("version"))),
-        )
-
-    @staticmethod
-    def _with_period(df: DataFrame, month: Column) -> DataFrame:
-        return df.withColumn("period_end", F.last_day(F.make_date(F.col("year"), month, F.lit(1))))
+        return sums.selectExpr(
+            "*",
+            """last_day(make_date(year, if(fp = 'FY', 12, 3 * cast(substring(fp, 2, 1) as int)), 1))
+               AS period_end""",
+            """explode(array_compact(array('',
+                   if(fp = 'FY' AND key % 7 = 0, 'A', NULL),
+                   if(fp = 'Q1' AND key % 4 = 0, 'K', NULL)))) AS version""",
+        ).selectExpr("*", "concat(key, '-', year, fp, '-v', version) AS adsh")
 
+    @property
     def filing_headers(self) -> DataFrame:
-        annual, version = F.col("fp") == "FY", F.col("version")
-        delay = (
-            F.when(version == "A", 260)
-            .when(version == "K", 5)
-            .when(annual, 60)
-            .otherwise(40)
+        filed = self._reports.selectExpr(
+            "*",
+            """date_add(period_end, CASE WHEN version = 'A' THEN 260 WHEN version = 'K' THEN 5
+                                         WHEN fp = 'FY' THEN 60 ELSE 40 END) AS filed_on""",
         )
-        filed = F.date_add("period_end", delay)
-        form = (
-            F.when(version == "A", "10-K/A")
-            .when(version == "K", "8-K")
-            .when(annual, "10-K")
-            .otherwise("10-Q")
-        )
-        return self._reports().select(
+        return filed.selectExpr(
             "adsh",
-            F.col("key").cast("string").alias("cik"),
-            form.alias("form"),
-            F.date_format("period_end", "yyyyMMdd").alias("period"),
-            F.date_format(filed, "yyyyMMdd").alias("filed"),
-            F.concat(F.date_format(filed, "yyyy-MM-dd"), F.lit(" 16:30:00.0")).alias("accepted"),
-            F.col("year").cast("string").alias("fy"),
+            "cast(key as string) AS cik",
+            """CASE WHEN version = 'A' THEN '10-K/A' WHEN version = 'K' THEN '8-K'
+                    WHEN fp = 'FY' THEN '10-K' ELSE '10-Q' END AS form""",
+            "date_format(period_end, 'yyyyMMdd') AS period",
+            "date_format(filed_on, 'yyyyMMdd') AS filed",
+            "concat(cast(filed_on as string), ' 16:30:00.0') AS accepted",
+            "cast(year as string) AS fy",
             "fp",
         )
 
+    @property
     def filing_facts(self) -> DataFrame:
         """Reported figures with the usual distractors: comparatives of the year before, segment
         and subsidiary rows, half-year values, empty values, unrelated tags."""
-        reports = self._reports()
-        key, annual = F.col("key"), F.col("fp") == "FY"
-        restated = F.when(F.col("version") == "A", F.lit(1.01)).otherwise(F.lit(1.0))
-        revenue = F.col("cents") / 100 * restated
-        income = F.col("margin") / 10000 * restated
-        shares = F.col("units").cast("double")
-        eps = income / shares
-        tag = (
-            F.when(key % 3 == 0, REVENUE_TAGS[0])
-            .when(key % 3 == 1, REVENUE_TAGS[1])
-            .otherwise(REVENUE_TAGS[2])
+        figures = self._reports.selectExpr(
+            "adsh",
+            "key",
+            "year",
+            "fp",
+            f"""CASE key % 3 WHEN 0 THEN '{REVENUE_TAGS[0]}' WHEN 1 THEN '{REVENUE_TAGS[1]}'
+                             ELSE '{REVENUE_TAGS[2]}' END AS revenue_tag""",
+            "date_format(period_end, 'yyyyMMdd') AS own",
+            "date_format(last_day(add_months(period_end, -12)), 'yyyyMMdd') AS before",
+            "if(fp = 'FY', '4', '1') AS span",
+            "cents / 100D * if(version = 'A', 1.01D, 1D) AS revenue",
+            "margin / 10000D * if(version = 'A', 1.01D, 1D) AS income",
+            "cast(units as double) AS shares",
         )
-        own = F.date_format("period_end", "yyyyMMdd")
-        before = F.date_format(F.last_day(F.add_months("period_end", -12)), "yyyyMMdd")
-        span = F.when(annual, "4").otherwise("1")
-        half_year = F.col("fp") == "Q2"
-        no_eps = (key % 11 == 5) & (F.col("year") == 1997) & half_year
+        names = ("tag", "ddate", "qtrs", "value", "coreg", "segments")
 
-        def fact(tag, ddate, qtrs, value, coreg=None, segments=None, when=None):
-            row = F.struct(
-                (tag if isinstance(tag, Column) else F.lit(tag)).alias("tag"),
-                ddate.alias("ddate"),
-                (qtrs if isinstance(qtrs, Column) else F.lit(qtrs)).alias("qtrs"),
-                value.cast("string").alias("value"),
-                F.lit(coreg).cast("string").alias("coreg"),
-                F.lit(segments).cast("string").alias("segments"),
-            )
-            return row if when is None else F.when(when, row)
+        def fact(tag, ddate, qtrs, value, coreg="NULL", segments="NULL", when=None):
+            values = (tag, ddate, qtrs, f"cast({value} as string)", coreg, segments)
+            row = ", ".join(f"'{n}', cast({v} as string)" for n, v in zip(names, values))
+            text = f"named_struct({row})"
+            return text if when is None else f"if({when}, {text}, NULL)"
 
-        facts = F.array_compact(
-            F.array(
-                fact(tag, own, span, revenue),
-                fact(NET_INCOME_TAG, own, span, income),
-                fact(EPS_TAG, own, span, eps, when=~no_eps),
-                fact(SHARES_TAG, own, span, shares),
-                fact(EQUITY_TAG, own, "0", revenue / 2),
-                fact(tag, before, span, revenue * 0.9),
-                fact(NET_INCOME_TAG, before, span, income * 0.9),
-                fact(tag, own, span, revenue * 2, segments="Segment=A"),
-                fact(tag, own, span, revenue * 3, coreg="SUB1"),
-                fact(tag, own, "2", revenue * 1.9, when=half_year),
-                fact(NET_INCOME_TAG, own, "3", F.lit(None), when=key % 5 == 0),
-                fact("Assets", own, "0", revenue * 4),
+        q2 = "fp = 'Q2'"
+        facts = ", ".join(
+            (
+                fact("revenue_tag", "own", "span", "revenue"),
+                fact(f"'{NET_INCOME_TAG}'", "own", "span", "income"),
+                fact(
+                    f"'{EPS_TAG}'", "own", "span", "income / shares",
+                    when=f"NOT (key % 11 = 5 AND year = 1997 AND {q2})",
+                ),
+                fact(f"'{SHARES_TAG}'", "own", "span", "shares"),
+                fact(f"'{EQUITY_TAG}'", "own", "'0'", "revenue / 2"),
+                fact("revenue_tag", "before", "span", "revenue * 0.9D"),
+                fact(f"'{NET_INCOME_TAG}'", "before", "span", "income * 0.9D"),
+                fact("revenue_tag", "own", "span", "revenue * 2", segments="'Segment=A'"),
+                fact("revenue_tag", "own", "span", "revenue * 3", coreg="'SUB1'"),
+                fact("revenue_tag", "own", "'2'", "revenue * 1.9D", when=q2),
+                fact(f"'{NET_INCOME_TAG}'", "own", "'3'", "NULL", when="key % 5 = 0"),
+                fact("'Assets'", "own", "'0'", "revenue * 4"),
             )
         )
-        return reports.select("adsh", F.explode(facts).alias("_f")).select("adsh", "_f.*")
+        return figures.selectExpr("adsh", f"inline(array_compact(array({facts})))")
 
     # ---------------------------------------------------------------- monitoring
 
+    @property
     def holidays(self) -> DataFrame:
-        years = self.table("lineitem").select(F.year("l_shipdate").alias("y")).distinct()
-        days = F.array(*[F.make_date("y", F.lit(m), F.lit(d)) for m, d in ((1, 1), (7, 4), (12, 25))])
-        return years.select(F.explode(days).alias("holiday"))
+        years = self.table("lineitem").selectExpr("year(l_shipdate) AS y").distinct()
+        return years.selectExpr(
+            "explode(array(make_date(y, 1, 1), make_date(y, 7, 4), make_date(y, 12, 25))) AS holiday"
+        )
 
+    @property
     def trading_calendar(self) -> DataFrame:
         span = self.table("lineitem").agg(
-            F.to_date(F.min("l_shipdate")).alias("start"),
-            F.date_add(F.to_date(F.max("l_shipdate")), 365).alias("end"),
+            F.expr("cast(min(l_shipdate) as date)").alias("start"),
+            F.expr("date_add(cast(max(l_shipdate) as date), 365)").alias("end"),
         )
-        return trading_sessions(span, self.holidays())
+        return trading_sessions(span, self.holidays)
 
     def stamped(self, log: DataFrame) -> DataFrame:
         """Audit rows with load kinds and times that follow from the date: odd days are backfills,
         the fourth of a month is late."""
-        day = F.dayofmonth("partition_date")
-        midnight = F.col("partition_date").cast("timestamp_ntz")
         return log.withColumns(
             {
-                "is_backfill": day % 2 == 1,
-                "loaded_at": F.when(day == 4, midnight + F.expr("INTERVAL 31 HOURS")).otherwise(
-                    midnight + F.expr("INTERVAL 25 HOURS")
+                "is_backfill": F.expr("day(partition_date) % 2 = 1"),
+                "loaded_at": F.expr(
+                    """cast(partition_date as timestamp_ntz)
+                       + if(day(partition_date) = 4, INTERVAL 31 HOURS, INTERVAL 25 HOURS)"""
                 ),
             }
         )
-
-
-# Parameters of the health report on the test tables.
-HEALTH_AS_OF = date(2001, 11, 30)

@@ -2,6 +2,7 @@
 
 from signalloom.functions.columns import (
     calendar_month,
+    has_cents_only,
     mean_present,
     parse_quote_date,
     parse_quote_price,
@@ -14,6 +15,7 @@ from signalloom.functions.columns import (
 
 __all__ = [
     "calendar_month",
+    "has_cents_only",
     "mean_present",
     "parse_quote_date",
     "parse_quote_price",

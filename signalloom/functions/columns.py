@@ -24,10 +24,16 @@ def parse_yyyymmdd(text: Column) -> Column:
 def parse_quote_price(text: Column) -> Column:
     """Double from text such as ``$1,234.50``; NULL when it is not a number.
 
-    Spark's cast takes a trailing ``d`` or ``f`` as part of a number; quotes do not.
+    Spark's cast would take a trailing ``d`` or ``f`` as part of a number; quotes do not.
     """
-    bare = F.translate(text, "$,", "")
-    return F.when(~bare.rlike("[0-9.][dDfF]\\s*$"), bare.try_cast("double"))
+    bare = F.lower(F.trim(F.translate(text, "$,", "")))
+    suffixed = bare.endswith("d") | (bare.endswith("f") & ~bare.endswith("inf"))
+    return F.when(~suffixed, bare.try_cast("double"))
+
+
+def has_cents_only(price: Column) -> Column:
+    """Whether a price carries no more than two decimals."""
+    return F.rint(price * 100) / 100 == price
 
 
 def to_whole_number(value: Column, type_name: str) -> Column:

@@ -16,21 +16,26 @@ class DuplicateKeys(ValueError):
         self.rows = rows
 
 
-def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """Keep the row that sorts first within each key.
+def first_per_key(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], keep: Column | None = None
+) -> DataFrame:
+    """Keep the row that sorts first within each key, among the rows for which ``keep`` holds.
 
     Written as an aggregate rather than a row number, so every map task folds its own copies
     before the shuffle: a key that holds a third of the input reaches the reducers as one row
     per task. Columns outside ``keys`` and ``order`` break the remaining ties, which makes the
-    choice the same on every run.
+    choice the same on every run. ``keep`` is part of the aggregate because a filter in front
+    would have Spark compute the columns it uses twice.
     """
     rest = [c for c in df.columns if c not in keys]
-    ranked = [c.alias(f"_k{i}") for i, c in enumerate(order)]
-    winner = F.min(F.struct(*ranked, *rest)).alias("_first")
-    return (
+    row = F.struct(*[c.alias(f"_k{i}") for i, c in enumerate(order)], *rest)
+    first = (
         df.groupBy(*keys)
-        .agg(winner)
-        .select(*[F.col(c) if c in keys else F.col(f"_first.{c}").alias(c) for c in df.columns])
+        .agg(F.min(row if keep is None else F.when(keep, row)).alias("_first"))
+        .where(F.col("_first").isNotNull())
+    )
+    return first.select(
+        *[F.col(c) if c in keys else F.col(f"_first.{c}").alias(c) for c in df.columns]
     )
 
 

@@ -115,14 +115,14 @@ def percent_ranks(
     folded to one row with a count first, so a value that most rows share costs nothing extra.
     """
     measures = list(dict.fromkeys(ranks.values()))
+    # Frozen, since values are matched by equality below and must not be computed twice.
+    df = stage(df, "ranked")
+    ids = list(dict.fromkeys([*key, *group]))
     long = (
-        df.select(*key, *[c for c in group if c not in key], *measures)
-        .unpivot(
-            [*key, *[c for c in group if c not in key]], measures, "_measure", "_value"
-        )
+        df.select(*ids, *measures)
+        .unpivot(ids, measures, "_measure", "_value")
         .where(F.col("_value").isNotNull())
     )
-    by = ["_measure", *group]
     # A NULL group (no sector) is a group of its own; joins need a value for it.
     long = long.withColumns({f"_g{i}": F.struct(F.col(c)) for i, c in enumerate(group)})
     by = ["_measure", *[f"_g{i}" for i in range(len(group))]]

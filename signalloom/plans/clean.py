@@ -4,15 +4,20 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from signalloom.functions import parse_quote_date, parse_quote_price, to_whole_number
+from signalloom.functions import (
+    has_cents_only,
+    parse_quote_date,
+    parse_quote_price,
+    to_whole_number,
+)
 from signalloom.operators.dedupe import first_per_key
 
 
-def typed_quotes(raw: DataFrame) -> DataFrame:
-    """Parse the text of raw quotes; rows without a date or a positive close are dropped."""
+def parsed_quotes(raw: DataFrame) -> DataFrame:
+    """Raw quotes with their text parsed; what cannot be read is NULL."""
     return raw.select(
         parse_quote_date(F.col("trade_date")).alias("date"),
         F.upper(F.trim("ticker")).alias("ticker"),
@@ -20,18 +25,24 @@ def typed_quotes(raw: DataFrame) -> DataFrame:
         to_whole_number(F.col("volume"), raw.schema["volume"].dataType.simpleString()).alias(
             "volume"
         ),
-    ).where(F.col("date").isNotNull() & (F.col("close") > 0))
+    )
+
+
+def usable() -> Column:
+    """Whether a parsed quote has a date and a positive close."""
+    return F.col("date").isNotNull() & (F.col("close") > 0)
 
 
-def unique_quotes(typed: DataFrame) -> DataFrame:
-    """One row per date and ticker: full-precision closes before rounded ones, then the lowest."""
-    cents_only = F.col("close") == F.round("close", 2)
-    return first_per_key(typed, ["date", "ticker"], [cents_only, F.col("close")])
+def unique_quotes(parsed: DataFrame) -> DataFrame:
+    """One usable row per date and ticker: full-precision closes before rounded ones, then the
+    lowest."""
+    order = [has_cents_only(F.col("close")), F.col("close")]
+    return first_per_key(parsed, ["date", "ticker"], order, keep=usable())
 
 
 def clean_prices(raw: DataFrame) -> DataFrame:
     """``date, ticker, close, volume`` with one row per date and ticker."""
-    return unique_quotes(typed_quotes(raw))
+    return unique_quotes(parsed_quotes(raw))
 
 
 def load_log(

@@ -121,7 +121,12 @@ def quarterize(metrics: DataFrame, strict: bool = False) -> DataFrame:
     The year is split only when three quarterly revenues are known, and that count also decides
     for net income and EPS. ``strict`` counts each figure by itself instead.
     """
-    year = Window.partitionBy("ticker", "fy")
+    # Ordered, so that sums add up in the same order on every run.
+    year = (
+        Window.partitionBy("ticker", "fy")
+        .orderBy("period_end")
+        .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    )
     annual = F.col("fp") == "FY"
 
     def single(name: str) -> Column:

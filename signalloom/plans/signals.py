@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from signalloom.functions import mean_present, ratio
 from signalloom.operators import ranking
 from signalloom.operators.asof import asof_left
+from signalloom.operators.rolling import rolling_block, rolling_sum
 
 # The model's windows in rows, its history in days and its buckets.
 AVERAGE_ROWS = 200
@@ -42,17 +43,22 @@ def technicals(
     however its raw rows are skewed.
     """
     timeline = Window.partitionBy("ticker").orderBy("date")
-    return prices.select(
+    numbered = prices.select(
         "date",
         "ticker",
         "close",
-        F.when(
-            F.row_number().over(timeline) >= ma,
-            F.avg("close").over(timeline.rowsBetween(1 - ma, Window.currentRow)),
-        ).alias("ma_200"),
+        F.row_number().over(timeline).alias("_n"),
         (F.lag("close", skip).over(timeline) / F.lag("close", lookback).over(timeline) - 1).alias(
             "momentum_12_1"
         ),
+        *rolling_block(F.col("close"), ma, timeline, "_block"),
+    )
+    return numbered.select(
+        "date",
+        "ticker",
+        "close",
+        F.when(F.col("_n") >= ma, rolling_sum("_block", ma, timeline) / ma).alias("ma_200"),
+        "momentum_12_1",
     )
 
 

@@ -52,7 +52,7 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
     """A stored table, or an empty one of the same layout before its first load."""
     if not exists(spark, path):
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path)
+    return spark.read.schema(schema).parquet(path).select(*schema.names)
 
 
 def with_text_column(df: DataFrame, name: str) -> DataFrame:

@@ -22,13 +22,24 @@ class RangeWrite:
     emptied_days: int
 
 
-def clustered_by_day(df: DataFrame, *within: str) -> DataFrame:
+# Loads of more days than this are laid out by range instead of by size.
+LONG_LOAD_DAYS = 31
+
+
+def clustered_by_day(df: DataFrame, *within: str, days: int | None = None) -> DataFrame:
     """Lay rows out by day for writing, sorted so that file statistics prune.
 
-    The rebalance gathers each day into few files and, unlike a plain repartition, lets the
-    adaptive planner split a day that is far larger than the rest and join days that are small.
+    A load of a few days is rebalanced: the adaptive planner gathers a small day into one file
+    and splits a day that is far larger than the rest. A long load writes at least a file per
+    day, so it is spread evenly over writers by sampled ranges of (day, ``within``), which also
+    splits a large day.
     """
-    return df.hint("rebalance", "date").sortWithinPartitions("date", *within)
+    if days is not None and days > LONG_LOAD_DAYS:
+        writers = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        placed = df.repartitionByRange(writers, "date", *within)
+    else:
+        placed = df.hint("rebalance", "date")
+    return placed.sortWithinPartitions("date", *within)
 
 
 def replace_table(df: DataFrame, path: str) -> None:
@@ -52,12 +63,28 @@ def write_quarter(df: DataFrame, path: str, quarter: str) -> None:
     df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/quarter={quarter}")
 
 
+def write_quarters(df: DataFrame, path: str) -> None:
+    """Write ``quarter=`` folders, replacing the quarters present in ``df``."""
+    (
+        df.hint("rebalance", "quarter")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("quarter")
+        .parquet(path)
+    )
+
+
 def append_table(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
 def replace_range(
-    df: DataFrame, path: str, start: date, end: date, sort: tuple[str, ...] = ("ticker",)
+    df: DataFrame,
+    path: str,
+    start: date,
+    end: date,
+    sort: tuple[str, ...] = ("ticker",),
+    placed: bool = False,
 ) -> RangeWrite:
     """Make the stored days from ``start`` to ``end`` equal to ``df``.
 
@@ -65,6 +92,8 @@ def replace_range(
     days are dropped afterwards: a rerun that loses a day removes it. Rows dated outside the
     range are not written, since a rerun could not take them back; they are counted instead.
     Running the same range twice gives the same table, also after a failure half way.
+
+    ``placed`` says that each day's rows already share a partition, which saves the shuffle.
     """
     spark = df.sparkSession
     inside = F.coalesce(F.col("date").between(F.lit(start), F.lit(end)), F.lit(False))
@@ -78,9 +107,15 @@ def replace_range(
         day: partition_files(spark, path, day)
         for day in partition_dates(spark, path, start, end)
     }
+    rows = counted.where(inside)
+    days = (end - start).days + 1
+    laid_out = (
+        rows.sortWithinPartitions("date", *sort)
+        if placed
+        else clustered_by_day(rows, *sort, days=days)
+    )
     (
-        clustered_by_day(counted.where(inside), *sort)
-        .write.mode("overwrite")
+        laid_out.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("date")
         .parquet(path)
