@@ -118,17 +118,13 @@ def q_first_filings(m: Market) -> DataFrame:
     return fundamentals.first_filings(m.filing_headers, m.universe)
 
 
-def _metrics(m: Market) -> DataFrame:
-    return fundamentals.filing_metrics(m.filing_facts, q_first_filings(m))
-
-
 def q_filing_metrics(m: Market) -> DataFrame:
-    return rounded(_metrics(m), 4, "revenue", "net_income", "eps", "equity", "diluted_shares")
+    return fundamentals.filing_metrics(m.filing_facts, q_first_filings(m))
 
 
 def q_quarterize(m: Market) -> DataFrame:
     return rounded(
-        fundamentals.quarterize(_metrics(m)), 4,
+        fundamentals.quarterize(q_filing_metrics(m)), 4,
         "equity", "diluted_shares", "revenue_q", "net_income_q", "eps_q",
     )
 
@@ -262,7 +258,7 @@ def q_land_filings(m: Market) -> DataFrame:
     text = readers.read_tab_text(spark, f"{base}/text")
     writers.write_quarters(readers.with_text_column(text, "segments"), f"{base}/facts")
     stored = readers.read_quarters(spark, f"{base}/facts")
-    return stored.withColumn("value", F.round(F.col("value").cast("double"), 7))
+    return stored.withColumn("value", F.col("value").cast("double"))
 
 
 def q_csv_extracts(m: Market) -> DataFrame:
@@ -281,7 +277,7 @@ _SUPPLIER: dict[str, tuple[Callable[[Market], DataFrame], str]] = {
     "universe_tickers": (q_universe_tickers, sql.chain("supplier", "universe", "ticker")),
     "trading_calendar": (q_trading_calendar, sql.chain("supplier", "calendar")),
     "first_filings": (q_first_filings, sql.first_filings("supplier")),
-    "filing_metrics": (q_filing_metrics, sql.chain("supplier", "metrics", sql.METRIC_COLUMNS)),
+    "filing_metrics": (q_filing_metrics, sql.chain("supplier", "metrics")),
     "quarterize": (q_quarterize, sql.chain("supplier", "quarters", sql.QUARTER_COLUMNS)),
     "fundamentals_ttm": (
         q_fundamentals_ttm,

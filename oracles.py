@@ -427,10 +427,6 @@ SIGNAL_COLUMNS = select(
             "composite_score"),
     "quintile", "signal",
 )
-METRIC_COLUMNS = select(
-    "ticker", "period_end", "filed_date", "fy", "fp",
-    *_round(4, "revenue", "net_income", "eps", "equity", "diluted_shares"),
-)
 QUARTER_COLUMNS = select(
     "ticker", "period_end", "filed_date",
     *_round(4, "equity", "diluted_shares", "revenue_q", "net_income_q", "eps_q"),
@@ -547,7 +543,7 @@ def landed_facts(grain: str) -> str:
     """The stored facts of every quarter, by the quarter in which they were filed."""
     body = """
         SELECT f.adsh, f.tag, strftime(f.ddate, '%Y%m%d') AS ddate, f.qtrs,
-               round(f.value, 7) AS value, f.coreg, f.segments,
+               f.value, f.coreg, f.segments,
                year(h.filed) || 'q' || quarter(h.filed) AS quarter
         FROM facts f JOIN headers h ON h.adsh = f.adsh"""
     both = _needed("facts") | _needed("headers")

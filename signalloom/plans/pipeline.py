@@ -12,6 +12,7 @@ from signalloom import schemas
 from signalloom.operators import ranking
 from signalloom.operators.dedupe import assert_unique
 from signalloom.plans import analysis, backtest, clean, fundamentals, health, signals
+from signalloom.plans.signals import HISTORY_DAYS
 from signalloom.sources import landing, readers, writers
 from signalloom.sources.paths import partition_dates
 
@@ -110,7 +111,7 @@ class Warehouse:
         writers.replace_table(table, self.path("mart/fundamentals"))
 
     def load_signals(
-        self, start: date, end: date, history_days: int | None = signals.HISTORY_DAYS
+        self, start: date, end: date, history_days: int | None = HISTORY_DAYS
     ) -> writers.RangeWrite:
         """Score the days of a range and replace them in the signal table."""
         since = None if history_days is None else start - timedelta(days=history_days)

@@ -97,25 +97,26 @@ def replace_range(
     """
     spark = df.sparkSession
     inside = F.coalesce(F.col("date").between(F.lit(start), F.lit(end)), F.lit(False))
-    seen = Observation("range_write")
-    counted = df.observe(
-        seen,
-        F.sum(inside.cast("bigint")).alias("written"),
-        F.sum((~inside).cast("bigint")).alias("out_of_range"),
-    )
     before = {
         day: partition_files(spark, path, day)
         for day in partition_dates(spark, path, start, end)
     }
-    rows = counted.where(inside)
-    days = (end - start).days + 1
     laid_out = (
-        rows.sortWithinPartitions("date", *sort)
+        df.sortWithinPartitions("date", *sort)
         if placed
-        else clustered_by_day(rows, *sort, days=days)
+        else clustered_by_day(df, *sort, days=(end - start).days + 1)
+    )
+    # Counted in the writing tasks, each of which counts once however often it is tried; further
+    # up, rows are also seen by the sampling of ranges and by repeated stages.
+    seen = Observation("range_write")
+    counted = laid_out.observe(
+        seen,
+        F.sum(inside.cast("bigint")).alias("written"),
+        F.sum((~inside).cast("bigint")).alias("out_of_range"),
     )
     (
-        laid_out.write.mode("overwrite")
+        counted.where(inside)
+        .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("date")
         .parquet(path)
