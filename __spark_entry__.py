@@ -19,6 +19,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 import oracles as sql  # noqa: E402
 from signalloom.fixtures import HEALTH_AS_OF, Market  # noqa: E402
+from signalloom.operators import ranking  # noqa: E402
 from signalloom.operators.dedupe import surplus_rows  # noqa: E402
 from signalloom.plans import analysis, backtest, clean, fundamentals, health, signals  # noqa: E402
 from signalloom.session import fresh_path  # noqa: E402
@@ -146,7 +147,8 @@ def q_asof_merge(m: Market) -> DataFrame:
     return _round_joined(_joined(m, "merge"))
 
 
-def _ranks(m: Market, bounded: bool) -> DataFrame:
+def _ranks(m: Market, row_bound: int) -> DataFrame:
+    bounded = ranking.within_bound(m.universe, row_bound)
     ranked = signals.sector_ranks(_joined(m), bounded=bounded)
     return rounded(
         ranked.select("date", "ticker", "sector", *signals.FACTOR_RANKS), 6, *signals.FACTOR_RANKS
@@ -154,11 +156,11 @@ def _ranks(m: Market, bounded: bool) -> DataFrame:
 
 
 def q_sector_ranks(m: Market) -> DataFrame:
-    return _ranks(m, True)
+    return _ranks(m, ranking.WINDOW_ROW_BOUND)
 
 
 def q_sector_ranks_sliced(m: Market) -> DataFrame:
-    return _ranks(m, False)
+    return _ranks(m, 0)
 
 
 def q_daily_signals(m: Market) -> DataFrame:
@@ -174,8 +176,8 @@ def q_todays_signals(m: Market) -> DataFrame:
     return rounded(report, 6, "ma_200", "earnings_yield", "roe", "momentum_12_1")
 
 
-def _validation(m: Market, bounded: bool = True) -> DataFrame:
-    return analysis.signal_validation(_signals(m), bounded=bounded)
+def _validation(m: Market, row_bound: int = ranking.WINDOW_ROW_BOUND) -> DataFrame:
+    return analysis.signal_validation(_signals(m), m.universe, row_bound=row_bound)
 
 
 def q_signal_validation(m: Market) -> DataFrame:
@@ -183,7 +185,7 @@ def q_signal_validation(m: Market) -> DataFrame:
 
 
 def q_signal_validation_sliced(m: Market) -> DataFrame:
-    return rounded(_validation(m, False), 6, "avg_next_month_return", "median_next_month_return")
+    return rounded(_validation(m, 0), 6, "avg_next_month_return", "median_next_month_return")
 
 
 def q_quintile_spread(m: Market) -> DataFrame:

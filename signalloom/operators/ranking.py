@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from signalloom.session import stage
 
 # Most rows of one group that a single task is asked to sort.
-WINDOW_ROW_BOUND = 2_000_000
+WINDOW_ROW_BOUND = 500_000
 
 
 def within_bound(df: DataFrame, bound: int = WINDOW_ROW_BOUND) -> bool:

@@ -1,8 +1,8 @@
 """Sums over the last n rows of a series, in a few steps instead of n per row.
 
 Spark adds up a sliding frame again for every row. Cutting the frame into equal blocks needs one
-short sliding sum and then a handful of look-backs to earlier blocks: 200 rows are twenty sums of
-ten. Both steps use the same window, so there is no further shuffle or sort. Unlike differences of
+short sliding sum and then a handful of look-backs to earlier blocks: 200 rows are ten sums of
+twenty. Both steps use the same window, so there is no further shuffle or sort. Unlike differences of
 running totals, no rounding error or infinity from outside the frame gets into a result.
 """
 
@@ -16,8 +16,8 @@ from pyspark.sql.window import WindowSpec
 
 
 def block_length(rows: int) -> int:
-    """The divisor of ``rows`` nearest below its square root (1 for a prime)."""
-    return next(b for b in range(isqrt(rows), 0, -1) if rows % b == 0)
+    """The least divisor of ``rows`` from its square root up; a prime is one block."""
+    return next(b for b in range(isqrt(rows - 1) + 1, rows + 1) if rows % b == 0)
 
 
 def rolling_block(value: Column, rows: int, series: WindowSpec, name: str) -> list[Column]:

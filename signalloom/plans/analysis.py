@@ -40,7 +40,13 @@ def todays_signals(
     """
     latest = latest or signals.agg(F.max("date").alias("d")).first()["d"]
     today = F.lit(latest).cast("date")
-    recent = signals.where(F.col("date") >= today - F.expr(f"INTERVAL {lookback}"))
+    calls = signals.where((F.col("date") == today) & (F.col("signal") != "HOLD"))
+    # The history moves as three columns, and only for stocks with a call.
+    recent = (
+        signals.where(F.col("date") >= today - F.expr(f"INTERVAL {lookback}"))
+        .select("date", "ticker", "signal")
+        .join(calls.select("ticker"), "ticker", "left_semi")
+    )
     timeline = Window.partitionBy("ticker").orderBy("date")
     so_far = timeline.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # A run starts where the call differs from the row before. The latest start so far gives
@@ -53,10 +59,16 @@ def todays_signals(
     starts = F.when(
         ~F.coalesce(F.col("_same"), F.lit(False)), F.struct(F.col("_n"), F.col("date"))
     )
-    runs = numbered.select("*", F.last(starts, ignorenulls=True).over(so_far).alias("_run"))
-    calls = runs.where((F.col("date") == today) & (F.col("signal") != "HOLD"))
+    runs = (
+        numbered.select(
+            "date", "ticker", "_n", F.last(starts, ignorenulls=True).over(so_far).alias("_run")
+        )
+        .where(F.col("date") == today)
+        .drop("date")
+    )
     return (
         calls.join(universe.select("ticker", "company"), "ticker")
+        .join(runs, "ticker")
         .select(
             "date",
             "ticker",
@@ -83,14 +95,16 @@ def todays_signals(
 
 def signal_validation(
     signals: DataFrame,
+    universe: DataFrame,
     max_gap: int = MAX_GAP_DAYS,
     days: Sequence[date] | None = None,
-    bounded: bool = True,
+    row_bound: int = ranking.WINDOW_ROW_BOUND,
 ) -> DataFrame:
     """Return to the next month end by month end and quintile: count, mean and median.
 
-    ``days`` are the month ends of the signals and are looked up when not given. ``bounded``
-    says that a day's rows fit one task; otherwise the median comes from sorted slices.
+    ``days`` are the month ends of the signals and are looked up when not given. Spark's median
+    holds a group in memory; it is used while the universe, which bounds the group, has at most
+    ``row_bound`` members. Otherwise the median comes from sorted slices.
     """
     monthly = on_days(signals, month_ends(signals) if days is None else days)
     timeline = Window.partitionBy("ticker").orderBy("date")
@@ -119,7 +133,7 @@ def signal_validation(
         F.avg("_return").alias("avg_next_month_return"),
     ]
     median = "median_next_month_return"
-    if bounded:
+    if ranking.within_bound(universe, row_bound):
         report = held.groupBy(*by).agg(*summary, F.median("_return").alias(median))
     else:
         middle = ranking.medians(held, by, "_return", ["ticker"], median)

@@ -31,19 +31,15 @@ ONE_YEAR_DAYS = (350, 380)
 def first_filings(headers: DataFrame, universe: DataFrame) -> DataFrame:
     """The first filing of each ticker for each reporting period.
 
-    Later restatements are left out, since nobody knew them at the time. A company with two
-    share classes gets its filing once per ticker.
+    Later restatements are left out, since nobody knew them at the time. The choice is made per
+    company, which folds its copies before anything is joined; a company with two share classes
+    then gets its filing once per ticker.
     """
-    members = universe.select("ticker", F.col("cik").alias("_cik"))
     reports = headers.where(
         F.col("form").isin(*FORMS) & F.col("fp").isin(*FISCAL_PERIODS)
-    ).select("adsh", F.col("cik").cast("int").alias("_cik"), "period", "filed", "accepted", "fy", "fp")
-    first = first_per_key(
-        reports.join(members, "_cik").drop("_cik"),
-        ["ticker", "period"],
-        [F.col("filed"), F.col("accepted")],
-    )
-    return first.select(
+    ).select("adsh", F.col("cik").cast("int").alias("cik"), "period", "filed", "accepted", "fy", "fp")
+    first = first_per_key(reports, ["cik", "period"], [F.col("filed"), F.col("accepted")])
+    return first.join(universe.select("ticker", "cik"), "cik").select(
         "adsh",
         "ticker",
         "period",

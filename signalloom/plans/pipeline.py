@@ -136,9 +136,7 @@ class Warehouse:
         days = analysis.month_ends(stored)
         return {
             "todays_signals": analysis.todays_signals(stored, universe),
-            "signal_validation": analysis.signal_validation(
-                stored, days=days, bounded=ranking.within_bound(universe)
-            ),
+            "signal_validation": analysis.signal_validation(stored, universe, days=days),
             "backtest": backtest.backtest(stored, prices),
             "sector_heatmap": analysis.sector_heatmap(stored, days),
             "pipeline_health": health.pipeline_health(

@@ -32,7 +32,7 @@ def test_moving_average_needs_a_full_window(spark, ma):
 
 
 def test_block_lengths():
-    assert [block_length(n) for n in (1, 2, 7, 12, 200)] == [1, 1, 1, 3, 10]
+    assert [block_length(n) for n in (1, 2, 4, 7, 12, 200)] == [1, 2, 2, 7, 4, 20]
 
 
 def test_momentum_skips_the_latest_rows(spark):
