@@ -30,7 +30,9 @@ class Warehouse:
     # ---------------------------------------------------------------- tables
 
     def raw_quotes(self, start: date, end: date) -> DataFrame:
-        return readers.read_daily(self.spark, self.path("raw/prices"), start, end)
+        return readers.read_daily(
+            self.spark, self.path("raw/prices"), start, end, schemas.RAW_QUOTES
+        )
 
     def universe(self) -> DataFrame:
         return readers.read_table(self.spark, self.path("ref/universe"), schemas.UNIVERSE)
@@ -61,8 +63,12 @@ class Warehouse:
     # ---------------------------------------------------------------- raw layer
 
     def land_quotes(self, raw: DataFrame) -> None:
-        """Store raw quotes in one folder per day, replacing the days they cover."""
-        writers.write_daily(raw, self.path("raw/prices"))
+        """Store raw quotes in one folder per day, replacing the days they cover.
+
+        Volumes are stored as doubles whatever their type in a batch, so that all files agree.
+        """
+        typed = raw.select(*[F.col(f.name).cast(f.dataType) for f in schemas.RAW_QUOTES])
+        writers.write_daily(typed, self.path("raw/prices"))
 
     def land_filings(self, headers_text: str, facts_text: str, quarter: str) -> None:
         landing.land_filings(self.spark, headers_text, facts_text, quarter, self.path("raw"))
@@ -103,11 +109,11 @@ class Warehouse:
         assert_unique(stored, ["date", "ticker"])
 
     def rebuild_fundamentals(self, strict: bool = False) -> None:
-        headers = readers.read_quarters(self.spark, self.path("raw/filings"))
-        facts = readers.read_quarters(self.spark, self.path("raw/facts"))
-        table = fundamentals.company_fundamentals(
-            headers, readers.with_text_column(facts, "segments"), self.universe(), strict
+        headers = readers.read_quarters(
+            self.spark, self.path("raw/filings"), schemas.FILING_HEADERS
         )
+        facts = readers.read_quarters(self.spark, self.path("raw/facts"), schemas.FILING_FACTS)
+        table = fundamentals.company_fundamentals(headers, facts, self.universe(), strict)
         writers.replace_table(table, self.path("mart/fundamentals"))
 
     def load_signals(

@@ -12,11 +12,18 @@ from signalloom.sources.paths import exists
 
 
 def read_daily(
-    spark: SparkSession, base: str, start: date | None = None, end: date | None = None
+    spark: SparkSession,
+    base: str,
+    start: date | None = None,
+    end: date | None = None,
+    schema: T.StructType | None = None,
 ) -> DataFrame:
-    """Parquet under ``date=YYYY-MM-DD`` folders; a range opens only the folders inside it."""
-    df = spark.read.parquet(base)
-    df = df.withColumn("date", F.col("date").cast("date")) if _not_a_date(df) else df
+    """Parquet under ``date=YYYY-MM-DD`` folders; a range opens only the folders inside it.
+
+    Without a ``schema`` the layout is taken from the files.
+    """
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    df = reader.parquet(base)
     if start is not None:
         df = df.where(F.col("date") >= F.lit(start))
     if end is not None:
@@ -24,13 +31,18 @@ def read_daily(
     return df
 
 
-def _not_a_date(df: DataFrame) -> bool:
-    return df.schema["date"].dataType != T.DateType()
-
+def read_quarters(
+    spark: SparkSession, base: str, schema: T.StructType | None = None
+) -> DataFrame:
+    """Parquet under ``quarter=`` folders, columns matched by name across quarters.
 
-def read_quarters(spark: SparkSession, base: str) -> DataFrame:
-    """Parquet under ``quarter=`` folders, columns matched by name across quarters."""
-    return spark.read.option("mergeSchema", True).option("basePath", base).parquet(base)
+    With a ``schema``, columns a quarter lacks read as NULL. Without one the layouts of all files
+    are merged, which opens every footer first.
+    """
+    reader = spark.read.option("basePath", base)
+    if schema is None:
+        return reader.option("mergeSchema", True).parquet(base)
+    return reader.schema(schema).parquet(base)
 
 
 def read_tab_text(spark: SparkSession, path: str) -> DataFrame:

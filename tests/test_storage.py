@@ -102,6 +102,9 @@ def test_landing_quarters_with_and_without_segments(spark, tmp_path):
         landing.land_filings(spark, str(text), str(text), quarter, base)
     facts = readers.read_quarters(spark, f"{base}/facts").orderBy("quarter").collect()
     assert [(r["quarter"], r["segments"]) for r in facts] == [("2023q4", None), ("2024q1", "x")]
+    given = readers.read_quarters(spark, f"{base}/filings", schemas.FILING_FACTS)
+    assert given.where("tag is null or adsh is null").count() == 0
+    assert {"coreg", "segments", "quarter"} <= set(given.columns)
     headers = readers.read_quarters(spark, f"{base}/filings")
     assert set(headers.columns) == {"adsh", "tag", "segments", "quarter"}
 
@@ -194,6 +197,15 @@ def test_pipeline_end_to_end(spark, warehouse, tmp_path):
     assert health.count() == 30 and "status" in health.columns
 
 
+def test_volumes_of_either_type_can_land(spark, warehouse):
+    w = warehouse
+    whole = raw(spark, (0, "A", 1)).withColumn("volume", F.col("volume").cast("bigint"))
+    w.land_quotes(whole)
+    w.land_quotes(raw(spark, (1, "A", 1)))
+    w.load_prices(day(0), day(1))
+    assert [r["volume"] for r in w.prices().collect()] == [1, 1]
+
+
 def test_gate_blocks_duplicates(spark, warehouse):
     w = warehouse
     twice = prices(spark, (0, "A", 1), (0, "A", 2))
