@@ -114,7 +114,10 @@ class Warehouse:
         )
         facts = readers.read_quarters(self.spark, self.path("raw/facts"), schemas.FILING_FACTS)
         table = fundamentals.company_fundamentals(headers, facts, self.universe(), strict)
-        writers.replace_table(table, self.path("mart/fundamentals"))
+        # The quarters come out of windows by ticker, so this sort is already there.
+        writers.replace_table(
+            table.sortWithinPartitions("ticker", "period_end"), self.path("mart/fundamentals")
+        )
 
     def load_signals(
         self, start: date, end: date, history_days: int | None = HISTORY_DAYS

@@ -19,7 +19,11 @@ def test_every_query_has_an_oracle():
 
 @pytest.mark.parametrize("name", sorted(entry.queries()))
 def test_query(spark, con, name):
-    columns, rows = spark_rows(entry.queries()[name](spark, FOLDER))
+    df = entry.queries()[name](spark, FOLDER)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    for slow in ("Python", "CartesianProduct", "BroadcastNestedLoopJoin"):
+        assert slow not in plan
+    columns, rows = spark_rows(df)
     oracle_columns, expected = oracle_rows(con, entry.oracle_sql()[name])
     assert columns == oracle_columns
     assert sum(rows.values()) == sum(expected.values())

@@ -5,7 +5,6 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as entry
 from signalloom import schemas
 from signalloom.fixtures import Market
 from signalloom.plans import analysis, clean, fundamentals, signals
@@ -43,15 +42,6 @@ def stored(spark, tmp_path_factory):
     return [spark.read.parquet(f"{base}/{n}") for n in ("prices", "facts", "universe")]
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
-def test_no_python_and_no_cross_joins(spark, name):
-    if name in ("range_replace", "land_filings", "csv_extracts") or name.endswith("_sliced"):
-        pytest.skip("runs jobs while it is built; its parts are covered by the others")
-    text = plan(entry.queries()[name](spark, FOLDER))
-    for bad in ("Python", "CartesianProduct", "BroadcastNestedLoopJoin"):
-        assert bad not in text
-
-
 def test_dedupe_folds_before_its_only_shuffle(spark):
     df = clean.clean_prices(Market(spark, FOLDER).stock_quotes)
     assert shuffles(df) == 1
