@@ -225,7 +225,7 @@ def q_price_jumps(m: Market) -> DataFrame:
     return health.price_jumps(_prices(m))
 
 
-def q_pipeline_health(m: Market) -> DataFrame:
+def q_load_health(m: Market) -> DataFrame:
     report = health.pipeline_health(m.trading_calendar, q_load_log(m), _prices(m), HEALTH_AS_OF)
     return rounded(report, 6, "trailing_avg_rows")
 
@@ -313,7 +313,7 @@ _SUPPLIER: dict[str, tuple[Callable[[Market], DataFrame], str]] = {
     "backtest": (q_backtest, sql.chain("supplier", "curve", sql.CURVE_COLUMNS)),
     "performance_summary": (q_performance_summary, sql.performance_summary("supplier")),
     "price_jumps": (q_price_jumps, sql.chain("supplier", "jumps")),
-    "pipeline_health": (q_pipeline_health, sql.chain("supplier", "health", sql.HEALTH_COLUMNS)),
+    "load_health": (q_load_health, sql.chain("supplier", "health", sql.HEALTH_COLUMNS)),
     "range_replace": (q_range_replace, sql.chain("supplier", "prices")),
     "land_filings": (q_land_filings, sql.landed_facts("supplier")),
     "csv_extracts": (q_csv_extracts, sql.sector_heatmap("supplier")),
@@ -335,8 +335,8 @@ _NATION: dict[str, tuple[Callable[[Market], DataFrame], str]] = {
     "positions_dense": (q_positions, sql.chain("nation", "positions", sql.POSITION_COLUMNS)),
     "backtest_dense": (q_backtest, sql.chain("nation", "curve", sql.CURVE_COLUMNS)),
     "performance_summary_dense": (q_performance_summary, sql.performance_summary("nation")),
-    "pipeline_health_dense": (
-        q_pipeline_health,
+    "load_health_dense": (
+        q_load_health,
         sql.chain("nation", "health", sql.HEALTH_COLUMNS),
     ),
 }

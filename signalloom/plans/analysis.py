@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from datetime import date
 
 from pyspark.sql import DataFrame, Window
@@ -26,6 +26,12 @@ def month_ends(df: DataFrame) -> list[date]:
     return sorted(r["day"] for r in last.select("day").collect())
 
 
+def last_of_months(days: Iterable[date]) -> list[date]:
+    """:func:`month_ends` of days already known, such as those of stored folders."""
+    last = {(d.year, d.month): d for d in sorted(days)}
+    return list(last.values())
+
+
 def on_days(df: DataFrame, days: Sequence[date]) -> DataFrame:
     """Rows dated on one of ``days``."""
     return df.where(F.col("date").isin(list(days))) if days else df.where(F.lit(False))

@@ -29,8 +29,8 @@ def parsed_quotes(raw: DataFrame) -> DataFrame:
 
 
 def usable() -> Column:
-    """Whether a parsed quote has a date and a positive close."""
-    return F.col("date").isNotNull() & (F.col("close") > 0)
+    """Whether a parsed quote has a date, a ticker and a positive close."""
+    return F.col("date").isNotNull() & F.col("ticker").isNotNull() & (F.col("close") > 0)
 
 
 def unique_quotes(parsed: DataFrame) -> DataFrame:

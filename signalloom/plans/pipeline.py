@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from datetime import UTC, date, datetime, timedelta
+from datetime import UTC, date, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -123,8 +123,8 @@ class Warehouse:
         self, start: date, end: date, history_days: int | None = HISTORY_DAYS
     ) -> writers.RangeWrite:
         """Score the days of a range and replace them in the signal table."""
-        since = None if history_days is None else start - timedelta(days=history_days)
-        self.check_prices(since, end)
+        # Earlier days were checked when their own signals were loaded.
+        self.check_prices(start, end)
         universe = self.universe()
         table = signals.daily_signals(
             self.prices(), self.fundamentals(), universe, start, end, history_days
@@ -142,9 +142,12 @@ class Warehouse:
 
     def reports(self, as_of: date | None = None) -> dict[str, DataFrame]:
         stored, universe, prices = self.signals(), self.universe(), self.prices()
-        days = analysis.month_ends(stored)
+        # The folder names tell which days there are, without opening a file.
+        known = partition_dates(self.spark, self.path("mart/signals"), date.min, date.max)
+        days = analysis.last_of_months(known)
+        latest = max(known, default=None)
         return {
-            "todays_signals": analysis.todays_signals(stored, universe),
+            "todays_signals": analysis.todays_signals(stored, universe, latest=latest),
             "signal_validation": analysis.signal_validation(stored, universe, days=days),
             "backtest": backtest.backtest(stored, prices),
             "sector_heatmap": analysis.sector_heatmap(stored, days),

@@ -54,6 +54,7 @@ def test_month_ends_are_the_last_days_with_rows(spark):
     days = [date(2020, 1, 30), date(2020, 1, 31), date(2020, 2, 27), date(2021, 1, 4)]
     df = signal_rows(spark, *[(d, "A", 1, "SELL", 1) for d in days])
     assert analysis.month_ends(df) == [days[1], days[2], days[3]]
+    assert analysis.last_of_months(reversed(days)) == [days[1], days[2], days[3]]
 
 
 @pytest.mark.parametrize("row_bound", [10, 0])

@@ -78,6 +78,7 @@ def test_unusable_rows_are_dropped(spark):
         ("2024-03-01", "B", "0", 1.0),
         ("2024-03-01", "C", "-1", 1.0),
         ("2024-03-01", "D", "x", 1.0),
+        ("2024-03-01", None, "2", 1.0),
         ("2024-03-01", "E", "2", None),
     )
     assert [tuple(r) for r in clean_prices(raw).collect()] == [(DAY, "E", 2.0, None)]
