@@ -22,7 +22,7 @@ from signalloom.fixtures import HEALTH_AS_OF, Market  # noqa: E402
 from signalloom.operators import ranking  # noqa: E402
 from signalloom.operators.dedupe import surplus_rows  # noqa: E402
 from signalloom.plans import analysis, backtest, clean, fundamentals, health, signals  # noqa: E402
-from signalloom.session import fresh_path  # noqa: E402
+from signalloom.session import fresh_path, stage  # noqa: E402
 from signalloom.sources import landing, readers, writers  # noqa: E402
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -172,7 +172,8 @@ def q_daily_signals_sliced(m: Market) -> DataFrame:
 
 
 def q_todays_signals(m: Market) -> DataFrame:
-    report = analysis.todays_signals(_signals(m), m.universe)
+    # The report reads its table three times, so the signals are stored first, as in a pipeline.
+    report = analysis.todays_signals(stage(_signals(m), "signals"), m.universe)
     return rounded(report, 6, "ma_200", "earnings_yield", "roe", "momentum_12_1")
 
 
