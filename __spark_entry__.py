@@ -55,6 +55,16 @@ def _signals(m: Market, **options) -> DataFrame:
     return signals.daily_signals(_prices(m), _fundamentals(m), m.universe, **options)
 
 
+def _stored_prices(m: Market) -> DataFrame:
+    """Clean prices as a stored table, for reports that read them more than once."""
+    return stage(_prices(m), "prices")
+
+
+def _reported_signals(m: Market) -> DataFrame:
+    """Signals for reports that look up their month ends first."""
+    return signals.daily_signals(_stored_prices(m), _fundamentals(m), m.universe)
+
+
 def _joined(m: Market, strategy: str = "interval") -> DataFrame:
     return signals.with_fundamentals(
         signals.technicals(_prices(m)), _fundamentals(m), m.universe, strategy
@@ -82,9 +92,12 @@ def q_clean_prices(m: Market) -> DataFrame:
     return _prices(m)
 
 
+def _log(m: Market, prices: DataFrame) -> DataFrame:
+    return m.stamped(clean.load_log(m.raw_quotes, prices, False, datetime(2002, 1, 1)))
+
+
 def q_load_log(m: Market) -> DataFrame:
-    raw = m.raw_quotes
-    return m.stamped(clean.load_log(raw, clean.clean_prices(raw), False, datetime(2002, 1, 1)))
+    return _log(m, _prices(m))
 
 
 def q_duplicate_prices(m: Market) -> DataFrame:
@@ -178,7 +191,7 @@ def q_todays_signals(m: Market) -> DataFrame:
 
 
 def _validation(m: Market, row_bound: int = ranking.WINDOW_ROW_BOUND) -> DataFrame:
-    return analysis.signal_validation(_signals(m), m.universe, row_bound=row_bound)
+    return analysis.signal_validation(_reported_signals(m), m.universe, row_bound=row_bound)
 
 
 def q_signal_validation(m: Market) -> DataFrame:
@@ -197,7 +210,7 @@ def q_quintile_spread(m: Market) -> DataFrame:
 
 def q_sector_heatmap(m: Market) -> DataFrame:
     return rounded(
-        analysis.sector_heatmap(_signals(m)), 6,
+        analysis.sector_heatmap(_reported_signals(m)), 6,
         "buy_share", "sell_share", "net_buy_share", "avg_composite_score",
     )
 
@@ -227,7 +240,8 @@ def q_price_jumps(m: Market) -> DataFrame:
 
 
 def q_load_health(m: Market) -> DataFrame:
-    report = health.pipeline_health(m.trading_calendar, q_load_log(m), _prices(m), HEALTH_AS_OF)
+    prices = _stored_prices(m)
+    report = health.pipeline_health(m.trading_calendar, _log(m, prices), prices, HEALTH_AS_OF)
     return rounded(report, 6, "trailing_avg_rows")
 
 
