@@ -7,10 +7,15 @@ the data, the names ending in ``_dense`` a ticker per nation, which gives long u
 
 from __future__ import annotations
 
+import importlib
 import os
 import sys
+import tempfile
+import zipfile
 from collections.abc import Callable
 from datetime import date, datetime
+from importlib.util import find_spec
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -366,11 +371,47 @@ def entry(spark: SparkSession) -> DataFrame:
     return q_daily_signals(Market(spark, "/root/testdata/sf0.001"))
 
 
+def _module(name: str):
+    """A module of the training-data operators, or None where they are not installed."""
+    parent = name.rpartition(".")[0]
+    there = (not parent or find_spec(parent)) and find_spec(name)
+    return importlib.import_module(name) if there else None
+
+
+def _shipped(spark: SparkSession) -> None:
+    """Give Python workers the package, once per application: they may run in another folder."""
+    root = Path(__file__).resolve().parent
+    archive = f"{spark.sparkContext.applicationId}-signalloom.zip"
+    if not any(str(p).endswith(archive) for p in spark.sparkContext._python_includes):
+        path = os.path.join(tempfile.mkdtemp(), archive)  # read by Spark's file server on this machine
+        with zipfile.ZipFile(path, "w") as z:
+            for p in sorted((root / "signalloom").rglob("*.py")):
+                z.write(p, p.relative_to(root))
+        spark.sparkContext.addPyFile(path)
+
+
+def _with_code(query: Query) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        _shipped(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict[str, Query]:
     bound = {name: _bind(q, "supplier") for name, (q, _) in _SUPPLIER.items()}
     bound.update({name: _bind(q, "nation") for name, (q, _) in _NATION.items()})
+    if llm := _module("signalloom.llm.registry"):
+        bound.update({name: _with_code(q) for name, q in llm.QUERIES.items()})
+        if corpus := _module("corpus_pipeline"):
+            bound["pipeline"] = _with_code(corpus.run)
     return bound
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: text for name, (_, text) in {**_SUPPLIER, **_NATION}.items()}
+    texts = {name: text for name, (_, text) in {**_SUPPLIER, **_NATION}.items()}
+    if llm := _module("signalloom.llm.registry"):
+        texts.update(llm.ORACLES)
+        if (corpus := _module("corpus_pipeline")) and corpus.ORACLE_SQL:
+            texts["pipeline"] = corpus.ORACLE_SQL
+    return texts
