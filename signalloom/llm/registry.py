@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from signalloom.llm.jaccard import op2_ngram_jaccard
 from signalloom.llm.lines import OP6_SQL, op6_line_dedup
 from signalloom.llm.quality import op3_quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_quality_rules": op3_quality_rules,
     "op6_line_dedup": op6_line_dedup,
 }
