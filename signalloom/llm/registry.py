@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from signalloom.llm.jaccard import op2_ngram_jaccard
 from signalloom.llm.lines import OP6_SQL, op6_line_dedup
 from signalloom.llm.quality import op3_quality_rules
+from signalloom.llm.substrings import op4_substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_quality_rules": op3_quality_rules,
+    "op4_substring_dedup": op4_substring_dedup,
     "op6_line_dedup": op6_line_dedup,
 }
 
