@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalloom.llm.shared import WORD, table
+from signalloom.llm.shared import WORD, Scratch, table
 
 GRAM, PICK = 2, 2
 
@@ -64,6 +64,7 @@ def repeated_lines(docs: DataFrame, gram: int = GRAM, pick: int = PICK) -> DataF
             )
         ).alias("pos", "w"),
     ).select("doc", "hash", "pos", "w.*")
+    windows = Scratch(docs.sparkSession, "lines").store(windows, "windows")  # small against the texts, and read three times
     # Neighbouring windows may pick one gram; it counts once.
     again = windows.where("fresh").groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1")
     matched = windows.drop("fresh").join(again.select("fingerprint"), "fingerprint", "left_semi")
