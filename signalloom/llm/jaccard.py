@@ -6,15 +6,15 @@
    then by hash. Any common order makes prefix filtering exact; the counts only make it sharp.
    Sets of size n that link must share one of their first ``n - ceil(t n) + 1`` shingles, for the
    shorter set one of fewer.
-3. Prefix shingles of one set only are dropped. Pairs that meet pass the length filter, the positional filter
-   (what can still match before and after the shared place) and the suffix filter (the sets cut
-   at fixed pivots of the hash range: no more can match than the smaller count in each part).
+3. Prefix shingles of one set only are dropped. Pairs that meet pass the length filter, the
+   positional filter (what can still match before and after the shared place) and the suffix
+   filter (the sets cut in fixed parts: no more can match than the smaller count in each part).
 4. Pairs are checked on whole sets, each once, and links close up to components.
 
 Large groups of near copies would give all their pairs. So each prefix shingle's documents first
-meet one of them, the hub. Components of these links are formed, and only documents that are still
-apart from their hub's component meet the others of the shingle that are not of their own
-component. A pair that is skipped is connected already, so components lose nothing.
+meet one of them, the hub, which has the fewest shingles of its own. Components of these links are
+formed, and only documents that are still apart from their hub's component meet the others of the
+shingle that are not of their own component. A pair that is skipped is connected already, so components lose nothing.
 
 Nulls and edges: a null or empty text, or one without words, has an empty set and links with
 nothing; a row without id keeps null as its component; rows of one id are one document to links.
@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from signalloom.llm.components import connected
@@ -94,10 +94,14 @@ def _prefixes(docs: DataFrame, size: int, least: int, of: int, counts: np.ndarra
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(prefix, schema)
 
 
-def _may_link(n: Column, m: Column, i: Column, j: Column, least: int, of: int) -> Column:
-    """Length, index-prefix and positional filters of a shingle at places i and j of sets of n and m."""
+def _may_link(n: Column, m: Column, i: Column, j: Column, a: Column, b: Column, least: int, of: int) -> Column:
+    """Length, index-prefix and positional filters of a shingle at places i and j of sets of n and m.
+
+    What comes before in one set can only match what comes before in the other, and of that only the
+    a and b shingles that any other prefix has.
+    """
     need = least * (n + m)  # times 1 / (least + of): the overlap that a link needs
-    most = F.least(i, j) + F.least(n - i, m - j)
+    most = F.least(a, b) + F.least(n - i, m - j)
     short_n, short_i = F.least(n, m), F.when((n < m) | ((n == m) & (i < j)), i).otherwise(j)
     indexed = short_i * (least + of) <= (least + of) * short_n - 2 * least * short_n
     return (least * n <= of * m) & (least * m <= of * n) & (most * (least + of) >= need) & indexed
@@ -144,10 +148,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, least: int = 80, of: int = 1
     classes = known.groupBy("class").agg(F.min("doc_id").alias("rep"))
     reps = known.join(classes, "class").where("doc_id = rep")
     placed = reps.select("rep", "n", F.posexplode("prefix").alias("pos", "shingle"))
-    groups = placed.groupBy("shingle").agg(
-        F.count("*").alias("g"), F.min("rep").alias("hub"), F.min_by("n", "rep").alias("hub_n"), F.min_by("pos", "rep").alias("hub_pos")
-    )
-    met = scratch.store(placed.join(groups.where("g > 1").drop("g"), "shingle"), "met")
+    groups = placed.groupBy("shingle").agg(F.count("*").alias("g")).where("g > 1").select("shingle")
+    # A set has few prefix shingles, so this window is small for each of them.
+    shared_before = F.row_number().over(Window.partitionBy("rep", "n").orderBy("pos")) - 1
+    met = scratch.store(placed.join(groups, "shingle", "left_semi").withColumn("a", shared_before), "met")
+    # The hub has the fewest shingles of its own before the shared one: the least changed copy.
+    hub = met.groupBy("shingle").agg(F.min(F.struct((F.col("pos") - F.col("a")).alias("u"), "rep", "n", "pos", "a")).alias("hub"))
+    hub = hub.select("shingle", *(F.col(f"hub.{k}").alias(f"hub_{k}" if k != "rep" else "hub") for k in ("rep", "n", "pos", "a")))
     parts = reps.select("rep", "parts")
 
     def sifted(pairs: DataFrame) -> DataFrame:
@@ -157,20 +164,22 @@ def near_duplicates(docs: DataFrame, size: int = 5, least: int = 80, of: int = 1
         most = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
         return cut.where(most * (least + of) >= least * (F.col("n") + F.col("m"))).select("a", "b").distinct()
 
-    star = met.where("rep <> hub").where(_may_link(*map(F.col, ("n", "hub_n", "pos", "hub_pos")), least, of))
-    tried = scratch.store(sifted(star.select(F.col("hub").alias("a"), F.col("rep").alias("b"), F.col("hub_n").alias("n"), F.col("n").alias("m"))), "tried")
+    star = met.join(hub, "shingle").where("rep <> hub").where(_may_link(*map(F.col, ("n", "hub_n", "pos", "hub_pos", "a", "hub_a")), least, of))
+    pair = (F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b"), F.col("hub_n").alias("n"), F.col("n").alias("m"))
+    tried = scratch.store(sifted(star.select(*pair)), "tried")
     links = scratch.store(_checked(tried, scratch.store(_sets_of(docs, tried, size), "sets"), least, of), "star-links")
     scratch.drop("sets")
 
     near = connected(links, scratch, "star").withColumnRenamed("node", "rep")
     near = scratch.store(near, "near")
-    hubs = near.select(F.col("rep").alias("hub"), F.col("component").alias("hub_c"))
-    told = met.join(near, "rep", "left").join(hubs, "hub", "left")
-    told = told.withColumn("c", F.coalesce("component", "rep")).withColumn("hub_c", F.coalesce("hub_c", "hub"))
-    told = scratch.store(told.select("shingle", "rep", "n", "pos", "hub", "c", (F.col("c") != F.col("hub_c")).alias("apart")), "told")
-    x = told.where("apart").select("shingle", *(F.col(k).alias(f"x_{k}") for k in ("rep", "n", "pos", "c")))
-    y = told.where("rep <> hub").select("shingle", "apart", *(F.col(k).alias(f"y_{k}") for k in ("rep", "n", "pos", "c")))
-    rest = x.join(y, "shingle").where("x_c <> y_c and (not apart or x_rep < y_rep)").where(_may_link(*map(F.col, ("x_n", "y_n", "x_pos", "y_pos")), least, of))
+    hubs = hub.select("shingle", "hub").join(near.select(F.col("rep").alias("hub"), F.col("component").alias("hub_c")), "hub", "left")
+    told = met.join(near, "rep", "left").join(hubs, "shingle").withColumn("c", F.coalesce("component", "rep"))
+    told = told.withColumn("apart", F.col("c") != F.coalesce("hub_c", "hub"))
+    told = scratch.store(told.select("shingle", "rep", "n", "pos", "a", "c", "hub", "apart"), "told")
+    x = told.where("apart").select("shingle", *(F.col(k).alias(f"x_{k}") for k in ("rep", "n", "pos", "a", "c")))
+    y = told.where("rep <> hub").select("shingle", "apart", *(F.col(k).alias(f"y_{k}") for k in ("rep", "n", "pos", "a", "c")))
+    rest = x.join(y, "shingle").where("x_c <> y_c and (not apart or x_rep < y_rep)")
+    rest = rest.where(_may_link(*map(F.col, ("x_n", "y_n", "x_pos", "y_pos", "x_a", "y_a")), least, of))
     rest = rest.select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b"), F.col("x_n").alias("n"), F.col("y_n").alias("m"))
     rest = scratch.store(sifted(rest).join(tried, ["a", "b"], "left_anti"), "rest")
     more = scratch.store(_checked(rest, scratch.store(_sets_of(docs, rest, size), "sets"), least, of), "rest-links")
