@@ -11,8 +11,9 @@
 Frequent grams would make hot buckets. A table of ``2 ** CELL_BITS`` counts finds hash cells with
 more than ``HOT`` times the mean; their grams are minimisers only of windows that have no other. So
 a frequent word pair draws no windows, and no bucket holds more than ``HOT / 2 ** CELL_BITS`` of the
-grams. Windows of hot grams alone lie inside passages that are repeated very often. They go one by
-one, as a hash, and are folded to their first document in the map tasks before they are shuffled.
+grams. Windows of hot grams alone lie inside passages that are repeated very often. They travel as
+whole runs: equal runs are folded to their first document in the map tasks, later ones are removed
+whole, and only the different runs, a few for each passage, go through buckets as above.
 
 A word is removed if it is covered by a window whose words also start in a document with a smaller
 id; windows are judged on the input. Nulls and edges: null, empty and short texts lose nothing, a
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from signalloom.llm.shared import partitions, table
+from signalloom.llm.shared import Scratch, partitions, table
 from signalloom.llm.words import Words, pieces, windows
 
 SPAN, GRAM = 13, 3
@@ -108,8 +109,11 @@ def _runs(marked: np.ndarray, together: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.flatnonzero(begins), np.flatnonzero(ends)
 
 
+_PACKED = pa.schema([("bucket", pa.int64()), *((name, pa.binary()) for name in ("strings", "docs", "keys", "places"))])
+
+
 def _packed(batches: Iterator[pa.RecordBatch], hot: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Super-k-mers by bucket: their strings, documents and places."""
+    """Super-k-mers by bucket: their strings, documents, the keys to report them by, and places."""
     press = zstandard.ZstdCompressor(level=1)
     for rows, data, offsets in pieces(batches):
         w = _Windows(data, offsets, hot)
@@ -123,22 +127,24 @@ def _packed(batches: Iterator[pa.RecordBatch], hot: np.ndarray, buckets: int) ->
         low, high, bucket = low[order], high[order], bucket[order]
         ids = rows.column("doc_id").to_numpy(zero_copy_only=False)
         docs, place = ids[w.of[low]], low - w.words.first[w.of[low]]
+        keys = rows.column("key").to_numpy(zero_copy_only=False)[w.of[low]]
         a, b = w.words.starts[low].tolist(), w.words.ends[high + SPAN - 1].tolist()
         cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
-        out: dict[str, list] = {"bucket": [], "strings": [], "docs": [], "places": []}
+        out: dict[str, list] = {name: [] for name in _PACKED.names}
         for x, y in zip(cuts[:-1], cuts[1:], strict=True):
             out["bucket"].append(int(bucket[x]))
             out["strings"].append(press.compress(b"\n".join([w.text[i:j] for i, j in zip(a[x:y], b[x:y], strict=True)])))
-            out["docs"].append(press.compress(docs[x:y].astype(np.int64).tobytes()))
-            out["places"].append(press.compress(place[x:y].astype(np.int64).tobytes()))
-        yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("bucket", pa.int64()), ("strings", pa.binary()), ("docs", pa.binary()), ("places", pa.binary())]))
+            for name, column in (("docs", docs), ("keys", keys if (keys != docs).any() else keys[:0]), ("places", place)):
+                out[name].append(press.compress(column[x:y].astype(np.int64).tobytes()))
+        yield pa.RecordBatch.from_pydict(out, schema=_PACKED)
 
 
 def _sorted_bucket(key, group):
     """Runs of windows of a bucket that also start in a document with a smaller id."""
-    strings, docs, places = ([zstandard.decompress(x.as_py()) for x in group.column(c)] for c in ("strings", "docs", "places"))
+    strings, docs, keys, places = ([zstandard.decompress(x.as_py()) for x in group.column(c)] for c in _PACKED.names[1:])
+    keys = [k or d for k, d in zip(keys, docs, strict=True)]  # left out where a document is its own key
     text = np.frombuffer(b"\n".join(strings) + b"\n", dtype=np.uint8)
-    docs, places = (np.frombuffer(b"".join(x), dtype=np.int64) for x in (docs, places))
+    docs, keys, places = (np.frombuffer(b"".join(x), dtype=np.int64) for x in (docs, keys, places))
     w = Words(text, np.concatenate([[0], np.flatnonzero(text == 10) + 1]))
     of = np.repeat(np.arange(len(docs)), np.diff(w.first))
     n = len(of) - SPAN + 1
@@ -160,7 +166,7 @@ def _sorted_bucket(key, group):
     together[1:] = of[1:] == of[:-1]
     low, high = _runs(marked, together)
     first = places[of[low]] + low - w.first[of[low]]
-    return pa.table({"doc": pa.array(docs[of[low]], pa.int64()), "low": pa.array(first, pa.int64()), "high": pa.array(first + high - low + SPAN, pa.int64())})
+    return pa.table({"key": pa.array(keys[of[low]], pa.int64()), "low": pa.array(first, pa.int64()), "high": pa.array(first + high - low + SPAN, pa.int64())})
 
 
 def repeated_words(docs: DataFrame) -> DataFrame:
@@ -171,21 +177,33 @@ def repeated_words(docs: DataFrame) -> DataFrame:
     buckets = max(partitions(spark), int(counts.sum()) // BUCKET_WORDS)
     hot = spark.sparkContext.broadcast(counts > HOT * max(1.0, counts.mean()))
 
-    packed = texts.mapInArrow(lambda b: _packed(b, hot.value, buckets), "bucket long, strings binary, docs binary, places binary")
-    cold = packed.groupBy("bucket").applyInArrow(_sorted_bucket, "doc long, low long, high long")
+    def in_buckets(rows: DataFrame, apart, n: int) -> DataFrame:
+        packed = rows.mapInArrow(lambda b: _packed(b, apart.value, n), "bucket long, " + ", ".join(f"{c} binary" for c in _PACKED.names[1:]))
+        return packed.groupBy("bucket").applyInArrow(_sorted_bucket, "key long, low long, high long")
 
-    def alone(batches):
+    def hot_runs(batches):
         for rows, data, offsets in pieces(batches):
             w = _Windows(data, offsets, hot.value)
-            at = np.flatnonzero(w.hot)
-            one, two = (windows(h, SPAN)[at].view(np.int64) for h in (w.h, w.words.hashes(1)))
+            low, high = _runs(w.hot, np.ones(len(w.hot), dtype=bool))
             ids = rows.column("doc_id").to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (one, two, ids[w.of[at]], at - w.words.first[w.of[at]])], ["one", "two", "doc", "low"])
-
-    single = texts.mapInArrow(alone, "one long, two long, doc long, low long")
-    first = single.groupBy("one", "two").agg(F.min("doc").alias("least"))
-    later = single.join(first, ["one", "two"]).where("doc > least").select("doc", "low", (F.col("low") + SPAN).alias("high"))
-    return cold.unionByName(later)
+            runs = [w.text[a:b] for a, b in zip(w.words.starts[low].tolist(), w.words.ends[high + SPAN - 1].tolist(), strict=True)]
+            first = low - w.words.first[w.of[low]]
+            columns = [pa.array(x, pa.int64()) for x in (ids[w.of[low]], first, first + high - low + SPAN)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(runs, pa.binary())], ["doc", "low", "high", "run"])
+
+    cold = in_buckets(texts.withColumn("key", F.col("doc_id")), hot, buckets)
+    scratch = Scratch(spark, "substrings")
+    runs = texts.mapInArrow(hot_runs, "doc long, low long, high long, run binary")
+    runs = runs.withColumn("key", F.xxhash64("run")).withColumn("mark", F.md5("run"))
+    different = scratch.store(runs.groupBy("mark", "key").agg(F.min("doc").alias("first"), F.first("run").alias("run")), "runs")
+    placed = runs.select("doc", "low", "high", "mark").join(different.select("mark", "key", "first"), "mark")
+    whole = placed.where("doc > first").select(F.col("doc").alias("key"), "low", "high")
+    # What of a run's first place also starts elsewhere earlier, inside another run.
+    none = spark.sparkContext.broadcast(np.zeros(1 << CELL_BITS, dtype=bool))
+    inner = in_buckets(different.select(F.col("first").alias("doc_id"), F.col("run").cast("string").alias("text"), "key"), none, partitions(spark))
+    inner = inner.select("key", F.col("low").alias("from"), F.col("high").alias("to"))
+    part = placed.where("doc = first").join(inner, "key").select(F.col("doc").alias("key"), (F.col("low") + F.col("from")).alias("low"), (F.col("low") + F.col("to")).alias("high"))
+    return cold.unionByName(whole).unionByName(part).withColumnRenamed("key", "doc")
 
 
 _CUT = T.StructType([T.StructField("text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())])
