@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from signalloom.llm.bpe import op9_bpe
 from signalloom.llm.jaccard import op2_ngram_jaccard
 from signalloom.llm.lines import OP6_SQL, op6_line_dedup
+from signalloom.llm.packing import op7_best_fit_packing
 from signalloom.llm.quality import op3_quality_rules
 from signalloom.llm.substrings import op4_substring_dedup
 
@@ -16,6 +18,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op4_substring_dedup": op4_substring_dedup,
     "op6_line_dedup": op6_line_dedup,
+    "op7_best_fit_packing": op7_best_fit_packing,
+    "op9_bpe": op9_bpe,
 }
 
 ORACLES: dict[str, str] = {"op6_line_dedup": OP6_SQL}
