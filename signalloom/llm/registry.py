@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from signalloom.llm.bpe import op9_bpe
+from signalloom.llm.html import op8_html_extraction
 from signalloom.llm.jaccard import op2_ngram_jaccard
 from signalloom.llm.lines import OP6_SQL, op6_line_dedup
 from signalloom.llm.packing import op7_best_fit_packing
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_substring_dedup": op4_substring_dedup,
     "op6_line_dedup": op6_line_dedup,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_html_extraction": op8_html_extraction,
     "op9_bpe": op9_bpe,
     "op10_embedding_dedup": op10_embedding_dedup,
 }
