@@ -13,6 +13,7 @@ from signalloom.llm.lines import OP6_SQL, op6_line_dedup
 from signalloom.llm.packing import op7_best_fit_packing
 from signalloom.llm.quality import op3_quality_rules
 from signalloom.llm.substrings import op4_substring_dedup
+from signalloom.llm.suffixes import op5_suffix_dedup
 from signalloom.llm.tokenfile import op1_token_files
 from signalloom.llm.vectors import op10_embedding_dedup
 
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_quality_rules": op3_quality_rules,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_line_dedup": op6_line_dedup,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_html_extraction": op8_html_extraction,
