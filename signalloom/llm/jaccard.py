@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -127,14 +128,23 @@ def _checked(pairs: DataFrame, sets: DataFrame, least: int, of: int) -> DataFram
 
 
 def _sets_of(docs: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
+    """Sets of the documents in ``pairs``. Texts are compressed before they meet the ids asked for."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted, "rep", "left_semi")
+
+    def press(batches):
+        own = zstandard.ZstdCompressor(level=1)
+        for b in batches:
+            z = [own.compress(t.as_buffer()) for t in b.column("text").cast(pa.large_binary())]
+            yield pa.RecordBatch.from_arrays([b.column("rep"), pa.array(z, pa.binary())], ["rep", "z"])
 
     def sets(batches):
-        for rows, found in shingle_sets(batches, size):
-            yield pa.RecordBatch.from_arrays([rows.column("rep"), pa.array([s.tobytes() for s in found], pa.binary())], ["rep", "set"])
+        for b in batches:
+            texts = pa.array([zstandard.decompress(z.as_py()) for z in b.column("z")], pa.large_binary())
+            for rows, found in shingle_sets(iter([pa.RecordBatch.from_arrays([b.column("rep"), texts], ["rep", "text"])]), size):
+                yield pa.RecordBatch.from_arrays([rows.column("rep"), pa.array([s.tobytes() for s in found], pa.binary())], ["rep", "set"])
 
-    return texts.mapInArrow(sets, "rep long, set binary")
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.coalesce("text", F.lit("")).alias("text"))
+    return texts.mapInArrow(press, "rep long, z binary").join(wanted, "rep", "left_semi").mapInArrow(sets, "rep long, set binary")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, least: int = 80, of: int = 100) -> DataFrame:
