@@ -107,7 +107,9 @@ def labelled_features(page: str) -> Counter:
         if kind == "text":
             if n := len(text.split()):
                 found["w " + feature, inside] += n
-                found["w " + feature.split("|")[0], inside] += n
+                block, part = feature.split("|")
+                found["w |" + part, inside] += n
+                found["w " + block, inside] += n
         else:
             found[kind[0] + " " + feature, inside] += 1
         if kind == "open" and text == "article":
@@ -139,8 +141,11 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
         return ""
 
     def word_weight(context: str) -> float:
-        known = weights.get("w " + context)
-        return known if known is not None else weights.get("w " + context.split("|")[0], WORD_WEIGHT)
+        block, part = context.split("|")
+        for feature in (context, "|" + part, block):
+            if (known := weights.get("w " + feature)) is not None:
+                return known
+        return WORD_WEIGHT
 
     seen = list(tokens(page))
     best = sum_ = 0.0

@@ -78,15 +78,15 @@ def repeated_lines(docs: DataFrame, gram: int = GRAM, pick: int = PICK) -> DataF
 
 def without_repeated_lines(docs: DataFrame, gram: int = GRAM, pick: int = PICK) -> DataFrame:
     """``docs`` with the lines deleted, and ``_n_lines`` and ``_n_removed``."""
-    gone = repeated_lines(docs, gram, pick).select(F.col("doc").alias("_doc"), F.col("hash").alias("_hash"), F.col("mask").alias("_mask"))
-    rows = docs.withColumn("_own", F.xxhash64("text"))
-    rows = rows.join(gone, rows["doc_id"].eqNullSafe(gone["_doc"]) & (rows["_own"] == gone["_hash"]), "left")
-    rows = rows.withColumn("_lines", _cut("text"))
-    stays = F.filter("_lines", lambda x, i: F.substring(F.col("_mask"), i + 1, F.lit(1)) != F.lit(b"1"))
-    rows = rows.withColumn("_left", F.when(F.col("_mask").isNotNull(), stays).otherwise(F.col("_lines")))
-    text = F.when(F.col("_mask").isNull(), F.col("text")).otherwise(F.array_join("_left", "\n"))
-    counted = [F.char_length(text).cast(kind).alias(n) if n == "n_chars" else text.alias(n) if n == "text" else F.col(n) for n, kind in docs.dtypes]
-    return rows.select(*counted, F.size("_lines").cast("long").alias("_n_lines"), (F.size("_lines") - F.size("_left")).cast("long").alias("_n_removed"))
+    gone = repeated_lines(docs, gram, pick).select(F.col("doc").alias("__lines_doc"), F.col("hash").alias("__lines_hash"), F.col("mask").alias("__lines_mask"))
+    rows = docs.withColumn("__lines_own", F.xxhash64("text"))
+    rows = rows.join(gone, rows["doc_id"].eqNullSafe(gone["__lines_doc"]) & (rows["__lines_own"] == gone["__lines_hash"]), "left")
+    rows = rows.withColumn("__lines_lines", _cut("text"))
+    stays = F.filter("__lines_lines", lambda x, i: F.substring(F.col("__lines_mask"), i + 1, F.lit(1)) != F.lit(b"1"))
+    rows = rows.withColumn("__lines_left", F.when(F.col("__lines_mask").isNotNull(), stays).otherwise(F.col("__lines_lines")))
+    text = F.when(F.col("__lines_mask").isNull(), F.col("text")).otherwise(F.array_join("__lines_left", "\n"))
+    counted = [F.char_length(text).cast(kind).alias(n) if n == "n_chars" else text.alias(n) if n == "text" else F.col(n) for n, kind in docs.dtypes if n not in ("_n_lines", "_n_removed")]
+    return rows.select(*counted, F.size("__lines_lines").cast("long").alias("_n_lines"), (F.size("__lines_lines") - F.size("__lines_left")).cast("long").alias("_n_removed"))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,6 +43,9 @@ LADDERS: dict[str, tuple[str, list[float]]] = {
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capital_words"]
 WINDOW, LEAST_WORDS = 3, 50
 
+#: Columns that ``judged`` adds, or replaces where they are there.
+JUDGED = ("_figures", "_base_failed", "_kept")
+
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 _BYTES = np.arange(256)
@@ -185,14 +188,14 @@ def judged(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: flo
     """
     scratch = Scratch(docs.sparkSession, "quality")
     limits = scratch.store(cutoffs(docs, labels, stratum, alpha, delta), "cutoffs")
-    limits = limits.select(F.col("stratum").alias("_stratum"), *(F.col(r).alias(f"_cut_{r}") for r in LADDERS))
+    limits = limits.select(F.col("stratum").alias("__quality_stratum"), *(F.col(r).alias(f"__quality_cut_{r}") for r in LADDERS))
     rows = docs.withColumn("_figures", text_figures("text")).withColumn("_base_failed", base_failed("_figures"))
-    rows = rows.join(limits, rows[stratum].eqNullSafe(limits["_stratum"]), "left")
-    beyond = [F.coalesce(_figure(r, "_figures") > F.col(f"_cut_{r}"), F.lit(False)) for r in LADDERS]
+    rows = rows.join(limits, rows[stratum].eqNullSafe(limits["__quality_stratum"]), "left")
+    beyond = [F.coalesce(_figure(r, "_figures") > F.col(f"__quality_cut_{r}"), F.lit(False)) for r in LADDERS]
     rejected = F.col("_base_failed")
     for x in beyond:
         rejected = rejected | x
-    return rows.withColumn("_kept", ~rejected).select(*docs.columns, "_figures", "_base_failed", "_kept")
+    return rows.withColumn("_kept", ~rejected).select(*(c for c in docs.columns if c not in JUDGED), *JUDGED)
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

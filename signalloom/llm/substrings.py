@@ -18,7 +18,7 @@ whole, and only the different runs, a few for each passage, go through buckets a
 A word is removed if it is covered by a window whose words also start in a document with a smaller
 id; windows are judged on the input. Nulls and edges: null, empty and short texts lose nothing, a
 null text stays null; rows without id neither lose words nor count as an earlier place; rows of one
-id are no repeats of each other. Other columns pass through, ``n_chars`` follows the text.
+id are one document, no repeats of each other, and each loses the words at the places of all. Other columns pass through, ``n_chars`` follows the text.
 """
 
 from __future__ import annotations
@@ -220,8 +220,9 @@ def _cut(text: pd.Series, low: pd.Series, high: pd.Series) -> pd.DataFrame:
             out.append((t, len(words), 0, hashlib.sha256(b" ".join(words)).hexdigest()))
             continue
         edge = np.zeros(len(words) + 1, dtype=np.int64)
-        np.add.at(edge, np.asarray(a), 1)
-        np.add.at(edge, np.asarray(b), -1)
+        # Rows of one id share their runs, also where another row of it is shorter.
+        np.add.at(edge, np.minimum(a, len(words)), 1)
+        np.add.at(edge, np.minimum(b, len(words)), -1)
         keep = np.cumsum(edge[:-1]) == 0
         w = Words(np.frombuffer(raw, dtype=np.uint8), np.array([0, len(raw)]))
         x, y = _runs(keep, np.ones(len(keep), dtype=bool))
@@ -235,12 +236,12 @@ def _cut(text: pd.Series, low: pd.Series, high: pd.Series) -> pd.DataFrame:
 
 def without_repeated_words(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated words removed, and ``_n_words``, ``_n_removed``, ``_kept_sha256``."""
-    runs = repeated_words(docs).groupBy("doc").agg(F.collect_list("low").alias("_low"), F.collect_list("high").alias("_high"))
-    rows = docs.join(runs.withColumnRenamed("doc", "_doc"), F.col("doc_id") == F.col("_doc"), "left")
-    rows = rows.withColumn("_cut", _cut("text", "_low", "_high"))
-    text = F.col("_cut.text")
-    own = [text.alias(n) if n == "text" else F.when(F.col("_cut.n_removed") > 0, F.char_length(text)).otherwise(F.col(n)).cast(kind).alias(n) if n == "n_chars" else F.col(n) for n, kind in docs.dtypes]
-    return rows.select(*own, *(F.col(f"_cut.{c}").alias(f"_{c}") for c in _CUT.names[1:]))
+    runs = repeated_words(docs).groupBy("doc").agg(F.collect_list("low").alias("__words_low"), F.collect_list("high").alias("__words_high"))
+    rows = docs.join(runs.withColumnRenamed("doc", "__words_doc"), F.col("doc_id") == F.col("__words_doc"), "left")
+    rows = rows.withColumn("__words_cut", _cut("text", "__words_low", "__words_high"))
+    text = F.col("__words_cut.text")
+    own = [text.alias(n) if n == "text" else F.when(F.col("__words_cut.n_removed") > 0, F.char_length(text)).otherwise(F.col(n)).cast(kind).alias(n) if n == "n_chars" else F.col(n) for n, kind in docs.dtypes if n not in ("_n_words", "_n_removed", "_kept_sha256")]
+    return rows.select(*own, *(F.col(f"__words_cut.{c}").alias(f"_{c}") for c in _CUT.names[1:]))
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
