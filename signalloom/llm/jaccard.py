@@ -32,11 +32,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from signalloom.llm.components import connected
-from signalloom.llm.shared import Scratch, table
+from signalloom.llm.shared import Scratch, batches_of, table
 from signalloom.llm.words import Words, pieces, windows
 
 #: Cells of the table of shingle counts (2 MB), and parts of the hash range in the suffix filter.
 CELL_BITS, PARTS = 18, 32
+BATCH = 1_000
 
 
 def shingle_sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -152,6 +153,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, least: int = 80, of: int = 1
 
     Sets link when ``of`` times their intersection is at least ``least`` times their union.
     """
+    # Rows hold texts or whole sets: small batches keep the workers' memory bounded.
+    with batches_of(docs.sparkSession, BATCH):
+        return _near_duplicates(docs, size, least, of)
+
+
+def _near_duplicates(docs: DataFrame, size: int, least: int, of: int) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "jaccard")
     rows = scratch.store(_prefixes(docs, size, least, of, _cell_counts(docs, size)), "rows")
     known = rows.where("n > 0 and doc_id is not null")

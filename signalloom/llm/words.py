@@ -89,7 +89,8 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string column; a null is an empty text."""
     if column.null_count:
         column = column.fill_null("")
-    column = column.cast(pa.large_binary()) if pa.types.is_string(column.type) else column.cast(pa.large_string()).cast(pa.large_binary())
+    if not pa.types.is_large_binary(column.type):
+        column = column.cast(pa.large_binary())
     _, where, data = column.buffers()
     offsets = np.frombuffer(where, dtype=np.int64)[column.offset : column.offset + len(column) + 1]
     whole = np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.empty(0, dtype=np.uint8)
