@@ -34,13 +34,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from signalloom.llm.shared import Scratch, partitions, table
+from signalloom.llm.shared import Scratch, batches_of, partitions, table
 from signalloom.llm.words import Words, pieces, windows
 
 SPAN, GRAM = 13, 3
 CELL_BITS, HOT = 18, 16
 #: Words whose windows a bucket sorts at once; the number of buckets follows the corpus.
-BUCKET_WORDS = 1_000_000
+BUCKET_WORDS = 500_000
+#: Rows that a worker is handed at a time while windows are gathered.
+BATCH = 2_000
 
 _TOP = np.uint64(1 << 63)
 
@@ -146,10 +148,12 @@ def _sorted_bucket(key, group):
     text = np.frombuffer(b"\n".join(strings) + b"\n", dtype=np.uint8)
     docs, keys, places = (np.frombuffer(b"".join(x), dtype=np.int64) for x in (docs, keys, places))
     w = Words(text, np.concatenate([[0], np.flatnonzero(text == 10) + 1]))
-    of = np.repeat(np.arange(len(docs)), np.diff(w.first))
+    begin = w.first
+    of = np.repeat(np.arange(len(docs), dtype=np.int32), np.diff(begin))
     n = len(of) - SPAN + 1
     at = np.flatnonzero(of[:n] == of[SPAN - 1 :])
     one, two = (windows(w.hashes(seed), SPAN)[at] for seed in (0, 1))
+    del w, text, strings
     doc = docs[of[at]]
     order = np.argsort(one, kind="stable")
     new = np.ones(len(at), dtype=bool)
@@ -165,7 +169,7 @@ def _sorted_bucket(key, group):
     together = np.ones(len(of), dtype=bool)
     together[1:] = of[1:] == of[:-1]
     low, high = _runs(marked, together)
-    first = places[of[low]] + low - w.first[of[low]]
+    first = places[of[low]] + low - begin[of[low]]
     return pa.table({"key": pa.array(keys[of[low]], pa.int64()), "low": pa.array(first, pa.int64()), "high": pa.array(first + high - low + SPAN, pa.int64())})
 
 
@@ -236,7 +240,10 @@ def _cut(text: pd.Series, low: pd.Series, high: pd.Series) -> pd.DataFrame:
 
 def without_repeated_words(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated words removed, and ``_n_words``, ``_n_removed``, ``_kept_sha256``."""
-    runs = repeated_words(docs).groupBy("doc").agg(F.collect_list("low").alias("__words_low"), F.collect_list("high").alias("__words_high"))
+    scratch = Scratch(docs.sparkSession, "words")
+    with batches_of(docs.sparkSession, BATCH):
+        runs = scratch.store(repeated_words(docs), "runs")
+    runs = runs.groupBy("doc").agg(F.collect_list("low").alias("__words_low"), F.collect_list("high").alias("__words_high"))
     rows = docs.join(runs.withColumnRenamed("doc", "__words_doc"), F.col("doc_id") == F.col("__words_doc"), "left")
     rows = rows.withColumn("__words_cut", _cut("text", "__words_low", "__words_high"))
     text = F.col("__words_cut.text")
