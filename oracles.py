@@ -24,7 +24,7 @@ _MEMBERS = {
         SELECT 'S-' || s_suppkey AS ticker, s_name AS company, r_name AS sector,
                CAST(s_suppkey AS INTEGER) AS cik
         FROM supplier, nation, region
-        WHERE s_nationkey = n_nationkey AND n_regionkey = r_regionkey AND s_suppkey % 50 <> 49""",
+        WHERE s_nationkey = n_nationkey AND n_regionkey = r_regionkey""",
     "nation": """
         SELECT replace(n_name, '_', '-') AS ticker, n_name AS company, r_name AS sector,
                n_nationkey AS cik
@@ -343,7 +343,7 @@ _CHAIN = {
         LEFT JOIN log l ON l.partition_date = c.session_date
         LEFT JOIN jumps j ON j.date = c.session_date
         WHERE c.session_date >= (SELECT min(partition_date) FROM log)
-          AND c.session_date < DATE '2001-11-30'""",
+          AND c.session_date < (SELECT last_day(max(CAST(l_shipdate AS DATE))) FROM lineitem)""",
     "watched": """
         SELECT s.*, (SELECT avg(p.clean_rows) FROM sessions p
                      WHERE p.pos >= s.pos - 20 AND p.pos < s.pos) AS trailing_avg_rows
@@ -351,13 +351,12 @@ _CHAIN = {
     "health": """
         SELECT date, raw_rows, clean_rows, raw_rows - clean_rows AS rows_dropped,
                first_scheduled_load, trailing_avg_rows, suspicious_moves,
-               [x.name FOR x IN [
-                   {{'name': 'MISSING', 'hit': clean_rows IS NULL OR clean_rows < 1}},
-                   {{'name': 'LATE', 'hit': first_scheduled_load - date > INTERVAL 30 HOUR}},
-                   {{'name': 'LOW_VOLUME', 'hit': clean_rows / trailing_avg_rows < 0.95}},
-                   {{'name': 'HIGH_DUPES', 'hit': (raw_rows - clean_rows) / raw_rows > 0.05}},
-                   {{'name': 'CHECK_PRICES', 'hit': suspicious_moves > 0}},
-                   {{'name': 'OK', 'hit': true}}] IF x.hit][1] AS status
+               CASE WHEN clean_rows IS NULL OR clean_rows < 1 THEN 'MISSING'
+                    WHEN first_scheduled_load - date > INTERVAL 30 HOUR THEN 'LATE'
+                    WHEN clean_rows / trailing_avg_rows < 0.95 THEN 'LOW_VOLUME'
+                    WHEN (raw_rows - clean_rows) / raw_rows > 0.05 THEN 'HIGH_DUPES'
+                    WHEN suspicious_moves > 0 THEN 'CHECK_PRICES'
+                    ELSE 'OK' END AS status
         FROM watched""",
 }
 
@@ -553,3 +552,19 @@ def landed_facts(grain: str) -> str:
         if n in both
     ]
     return "WITH " + ",\n".join(parts) + body
+
+
+_FIRST = "(SELECT min(CAST(l_shipdate AS DATE)) FROM lineitem)"
+
+
+def range_replaced(grain: str) -> str:
+    month = f"make_date(year({_FIRST}) + 3, month({_FIRST}), 1)"
+    inside = f"date BETWEEN {month} AND {month} + 27"
+    return (
+        chain(grain, "prices") + f" WHERE NOT ({inside}) UNION ALL"
+        f" SELECT date, ticker, close, -volume FROM prices WHERE {inside} AND day(date) <> 11 AND volume > 10"
+    )
+
+
+def table_replaced(grain: str) -> str:
+    return chain(grain, "prices", "date, ticker, close, -volume AS volume") + " WHERE volume > 10"

@@ -1,8 +1,8 @@
 """Ranks within groups, for groups of any size.
 
-A Spark window hands each group to one task. That is the shortest plan while a group is known
-to be small, and the callers in this package only use it after checking a bound. For larger
-groups the functions below give the same numbers from sorted slices: the table is range
+A Spark window hands each group to one task. That is the shortest plan while groups are small;
+callers name it as the strategy ``window``. The strategy ``sliced`` gives the same numbers for
+groups of any size from sorted slices: the table is range
 partitioned on (group, order), so that a large group is spread over many slices, each slice is
 counted, and a row's position is its place in the slice plus the rows in earlier slices.
 """
@@ -16,13 +16,14 @@ from pyspark.sql import functions as F
 
 from signalloom.session import stage
 
-# Most rows of one group that a single task is asked to sort.
-WINDOW_ROW_BOUND = 500_000
+STRATEGIES = ("window", "sliced")
 
 
-def within_bound(df: DataFrame, bound: int = WINDOW_ROW_BOUND) -> bool:
-    """Whether ``df`` has at most ``bound`` rows. Reads no more than needed to tell."""
-    return df.limit(bound + 1).count() <= bound
+def sliced(strategy: str) -> bool:
+    """Whether a strategy, by name, is the one for groups of any size."""
+    if strategy not in STRATEGIES:
+        raise ValueError(f"strategy must be one of {STRATEGIES}, not {strategy!r}")
+    return strategy == "sliced"
 
 
 # ------------------------------------------------------------------ small groups: windows
@@ -106,18 +107,21 @@ def positions(
     return placed.withColumnsRenamed({"_before": position, "_total": size})
 
 
-def percent_ranks(
-    df: DataFrame, key: Sequence[str], group: Sequence[str], ranks: Mapping[str, str]
-) -> DataFrame:
+def _numbered(df: DataFrame, label: str) -> DataFrame:
+    """Give every row a number, and freeze it: rows are found again by it, repeated ones too."""
+    return stage(df.withColumn("_row", F.monotonically_increasing_id()), label)
+
+
+def percent_ranks(df: DataFrame, group: Sequence[str], ranks: Mapping[str, str]) -> DataFrame:
     """:func:`percent_ranks_by_window` without the limit on the size of a group.
 
-    ``key`` identifies rows. All measures are ranked together in long form. Equal values are
-    folded to one row with a count first, so a value that most rows share costs nothing extra.
+    All measures are ranked together in long form. Equal values are folded to one row with a
+    count before they are sorted; the join back to a value that most rows share is skewed and
+    left to the adaptive planner to split.
     """
     measures = list(dict.fromkeys(ranks.values()))
-    # Frozen, since values are matched by equality below and must not be computed twice.
-    df = stage(df, "ranked")
-    ids = list(dict.fromkeys([*key, *group]))
+    df = _numbered(df, "ranked")
+    ids = ["_row", *group]
     long = (
         df.select(*ids, *measures)
         .unpivot(ids, measures, "_measure", "_value")
@@ -137,7 +141,7 @@ def percent_ranks(
     )
     wide = (
         long.join(ranked, [*by, "_value"])
-        .groupBy(*key)
+        .groupBy("_row")
         .agg(
             *[
                 F.max(F.when(F.col("_measure") == measure, F.col("_rank"))).alias(name)
@@ -145,12 +149,11 @@ def percent_ranks(
             ]
         )
     )
-    return df.join(wide, list(key), "left")
+    return df.join(wide, "_row", "left").drop("_row")
 
 
 def ntile(
     df: DataFrame,
-    key: Sequence[str],
     group: Sequence[str],
     measure: str,
     tie: Sequence[str],
@@ -158,18 +161,19 @@ def ntile(
     name: str,
 ) -> DataFrame:
     """:func:`ntile_by_window` without the limit on the size of a group."""
-    narrow = df.select(*dict.fromkeys([*key, *group, measure, *tie])).where(
+    df = _numbered(df, "tiled")
+    narrow = df.select("_row", *dict.fromkeys([*group, measure, *tie])).where(
         F.col(measure).isNotNull()
     )
-    placed = positions(narrow, group, [measure, *tie], "_at", "_size")
+    placed = positions(narrow, group, [measure, *tie, "_row"], "_at", "_size")
     low = F.floor(F.col("_size") / buckets)
     larger = F.col("_size") % buckets
     in_larger = larger * (low + 1)
     bucket = F.when(
         F.col("_at") < in_larger, F.floor(F.col("_at") / (low + 1))
     ).otherwise(larger + F.floor(F.try_divide(F.col("_at") - in_larger, low)))
-    tiles = placed.select(*key, (bucket + 1).cast("int").alias(name))
-    return df.join(tiles, list(key), "left")
+    tiles = placed.select("_row", (bucket + 1).cast("int").alias(name))
+    return df.join(tiles, "_row", "left").drop("_row")
 
 
 def medians(

@@ -101,16 +101,15 @@ def todays_signals(
 
 def signal_validation(
     signals: DataFrame,
-    universe: DataFrame,
     max_gap: int = MAX_GAP_DAYS,
     days: Sequence[date] | None = None,
-    row_bound: int = ranking.WINDOW_ROW_BOUND,
+    strategy: str = "window",
 ) -> DataFrame:
     """Return to the next month end by month end and quintile: count, mean and median.
 
-    ``days`` are the month ends of the signals and are looked up when not given. Spark's median
-    holds a group in memory; it is used while the universe, which bounds the group, has at most
-    ``row_bound`` members. Otherwise the median comes from sorted slices.
+    ``days`` are the month ends of the signals and are looked up when not given. The strategy
+    ``window`` takes Spark's median, which holds the members of a quintile in memory; ``sliced``
+    takes it from sorted slices, for universes of any size.
     """
     monthly = on_days(signals, month_ends(signals) if days is None else days)
     timeline = Window.partitionBy("ticker").orderBy("date")
@@ -139,11 +138,11 @@ def signal_validation(
         F.avg("_return").alias("avg_next_month_return"),
     ]
     median = "median_next_month_return"
-    if ranking.within_bound(universe, row_bound):
-        report = held.groupBy(*by).agg(*summary, F.median("_return").alias(median))
-    else:
+    if ranking.sliced(strategy):
         middle = ranking.medians(held, by, "_return", ["ticker"], median)
         report = held.groupBy(*by).agg(*summary).join(middle, by, "left")
+    else:
+        report = held.groupBy(*by).agg(*summary, F.median("_return").alias(median))
     return report.orderBy(*by)
 
 

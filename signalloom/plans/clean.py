@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -59,3 +59,9 @@ def load_log(
         F.lit(is_backfill).alias("is_backfill"),
         F.lit(loaded_at).cast("timestamp_ntz").alias("loaded_at"),
     )
+
+
+def rejected_quotes(prices: DataFrame, start: date, end: date) -> DataFrame:
+    """Clean quotes dated outside a range they were loaded with."""
+    inside = F.col("date").between(F.lit(start), F.lit(end))
+    return prices.where(~F.coalesce(inside, F.lit(False)))

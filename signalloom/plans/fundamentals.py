@@ -97,7 +97,11 @@ def filing_metrics(facts: DataFrame, filings: DataFrame) -> DataFrame:
             F.col(f"_{tag}_{QUARTER}")
         )
 
-    return filings.join(reported_values(facts), ["adsh", "period"]).select(
+    # Facts of other filers and of other periods go before anything is folded. Spark broadcasts
+    # the keys if their size allows it, and splits a filing that holds many of the facts if not.
+    keys = filings.select("adsh", F.col("period").alias("ddate"))
+    own = facts.join(keys, ["adsh", "ddate"], "left_semi")
+    return filings.join(reported_values(own), ["adsh", "period"]).select(
         "ticker",
         "period_end",
         "filed_date",

@@ -9,12 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signalloom import schemas
-from signalloom.operators import ranking
 from signalloom.operators.dedupe import assert_unique
 from signalloom.plans import analysis, backtest, clean, fundamentals, health, signals
-from signalloom.plans.signals import HISTORY_DAYS
+from signalloom.session import staging
 from signalloom.sources import landing, readers, writers
-from signalloom.sources.paths import partition_dates
+from signalloom.sources.paths import exists, partition_dates
 
 
 @dataclass(frozen=True)
@@ -49,13 +48,20 @@ class Warehouse:
     def signals(self) -> DataFrame:
         return readers.read_table(self.spark, self.path("mart/signals"), schemas.SIGNALS)
 
+    def rejected_quotes(self) -> DataFrame:
+        """Clean quotes whose text date lay outside the range they were loaded with."""
+        return readers.read_table(self.spark, self.path("clean/rejected"), schemas.REJECTED_QUOTES)
+
     def load_log(self) -> DataFrame:
         return readers.read_table(self.spark, self.path("meta/load_log"), schemas.LOAD_LOG)
 
     # ---------------------------------------------------------------- reference data
 
     def store_universe(self, constituents: DataFrame) -> None:
-        writers.replace_table(landing.normalise_universe(constituents), self.path("ref/universe"))
+        """One row per ticker, or nothing is stored: rankings and joins count on it."""
+        universe = landing.normalise_universe(constituents)
+        assert_unique(universe, ["ticker"])
+        writers.replace_table(universe, self.path("ref/universe"))
 
     def store_calendar(self, span: DataFrame, holidays: DataFrame) -> None:
         writers.replace_table(landing.trading_sessions(span, holidays), self.path("ref/calendar"))
@@ -84,14 +90,21 @@ class Warehouse:
     ) -> writers.RangeWrite | None:
         """Clean the raw days of a range into the price table and log their counts.
 
-        Without a raw folder in the range nothing is done: no day is removed and none logged.
+        Quotes dated outside the range go to ``clean/rejected`` under the range they came with, so
+        that none is lost and a rerun takes its own back. Without a raw folder in the range nothing
+        is done: no day is removed and none logged. ``loaded_at`` is stored without a zone; it has
+        to be in the zone that sessions and their deadline are meant in, UTC by default.
         """
         if not partition_dates(self.spark, self.path("raw/prices"), start, end):
             return None
         raw = self.raw_quotes(start, end)
-        done = writers.replace_range(
-            clean.clean_prices(raw), self.path("clean/prices"), start, end
-        )
+        prices = clean.clean_prices(raw)
+        done = writers.replace_range(prices, self.path("clean/prices"), start, end)
+        if done.out_of_range or exists(self.spark, self.path("clean/rejected")):
+            writers.replace_partition(
+                clean.rejected_quotes(prices, start, end), self.path("clean/rejected"),
+                {"load_start": start.isoformat(), "load_end": end.isoformat()},
+            )
         stored = self.prices().where(F.col("date").between(F.lit(start), F.lit(end)))
         now = loaded_at or datetime.now(UTC).replace(tzinfo=None)
         writers.append_table(
@@ -120,23 +133,38 @@ class Warehouse:
         )
 
     def load_signals(
-        self, start: date, end: date, history_days: int | None = HISTORY_DAYS
+        self,
+        start: date,
+        end: date,
+        history_days: int | None = None,
+        strategy: str = "window",
+        asof: str = "interval",
     ) -> writers.RangeWrite:
-        """Score the days of a range and replace them in the signal table."""
+        """Score the days of a range and replace them in the signal table.
+
+        Prices are read from the earliest day that the windows of the range reach, which is looked
+        up first, so a day loaded alone equals the same day of a long load. With ``history_days``
+        they are read from that many days before instead.
+        """
         # Earlier days were checked when their own signals were loaded.
         self.check_prices(start, end)
-        universe = self.universe()
-        table = signals.daily_signals(
-            self.prices(), self.fundamentals(), universe, start, end, history_days
-        )
-        # Ranked by window, each day's rows already sit in one partition.
-        placed = ranking.within_bound(universe)
-        return writers.replace_range(table, self.path("mart/signals"), start, end, placed=placed)
+        prices = self.prices()
+        if history_days is None and (since := signals.history_start(prices, start)):
+            prices = prices.where(F.col("date") >= F.lit(since))
+        with staging():
+            table = signals.daily_signals(
+                prices, self.fundamentals(), self.universe(), start, end, history_days,
+                strategy=strategy, asof=asof,
+            )
+            # Ranked by window, each day's rows already sit in one partition.
+            return writers.replace_range(
+                table, self.path("mart/signals"), start, end, placed=strategy == "window"
+            )
 
     def refresh_day(self, day: date) -> None:
-        """The daily run: the day's prices, then its signals."""
+        """The daily run: the day's prices, then its signals, ranked by all tasks."""
         if self.load_prices(day, day) is not None:
-            self.load_signals(day, day)
+            self.load_signals(day, day, strategy="sliced")
 
     # ---------------------------------------------------------------- reports
 
@@ -148,7 +176,7 @@ class Warehouse:
         latest = max(known, default=None)
         return {
             "todays_signals": analysis.todays_signals(stored, universe, latest=latest),
-            "signal_validation": analysis.signal_validation(stored, universe, days=days),
+            "signal_validation": analysis.signal_validation(stored, days=days),
             "backtest": backtest.backtest(stored, prices),
             "sector_heatmap": analysis.sector_heatmap(stored, days),
             "pipeline_health": health.pipeline_health(

@@ -13,11 +13,10 @@ from signalloom.operators import ranking
 from signalloom.operators.asof import asof_left
 from signalloom.operators.rolling import rolling_block, rolling_sum
 
-# The model's windows in rows, its history in days and its buckets.
+# The model's windows in rows and its buckets.
 AVERAGE_ROWS = 200
 SKIP_ROWS = 21
 LOOKBACK_ROWS = 252
-HISTORY_DAYS = 400
 BUCKETS = 5
 FACTORS_NEEDED = 2
 
@@ -94,20 +93,21 @@ def with_fundamentals(
 
 
 def sector_ranks(
-    df: DataFrame, metrics: Mapping[str, str] = FACTOR_RANKS, bounded: bool = True
+    df: DataFrame, metrics: Mapping[str, str] = FACTOR_RANKS, strategy: str = "window"
 ) -> DataFrame:
     """Percentile ranks within sector and day.
 
-    ``bounded`` says that a day's rows were found to fit one task; then all ranks, and the
-    buckets that follow, come from a single shuffle by day.
+    The strategy ``window`` ranks a day in one task; then all ranks, and the buckets that follow,
+    come from a single shuffle by day, which suits loads of many days. ``sliced`` spreads a day
+    over all tasks, which suits a load of one day and universes of any size. Both give the same.
     """
-    if bounded:
-        return ranking.percent_ranks_by_window(df.repartition("date"), ["date", "sector"], metrics)
-    return ranking.percent_ranks(df, ["date", "ticker"], ["date", "sector"], metrics)
+    if ranking.sliced(strategy):
+        return ranking.percent_ranks(df, ["date", "sector"], metrics)
+    return ranking.percent_ranks_by_window(df.repartition("date"), ["date", "sector"], metrics)
 
 
-def score(ranked: DataFrame, bounded: bool = True) -> DataFrame:
-    """Factor scores, composite, quintile and call."""
+def score(ranked: DataFrame, strategy: str = "window") -> DataFrame:
+    """Factor scores, composite, quintile and call. ``strategy`` as in :func:`sector_ranks`."""
     factors = ranked.withColumns(
         {
             "value_score": mean_present(F.col("r_ey"), F.col("r_btm")),
@@ -120,14 +120,8 @@ def score(ranked: DataFrame, bounded: bool = True) -> DataFrame:
     composed = factors.withColumn(
         "composite_score", F.when(present >= FACTORS_NEEDED, mean_present(*parts))
     )
-    if bounded:
-        bucketed = ranking.ntile_by_window(
-            composed, ["date"], "composite_score", ["ticker"], BUCKETS, "quintile"
-        )
-    else:
-        bucketed = ranking.ntile(
-            composed, ["date", "ticker"], ["date"], "composite_score", ["ticker"], BUCKETS, "quintile"
-        )
+    tile = ranking.ntile if ranking.sliced(strategy) else ranking.ntile_by_window
+    bucketed = tile(composed, ["date"], "composite_score", ["ticker"], BUCKETS, "quintile")
     call = (
         F.when((F.col("quintile") == BUCKETS) & (F.col("close") > F.col("ma_200")), "BUY")
         .when(F.col("quintile") == 1, "SELL")
@@ -153,24 +147,45 @@ def score(ranked: DataFrame, bounded: bool = True) -> DataFrame:
     )
 
 
+def history_start(prices: DataFrame, start: date, rows: int = LOOKBACK_ROWS) -> date | None:
+    """The earliest day that the windows of days from ``start`` on can reach back to.
+
+    Windows count rows, so a ticker with gaps needs more days than others. Runs an aggregate over
+    dates and tickers; None without earlier prices.
+    """
+    latest_first = Window.partitionBy("ticker").orderBy(F.desc("date"))
+    earlier = prices.where(F.col("date") < F.lit(start)).select("date", "ticker")
+    reached = earlier.select("date", F.row_number().over(latest_first).alias("_n"))
+    return reached.where(F.col("_n") <= rows).agg(F.min("date").alias("d")).first()["d"]
+
+
+def reach_end(prices: DataFrame, start: date, end: date, rows: int = LOOKBACK_ROWS) -> date:
+    """The last day whose windows reach back to a price dated from ``start`` to ``end``."""
+    touched = prices.where(F.col("date").between(F.lit(start), F.lit(end))).select("ticker").distinct()
+    later = prices.where(F.col("date") > F.lit(end)).select("date", "ticker").join(touched, "ticker", "left_semi")
+    reached = later.select("date", F.row_number().over(Window.partitionBy("ticker").orderBy("date")).alias("_n"))
+    return reached.where(F.col("_n") <= rows).agg(F.max("date").alias("d")).first()["d"] or end
+
+
 def daily_signals(
     prices: DataFrame,
     fundamentals: DataFrame,
     universe: DataFrame,
     start: date | None = None,
     end: date | None = None,
-    history_days: int | None = HISTORY_DAYS,
+    history_days: int | None = None,
     ma: int = AVERAGE_ROWS,
     skip: int = SKIP_ROWS,
     lookback: int = LOOKBACK_ROWS,
-    row_bound: int = ranking.WINDOW_ROW_BOUND,
+    strategy: str = "window",
+    asof: str = "interval",
 ) -> DataFrame:
-    """Signals for the days from ``start`` to ``end``, from ``history_days`` of prices before
-    them (``None``: from all earlier prices).
+    """Signals for the days from ``start`` to ``end``, from all earlier prices it is given.
 
-    A day has at most one row per member, so the size of the universe bounds the group a ranking
-    window sorts. It is checked against ``row_bound`` here; a larger universe is ranked from
-    sorted slices instead, with the same result.
+    ``history_days`` cuts the prices to that many days before ``start``, whatever gaps a ticker
+    has; a caller that wants short scans without changing results passes prices from
+    :func:`history_start` on. ``strategy`` is that of :func:`sector_ranks`, ``asof`` that of the
+    as-of join.
     """
     if start is not None and history_days is not None:
         prices = prices.where(F.col("date") >= F.lit(start - timedelta(days=history_days)))
@@ -179,6 +194,5 @@ def daily_signals(
     technical = technicals(prices, ma, skip, lookback)
     if start is not None:
         technical = technical.where(F.col("date") >= F.lit(start))
-    bounded = ranking.within_bound(universe, row_bound)
-    joined = with_fundamentals(technical, fundamentals, universe)
-    return score(sector_ranks(joined, FACTOR_RANKS, bounded), bounded)
+    joined = with_fundamentals(technical, fundamentals, universe, asof)
+    return score(sector_ranks(joined, FACTOR_RANKS, strategy), strategy)

@@ -65,3 +65,7 @@ LOAD_LOG = _table(
     is_backfill=T.BooleanType(),
     loaded_at=T.TimestampNTZType(),
 )
+
+REJECTED_QUOTES = _table(
+    date=_DATE, ticker=_TEXT, close=_REAL, volume=_LONG, load_start=_DATE, load_end=_DATE
+)

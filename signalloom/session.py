@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager, suppress
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,24 +28,48 @@ def configured(builder: SparkSession.Builder) -> SparkSession.Builder:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
-
-    A private folder is made only where the session names none, which is the case in
-    single-machine tests.
-    """
+    """Folder every executor can reach: ``spark.checkpoint.dir``, else one below the warehouse."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        master = spark.sparkContext.master
-        if not master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-        named = tempfile.mkdtemp(prefix="signalloom-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
+    return (named or spark.conf.get("spark.sql.warehouse.dir") + "/_staged").rstrip("/")
+
+
+_fresh: dict[str, SparkSession] = {}
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    """A path under the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A path under the shared folder that no other run uses, deleted by :func:`drop_staged` or
+    when the application ends."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _fresh[path] = spark
+    return path
+
+
+def drop_staged(*paths: str) -> None:
+    """Delete staged tables, all of them if none is named. Nothing built on them may run later."""
+    for path in paths or tuple(_fresh):
+        context = _fresh.pop(path).sparkContext
+        if context._jsc is not None:
+            target = context._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def staging() -> Iterator[None]:
+    """A scope that deletes what was staged inside it, also on failure."""
+    before = set(_fresh)
+    try:
+        yield
+    finally:
+        if new := [p for p in _fresh if p not in before]:
+            drop_staged(*new)
+
+
+def _at_exit() -> None:
+    with suppress(Exception):  # the JVM may have gone first
+        drop_staged()
+
+
+atexit.register(_at_exit)
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from datetime import date
 
 from pyspark.sql import SparkSession
@@ -33,10 +34,26 @@ def partition_dates(spark: SparkSession, base: str, start: date, end: date) -> l
     return [d for d in days if start <= d <= end]
 
 
-def partition_files(spark: SparkSession, base: str, day: date) -> frozenset[str]:
-    """Names of the files of one ``date=`` folder."""
-    path, fs = _path(spark, f"{base.rstrip('/')}/date={day.isoformat()}")
-    return frozenset(s.getPath().getName() for s in fs.listStatus(path))
+def files_by_day(spark: SparkSession, base: str, start: date, end: date) -> dict[date, frozenset[str]]:
+    """Names of the files in the ``date=`` folders between two days, from one listing of the table."""
+    found: dict[date, set[str]] = {}
+    if not exists(spark, base):
+        return {}
+    files = spark.read.schema("one int").parquet(base).inputFiles()
+    for day, name in re.findall(r"/date=(\d{4}-\d\d-\d\d)/([^/\n]*)", "\n".join(files)):
+        if start <= (when := date.fromisoformat(day)) <= end:
+            found.setdefault(when, set()).add(name)
+    return {when: frozenset(names) for when, names in found.items()}
+
+
+def swap(spark: SparkSession, base: str, new: str, old: str) -> None:
+    """Put the folder ``new`` in the place of ``base``, which is deleted by way of ``old``."""
+    path, fs = _path(spark, base)
+    if fs.exists(path) and not fs.rename(path, _path(spark, old)[0]):
+        raise OSError(f"cannot rename {base}")
+    if not fs.rename(_path(spark, new)[0], path):
+        raise OSError(f"cannot rename {new}")
+    fs.delete(_path(spark, old)[0], True)
 
 
 def drop_partition(spark: SparkSession, base: str, column: str, value: str) -> None:

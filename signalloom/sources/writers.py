@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping
 from dataclasses import dataclass
 from datetime import date
@@ -9,8 +10,7 @@ from datetime import date
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from signalloom.session import stage
-from signalloom.sources.paths import drop_partition, partition_dates, partition_files
+from signalloom.sources.paths import drop_partition, files_by_day, swap
 
 
 @dataclass(frozen=True)
@@ -22,35 +22,35 @@ class RangeWrite:
     emptied_days: int
 
 
-# Loads of more days than this are laid out by range instead of by size.
-LONG_LOAD_DAYS = 31
+def clustered_by_day(df: DataFrame, *within: str, days: int) -> DataFrame:
+    """Lay the rows of ``days`` days out for writing, sorted so that file statistics prune.
 
-
-def clustered_by_day(df: DataFrame, *within: str, days: int | None = None) -> DataFrame:
-    """Lay rows out by day for writing, sorted so that file statistics prune.
-
-    A load of a few days is rebalanced: the adaptive planner gathers a small day into one file
-    and splits a day that is far larger than the rest. A long load writes at least a file per
-    day, so it is spread evenly over writers by sampled ranges of (day, ``within``), which also
-    splits a large day.
+    With at least a day for every writer, sampled ranges of (day, ``within``) spread the days evenly
+    and split one that is far larger. With fewer, the adaptive planner gathers a small day into one
+    file and splits a large one.
     """
-    if days is not None and days > LONG_LOAD_DAYS:
-        writers = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        placed = df.repartitionByRange(writers, "date", *within)
-    else:
-        placed = df.hint("rebalance", "date")
+    writers = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.repartitionByRange(writers, "date", *within) if days >= writers else df.hint("rebalance", "date")
     return placed.sortWithinPartitions("date", *within)
 
 
 def replace_table(df: DataFrame, path: str) -> None:
-    """Full replace. The new content is staged first, so it may be derived from the old."""
-    stage(df, "replace").write.mode("overwrite").parquet(path)
+    """Full replace: written once, in the order of ``df``, beside the table, then put in its place.
+
+    The new content may be derived from the old, and a failure while writing leaves the old. Only
+    the two renames at the end are not one step; a reader may miss the table between them.
+    """
+    spark, base = df.sparkSession, path.rstrip("/")
+    mark = uuid.uuid4().hex
+    df.write.mode("errorifexists").parquet(f"{base}__new-{mark}")
+    swap(spark, base, f"{base}__new-{mark}", f"{base}__old-{mark}")
 
 
 def write_daily(df: DataFrame, path: str) -> None:
-    """Write ``date=`` folders, replacing the days present in ``df``."""
+    """Write ``date=`` folders, replacing the days present in ``df``, which are counted first."""
+    days = df.agg(F.count_distinct("date")).first()[0]
     (
-        clustered_by_day(df)
+        clustered_by_day(df, days=days)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("date")
@@ -74,6 +74,12 @@ def write_quarters(df: DataFrame, path: str) -> None:
     )
 
 
+def replace_partition(df: DataFrame, path: str, values: Mapping[str, str]) -> None:
+    """Make one partition folder, named by ``values``, equal to ``df``."""
+    folder = "/".join(f"{name}={value}" for name, value in values.items())
+    df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/{folder}")
+
+
 def append_table(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
@@ -90,17 +96,15 @@ def replace_range(
 
     Overwriting by partition leaves alone a stored day for which ``df`` has no rows, so such
     days are dropped afterwards: a rerun that loses a day removes it. Rows dated outside the
-    range are not written, since a rerun could not take them back; they are counted instead.
+    range are not written here, since a rerun could not take them back; they are counted, and
+    callers keep them elsewhere (:meth:`Warehouse.load_prices`).
     Running the same range twice gives the same table, also after a failure half way.
 
     ``placed`` says that each day's rows already share a partition, which saves the shuffle.
     """
     spark = df.sparkSession
     inside = F.coalesce(F.col("date").between(F.lit(start), F.lit(end)), F.lit(False))
-    before = {
-        day: partition_files(spark, path, day)
-        for day in partition_dates(spark, path, start, end)
-    }
+    before = files_by_day(spark, path, start, end)
     laid_out = (
         df.sortWithinPartitions("date", *sort)
         if placed
@@ -122,7 +126,8 @@ def replace_range(
         .parquet(path)
     )
     # A replaced day has new files; a day that kept its old ones got no rows this time.
-    stale = [day for day, files in before.items() if partition_files(spark, path, day) == files]
+    after = files_by_day(spark, path, start, end)
+    stale = [day for day, files in before.items() if after.get(day) == files]
     for day in stale:
         drop_partition(spark, path, "date", day.isoformat())
     counts = seen.get

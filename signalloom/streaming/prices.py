@@ -14,16 +14,14 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from signalloom import schemas
 from signalloom.plans.pipeline import Warehouse
+from signalloom.plans.signals import reach_end
 
-# Days are loaded together across gaps up to a long weekend.
-GAP_DAYS = 5
 
-
-def day_ranges(days: Iterable[date], gap: int = GAP_DAYS) -> list[tuple[date, date]]:
-    """Days grouped into ranges without a gap of more than ``gap`` days."""
+def day_ranges(days: Iterable[date]) -> list[tuple[date, date]]:
+    """Days grouped into ranges that hold no other day."""
     ranges: list[tuple[date, date]] = []
     for day in sorted(days):
-        if ranges and day - ranges[-1][1] <= timedelta(days=gap):
+        if ranges and day - ranges[-1][1] <= timedelta(days=1):
             ranges[-1] = (ranges[-1][0], day)
         else:
             ranges.append((day, day))
@@ -41,9 +39,11 @@ def load_new_quotes(warehouse: Warehouse, with_signals: bool = True) -> Streamin
     def load(batch: DataFrame, _batch_id: int) -> None:
         # One row per calendar day in the batch.
         days = [r["date"] for r in batch.select("date").distinct().collect()]
-        for start, end in day_ranges(days):
-            if warehouse.load_prices(start, end) is not None and with_signals:
-                warehouse.load_signals(start, end)
+        changed = [r for r in day_ranges(days) if warehouse.load_prices(*r) is not None]
+        if changed and with_signals:
+            # A late price moves the windows of its ticker for as many rows as they are long.
+            start = min(r[0] for r in changed)
+            warehouse.load_signals(start, reach_end(warehouse.prices(), start, max(r[1] for r in changed)))
 
     arrivals = warehouse.spark.readStream.schema(schemas.RAW_QUOTES).parquet(
         warehouse.path("raw/prices")

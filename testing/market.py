@@ -8,7 +8,7 @@ The work grows with the tables.
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, timedelta
 from functools import cache, cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,9 +24,6 @@ from signalloom.plans.fundamentals import (
 )
 from signalloom.sources.landing import normalise_universe, trading_sessions
 
-# Parameters of the health report on the test tables.
-HEALTH_AS_OF = date(2001, 11, 30)
-
 _PRICE = "l_extendedprice / l_quantity"
 
 
@@ -51,8 +48,7 @@ class Market:
 
     @property
     def constituents(self) -> DataFrame:
-        """Member list as landed. Some companies have a second share class; at supplier grain
-        one supplier in fifty is not a member."""
+        """Member list as landed. Some companies have a second share class."""
         places = self.table("nation").join(
             self.table("region"), F.col("n_regionkey") == F.col("r_regionkey")
         )
@@ -63,7 +59,6 @@ class Market:
             key, symbol, name = "s_suppkey", "concat('S.', s_suppkey)", "s_name"
             base = (
                 self.table("supplier")
-                .where("s_suppkey % 50 <> 49")
                 .join(places, F.col("s_nationkey") == F.col("n_nationkey"))
             )
         return base.selectExpr(
@@ -254,6 +249,18 @@ class Market:
 
     # ---------------------------------------------------------------- monitoring
 
+    @cached_property
+    def days(self) -> tuple[date, date]:
+        """First and last day of the order lines."""
+        span = self.table("lineitem").selectExpr("cast(min(l_shipdate) as date)", "cast(max(l_shipdate) as date)")
+        return tuple(span.first())
+
+    @property
+    def health_as_of(self) -> date:
+        """Health is reported on the last day of the last month with lines."""
+        last = self.days[1]
+        return date(last.year + last.month // 12, last.month % 12 + 1, 1) - timedelta(days=1)
+
     @property
     def holidays(self) -> DataFrame:
         years = self.table("lineitem").selectExpr("year(l_shipdate) AS y").distinct()

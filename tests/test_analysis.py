@@ -57,14 +57,14 @@ def test_month_ends_are_the_last_days_with_rows(spark):
     assert analysis.last_of_months(reversed(days)) == [days[1], days[2], days[3]]
 
 
-@pytest.mark.parametrize("row_bound", [10, 0])
-def test_validation_drops_gaps(spark, row_bound):
+@pytest.mark.parametrize("strategy", ["window", "sliced"])
+def test_validation_drops_gaps(spark, strategy):
     members = spark.createDataFrame([(t, t, "S", 1) for t in "ABCD"], schemas.UNIVERSE)
     rows = [(MONTHS[0], t, 5, "HOLD", 10) for t in "ABCD"]
     rows += [(MONTHS[1], t, 5, "HOLD", 10 * g) for t, g in zip("ABC", (2, 3, 7))]
     rows += [(MONTHS[2], "D", 5, "HOLD", 99), (MONTHS[2], "A", None, "HOLD", 5)]
     got = analysis.signal_validation(
-        signal_rows(spark, *rows), members, row_bound=row_bound
+        signal_rows(spark, *rows), strategy=strategy
     ).collect()
     assert [tuple(r) for r in got] == [
         (MONTHS[0], 5, 3, pytest.approx(3.0), 2.0),

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from signalloom import schemas
-from signalloom.fixtures import Market
+from testing.market import Market
 from signalloom.plans import analysis, clean, fundamentals, signals
 from signalloom.sources import readers, writers
 

@@ -79,10 +79,10 @@ def counted_ranks(table):
     return want
 
 
-@pytest.mark.parametrize("bounded", [True, False])
-def test_sector_ranks_by_counting(spark, bounded):
+@pytest.mark.parametrize("strategy", ranking.STRATEGIES)
+def test_sector_ranks_by_counting(spark, strategy):
     table = random_table(3)
-    ranked = signals.sector_ranks(spark.createDataFrame(table, RANKED), bounded=bounded)
+    ranked = signals.sector_ranks(spark.createDataFrame(table, RANKED), strategy=strategy)
     got = {r["ticker"]: tuple(r[c] for c in signals.FACTOR_RANKS) for r in ranked.collect()}
     assert got == counted_ranks(table)
 
@@ -92,18 +92,16 @@ def split_evenly(n, buckets):
     return [b + 1 for b, s in enumerate(sizes) for _ in range(s)]
 
 
-@pytest.mark.parametrize("bounded", [True, False])
-def test_ntile_with_ties(spark, bounded):
+@pytest.mark.parametrize("strategy", ranking.STRATEGIES)
+def test_ntile_with_ties(spark, strategy):
     rng = random.Random(5)
     table = [
         (day(0 if rng.random() < 0.5 else rng.randrange(9)), f"T{i:03}", rng.choice([None, 1.0, 2.0, 3.0]))
         for i in range(300)
     ]
     df = spark.createDataFrame(table, "date date, ticker string, score double")
-    if bounded:
-        tiled = ranking.ntile_by_window(df, ["date"], "score", ["ticker"], 5, "q")
-    else:
-        tiled = ranking.ntile(df, ["date", "ticker"], ["date"], "score", ["ticker"], 5, "q")
+    tile = ranking.ntile if ranking.sliced(strategy) else ranking.ntile_by_window
+    tiled = tile(df, ["date"], "score", ["ticker"], 5, "q")
     got = {r["ticker"]: r["q"] for r in tiled.collect()}
     want = {t: None for _, t, s in table if s is None}
     for d in {r[0] for r in table}:
@@ -125,9 +123,24 @@ def test_medians_of_slices(spark):
     assert got == want and got[9] == 5.5
 
 
-def test_within_bound(spark):
-    df = spark.range(10)
-    assert ranking.within_bound(df, 10) and not ranking.within_bound(df, 9)
+def test_strategies_agree_on_repeated_keys(spark):
+    table = random_table(9, 80)
+    table += [(r[0], r[1], r[2], *r[3:][::-1]) for r in table[:30]] + table[:10]
+    ranked = [
+        signals.score(signals.sector_ranks(
+            spark.createDataFrame(table, RANKED).withColumns({"close": F.lit(1.0), "ma_200": F.lit(0.5), "momentum_12_1": F.col("momentum_12_1")}),
+            strategy=s,
+        ), strategy=s)
+        for s in ranking.STRATEGIES
+    ]
+    ranks = [signals.sector_ranks(spark.createDataFrame(table, RANKED), strategy=s).collect() for s in ranking.STRATEGIES]
+    assert sorted(map(str, ranks[0])) == sorted(map(str, ranks[1]))
+    assert ranked[0].count() == ranked[1].count() == len(table)
+
+
+def test_unknown_strategy():
+    with pytest.raises(ValueError):
+        ranking.sliced("guess")
 
 
 def scored(spark, *rows):
@@ -210,11 +223,32 @@ def test_signals_of_a_range(spark, market):
     assert short.where("ma_200 is not null").count() == 0
 
 
+def test_a_day_alone_equals_the_same_day_of_a_long_load(spark, market):
+    """Also for tickers with gaps, whose windows reach further back in days."""
+    _, facts, members = market
+    px = prices(spark, *[(i * (1 + k * 3), t, 10.0 + (i * 7 + k) % 11) for k, t in enumerate("ABC") for i in range(90)])
+    options = dict(ma=5, skip=2, lookback=6)
+    whole = signals.daily_signals(px, facts, members, **options)
+    for n in (80, 84):
+        since = signals.history_start(px, day(n), 6)
+        assert since < day(n - 30)
+        alone = signals.daily_signals(px.where(F.col("date") >= F.lit(since)), facts, members, day(n), day(n), **options)
+        want = whole.where(F.col("date") == F.lit(day(n)))
+        assert sorted(map(str, alone.collect())) == sorted(map(str, want.collect())) and alone.count() > 1
+
+
+def test_how_far_a_changed_price_reaches(spark):
+    px = prices(spark, *[(i, "A", 1.0) for i in range(20)], *[(3 * i, "B", 1.0) for i in range(20)])
+    assert signals.reach_end(px, day(1), day(2), 4) == day(6)  # only A has a price then
+    assert signals.reach_end(px, day(3), day(3), 4) == day(15)
+    assert signals.reach_end(px, day(57), day(57), 4) == day(57)
+
+
 def test_wide_universe_gives_the_same_signals(spark, market):
     px, facts, members = market
     options = dict(ma=5, skip=2, lookback=6)
     narrow = signals.daily_signals(px, facts, members, **options)
-    wide = signals.daily_signals(px, facts, members, row_bound=0, **options)
+    wide = signals.daily_signals(px, facts, members, strategy="sliced", asof="merge", **options)
     assert wide.schema == narrow.schema
     assert sorted(map(str, wide.collect())) == sorted(map(str, narrow.collect()))
 

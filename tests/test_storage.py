@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from signalloom import schemas
 from signalloom.operators.dedupe import DuplicateKeys
 from signalloom.plans.pipeline import Warehouse
-from signalloom.session import shared_dir, stage
+from signalloom.session import shared_dir, stage, staging
 from signalloom.sources import landing, readers, writers
+from signalloom.sources.writers import replace_table
 from signalloom.streaming.prices import day_ranges, load_new_quotes
 
 D0 = date(2024, 1, 1)
@@ -44,7 +45,7 @@ def test_range_replace(spark, tmp_path):
     assert stored(spark, path) == []
 
 
-def test_long_loads_split_a_large_day(spark, tmp_path):
+def test_a_large_day_is_split(spark, tmp_path):
     path = str(tmp_path / "prices")
     rows = prices(spark, *[(d, "A", 1) for d in range(60)], *[(7, f"T{i}", 1) for i in range(900)])
     writers.replace_range(rows, path, day(0), day(59))
@@ -216,7 +217,7 @@ def test_gate_blocks_duplicates(spark, warehouse):
 
 def test_day_ranges():
     days = [day(n) for n in (9, 0, 1, 4, 30)]
-    assert day_ranges(days) == [(day(0), day(9)), (day(30), day(30))]
+    assert day_ranges(days) == [(day(0), day(1)), (day(4), day(4)), (day(9), day(9)), (day(30), day(30))]
     assert day_ranges([]) == []
 
 
@@ -236,3 +237,55 @@ def test_stream_loads_new_files_and_whole_days(spark, warehouse):
     before = w.load_log().count()
     load_new_quotes(w).awaitTermination()  # nothing new
     assert w.load_log().count() == before
+
+
+def test_late_quote_moves_later_averages(spark, warehouse):
+    w = warehouse
+    w.land_quotes(raw(spark, *[(n, "A", 10 + n) for n in range(3, 210)]))
+    load_new_quotes(w).awaitTermination()
+    last = lambda: w.signals().where(F.col("date") == F.lit(day(202))).first()["ma_200"]
+    before = last()
+    raw(spark, (4, "A", 500)).withColumn("trade_date", F.lit(str(day(2)))).write.mode("append").partitionBy("date").parquet(w.path("raw/prices"))
+    raw(spark, (1, "A", 700)).write.mode("append").partitionBy("date").parquet(w.path("raw/prices"))
+    load_new_quotes(w).awaitTermination()
+    assert before == pytest.approx(sum(10 + n for n in range(3, 203)) / 200)
+    assert w.prices().where(F.col("date") == F.lit(day(1))).count() == 1
+    assert w.signals().where(F.col("date") == F.lit(day(201))).first()["ma_200"] == pytest.approx((700 + sum(10 + n for n in range(3, 202))) / 200)
+    # The other row was dated outside its folder: it is kept apart.
+    assert [(r["date"], r["load_start"]) for r in w.rejected_quotes().collect()] == [(day(2), day(4))]
+
+
+def test_rejected_quotes_of_a_range_are_replaced(spark, warehouse):
+    w = warehouse
+    w.land_quotes(raw(spark, (0, "A", 1), (1, "A", 2)).withColumn("trade_date", F.lit(str(day(0)))))
+    w.load_prices(day(1), day(1))
+    w.load_prices(day(1), day(1))
+    assert [r["close"] for r in w.rejected_quotes().collect()] == [2.0]
+    w.land_quotes(raw(spark, (1, "A", 3)))
+    w.load_prices(day(1), day(1))
+    assert w.rejected_quotes().count() == 0 and w.prices().count() == 1
+
+
+def test_replaced_table_keeps_its_order(spark, tmp_path):
+    path = str(tmp_path / "t")
+    df = spark.range(10_000).selectExpr("id % 97 AS k", "id").repartition(3)
+    replace_table(df.repartitionByRange(4, "k", "id").sortWithinPartitions("k", "id"), path)
+    replace_table(spark.read.parquet(path).where("k > 0").repartitionByRange(4, "k", "id").sortWithinPartitions("k", "id"), path)
+    assert os.listdir(tmp_path) == ["t"]
+    files = [f for f in sorted(os.listdir(path)) if f.endswith(".parquet")]
+    parts = [[(r["k"], r["id"]) for r in spark.read.parquet(f"{path}/{f}").collect()] for f in files]
+    assert all(p == sorted(p) for p in parts) and sorted(sum(parts, [])) == sum(parts, [])
+
+
+def test_staged_tables_are_deleted(spark):
+    with pytest.raises(RuntimeError), staging():
+        path = stage(spark.range(5), "numbers").inputFiles()[0]
+        assert os.path.exists(path.removeprefix("file://"))
+        raise RuntimeError
+    assert not os.path.exists(path.removeprefix("file://"))
+
+
+def test_universe_is_unique(spark, warehouse):
+    twice = spark.createDataFrame([("A", "a", "S", "1"), ("A", "b", "S", "2")], "symbol string, security string, sector string, cik string")
+    with pytest.raises(DuplicateKeys):
+        warehouse.store_universe(twice)
