@@ -170,8 +170,8 @@ def _near_duplicates(docs: DataFrame, size: int, least: int, of: int) -> DataFra
     shared_before = F.row_number().over(Window.partitionBy("rep", "n").orderBy("pos")) - 1
     met = scratch.store(placed.join(groups, "shingle", "left_semi").withColumn("a", shared_before), "met")
     # The hub has the fewest shingles of its own before the shared one: the least changed copy.
-    hub = met.groupBy("shingle").agg(F.min(F.struct((F.col("pos") - F.col("a")).alias("u"), "rep", "n", "pos", "a")).alias("hub"))
-    hub = hub.select("shingle", *(F.col(f"hub.{k}").alias(f"hub_{k}" if k != "rep" else "hub") for k in ("rep", "n", "pos", "a")))
+    hub = met.groupBy("shingle").agg(F.min(F.struct((F.col("pos") - F.col("a")).alias("u"), "rep", "n", "pos", "a")).alias("hub"), F.count("*").alias("g"))
+    hub = hub.select("shingle", "g", *(F.col(f"hub.{k}").alias(f"hub_{k}" if k != "rep" else "hub") for k in ("rep", "n", "pos", "a")))
     parts = reps.select("rep", "parts")
 
     def sifted(pairs: DataFrame) -> DataFrame:
@@ -189,8 +189,10 @@ def _near_duplicates(docs: DataFrame, size: int, least: int, of: int) -> DataFra
 
     near = connected(links, scratch, "star").withColumnRenamed("node", "rep")
     near = scratch.store(near, "near")
-    hubs = hub.select("shingle", "hub").join(near.select(F.col("rep").alias("hub"), F.col("component").alias("hub_c")), "hub", "left")
-    told = met.join(near, "rep", "left").join(hubs, "shingle").withColumn("c", F.coalesce("component", "rep"))
+    # Where two sets share a shingle, one of them is the hub and nothing is left to try.
+    more_than_two = met.join(hub.where("g > 2").select("shingle", "hub"), "shingle")
+    told = more_than_two.join(near, "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component")
+    told = told.join(near.select(F.col("rep").alias("hub"), F.col("component").alias("hub_c")), "hub", "left")
     told = told.withColumn("apart", F.col("c") != F.coalesce("hub_c", "hub"))
     told = scratch.store(told.select("shingle", "rep", "n", "pos", "a", "c", "hub", "apart"), "told")
     x = told.where("apart").select("shingle", *(F.col(k).alias(f"x_{k}") for k in ("rep", "n", "pos", "a", "c")))
