@@ -27,11 +27,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from signalloom.llm.shared import Scratch, table
+from signalloom.llm.shared import Scratch, batches_of, table
 from signalloom.llm.tokens import WORD, encoder
 from signalloom.llm.words import pieces
 
 CAPACITY, END = 4096, 1
+#: Texts that a worker is handed at a time.
+BATCH = 1_000
 
 
 def plan(counts: np.ndarray, capacity: int) -> list[tuple[list[int], int]]:
@@ -181,7 +183,8 @@ def packed(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 def pack_documents(docs: DataFrame) -> DataFrame:
     """Tokenize and pack documents."""
     scratch = Scratch(docs.sparkSession, "packing")
-    parts = scratch.store(token_pieces(docs, public_tokenizers.path("word_bpe_49k.json")), "pieces")
+    with batches_of(docs.sparkSession, BATCH):
+        parts = scratch.store(token_pieces(docs, public_tokenizers.path("word_bpe_49k.json")), "pieces")
     return packed(parts).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 

@@ -18,8 +18,9 @@ import numpy as np
 
 from signalloom.llm.words import Words
 
-REMEMBERED, LONG, JOINED = 1_200_000, 64, 400
+LONG, JOINED = 64, 400
 SPACED, WORD = "spaced", "word"
+REMEMBERED = {SPACED: 1_200_000, WORD: 400_000}
 
 _COMBINING = re.compile("[̀-\U0010ffff]")
 _MARKS = b".,;:!?"
@@ -166,7 +167,7 @@ class Encoder:
         keys = uniq.tolist()
         raw = data.tobytes()
         at = start[simple][first]
-        if len(self.known) + len(keys) * 2 > REMEMBERED:
+        if len(self.known) + len(keys) * 2 > REMEMBERED[self.kind]:
             self._forget()
         unknown = [i for i, k in enumerate(keys) if k not in self.known]
         if unknown:
