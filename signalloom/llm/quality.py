@@ -1,12 +1,19 @@
 """Quality rules whose cutoffs are certified on labelled documents.
 
 Each rule is a figure of a text, the higher the worse, with a fixed ladder of cutoffs from mild to
-strict. In every stratum (a language) the ladder is climbed on the labelled clean documents: a
-cutoff is taken when the exact binomial bound says that it rejects at most ``ALPHA / rules`` of the
-stratum's clean documents, and climbing stops at the first that can't be shown to. Going down a
-fixed sequence needs no correction; the error ``DELTA`` is divided by rules times strata
-(Bonferroni). So with probability ``1 - DELTA``, in all strata at once, the rules reject at most
-``ALPHA`` of the clean documents. A stratum with too few labels for any cutoff rejects nothing.
+strict. In every stratum (a language) cutoffs are certified on the labelled clean documents in two
+ways. Jointly: one fixed path tightens the rules by turns, a rung at a time, and goes on as long as
+the exact binomial bound says that all cutoffs so far together reject at most ``ALPHA`` of the
+stratum's clean documents. Rule by rule: each ladder is climbed by itself within ``ALPHA / rules``.
+The joint path needs few labels (252 for four strata, if it rejects none of them); single ladders
+need many, but a rule that clean documents don't bear holds up no other. Of the two the one that
+rejects more labelled documents that aren't clean is taken; among equals the one that rejects fewer
+clean ones, and then the joint one.
+
+Going down a fixed sequence needs no correction. ``DELTA`` is divided by strata and halved between
+the two ways, and the half for single ladders by rules (Bonferroni), so whichever is taken: with
+probability ``1 - DELTA``, in all strata at once, the rules reject at most ``ALPHA`` of the clean
+documents. A stratum with too few labels for any cutoff rejects nothing.
 
 Nulls and edges: a null or empty text has no words and fails the base; a null stratum is a stratum
 of its own; a document labelled more than once is clean if all its labels say so; labels without
@@ -140,11 +147,47 @@ def _figure(rule: str, counts: str):
     return F.coalesce(F.try_divide(F.col(f"{counts}.{top}").cast("double"), F.col(f"{counts}.{bottom}")), F.lit(0.0))
 
 
-def clean_labels(labels: DataFrame) -> DataFrame:
-    """Documents all of whose labels call them good and not toxic."""
+def labelled(labels: DataFrame) -> DataFrame:
+    """Labelled documents, ``clean`` if all their labels call them good and not toxic."""
     known = labels.where("doc_id is not null and quality is not null and toxic is not null")
     worst = known.groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t"))
-    return worst.where("q = 1 and t = 0").select("doc_id")
+    return worst.select("doc_id", F.expr("q = 1 and t = 0").alias("clean"))
+
+
+#: The joint path: every rule's first rung, then every rule's second, and so on.
+PATH = [(r, i) for i in range(max(len(x) for _, x in LADDERS.values())) for r, (_, x) in LADDERS.items() if i < len(x)]
+
+
+def _rejected(cells: pd.DataFrame, rungs: dict[str, int]) -> int:
+    """How many of the documents counted in ``cells`` are above any of the cutoffs at ``rungs``."""
+    above = np.zeros(len(cells), dtype=bool)
+    for r, i in rungs.items():
+        # A figure above k cutoffs of a falling ladder is above the last k.
+        above |= cells[r].to_numpy() >= len(LADDERS[r][1]) - i
+    return int(cells["n"].to_numpy()[above].sum())
+
+
+def _jointly(clean: pd.DataFrame, alpha: float, error: float) -> dict[str, int]:
+    """The rung of each rule when the joint path stops."""
+    rungs: dict[str, int] = {}
+    n = int(clean["n"].sum())
+    for r, i in PATH:
+        if not certified(_rejected(clean, rungs | {r: i}), n, alpha, error):
+            break
+        rungs[r] = i
+    return rungs
+
+
+def _singly(clean: pd.DataFrame, alpha: float, error: float) -> dict[str, int]:
+    """The rung of each rule when its own ladder stops."""
+    rungs: dict[str, int] = {}
+    n = int(clean["n"].sum())
+    for r, (_, ladder) in LADDERS.items():
+        for i in range(len(ladder)):
+            if not certified(_rejected(clean, {r: i}), n, alpha / len(LADDERS), error / len(LADDERS)):
+                break
+            rungs[r] = i
+    return rungs
 
 
 def cutoffs(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
@@ -152,9 +195,13 @@ def cutoffs(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: fl
     figures = docs.select("doc_id", F.col(stratum).alias("stratum"), text_figures("text").alias("f"))
     # Documents that fail the base are out whatever the cutoffs; the rules answer for the others.
     figures = figures.where(~base_failed("f")).select("doc_id", "stratum", *(_figure(r, "f").alias(r) for r in LADDERS))
-    held = figures.join(clean_labels(labels), "doc_id")
-    above = [F.sum((F.col(r) > c).cast("long")).alias(f"{r}_{i}") for r, (_, ladder) in LADDERS.items() for i, c in enumerate(ladder)]
-    counted = held.groupBy("stratum").agg(F.count("*").alias("clean"), *above)
+    held = figures.join(labelled(labels), "doc_id")
+    # How many cutoffs of each ladder a document is above; documents alike in that are one cell.
+    above = [sum(((F.col(r) > c).cast("int") for c in ladder), F.lit(0)).alias(r) for r, (_, ladder) in LADDERS.items()]
+    cells = held.select("stratum", "clean", *above).groupBy("stratum", "clean", *LADDERS).agg(F.count("*").alias("n"))
+    cells = Scratch(docs.sparkSession, "cells").store(cells, "cells")  # a few hundred rows, read twice
+    counted = cells.groupBy("stratum").agg(F.collect_list(F.struct("clean", *LADDERS, "n")).alias("cells"), F.max("clean").alias("any"))
+    counted = counted.where("any").drop("any")
     # One number for the correction: strata that have any labelled clean document.
     counted = counted.join(counted.groupBy().agg(F.count("*").alias("strata")))
 
@@ -162,14 +209,12 @@ def cutoffs(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: fl
         for p in batches:
             rows = []
             for x in p.to_dict("records"):
-                row = {"stratum": x["stratum"]}
-                for r, (_, ladder) in LADDERS.items():
-                    row[r] = None
-                    for i, c in enumerate(ladder):
-                        if not certified(x[f"{r}_{i}"], x["clean"], alpha / len(LADDERS), delta / (len(LADDERS) * x["strata"])):
-                            break
-                        row[r] = c
-                rows.append(row)
+                found = pd.DataFrame([dict(c) for c in x["cells"]], columns=["clean", *LADDERS, "n"])
+                clean, other = found[found["clean"]], found[~found["clean"]]
+                error = delta / (2 * x["strata"])
+                ways = (_jointly(clean, alpha, error), _singly(clean, alpha, error))
+                taken = max(ways, key=lambda rungs: (_rejected(other, rungs), -_rejected(clean, rungs)))
+                rows.append({"stratum": x["stratum"]} | {r: ladder[taken[r]] if r in taken else None for r, (_, ladder) in LADDERS.items()})
             yield pd.DataFrame(rows, columns=["stratum", *LADDERS]).astype({r: "float64" for r in LADDERS})
 
     kind = dict(docs.dtypes)[stratum]

@@ -72,6 +72,31 @@ def test_cutoffs_climb_until_not_certified(spark):
     assert strict["symbols"] is None
 
 
+def _labelled(spark, texts_of):
+    """Documents and labels from lists of (language, text, quality)."""
+    data = [(i, t, lang, None, len(t), None, None, None, None, None, None) for i, (lang, t, _) in enumerate(texts_of)]
+    return frame(spark, data), spark.createDataFrame([(i, q, 0) for i, (_, _, q) in enumerate(texts_of)], "doc_id long, quality int, toxic int")
+
+
+def test_small_strata_get_cutoffs(spark):
+    """Four languages of 300 clean labels, far fewer than single ladders need."""
+    good = [(lang, " ".join(f"w{j}" for j in range(i, i + 60)), 1) for lang in ("en", "de", "fr", None) for i in range(300)]
+    bad = [(lang, " ".join(f"{j + i}##" for j in range(60)), 0) for lang in ("en", "de", "fr", None) for i in range(20)]
+    docs, labels = _labelled(spark, good + bad)
+    assert {r["stratum"]: r["symbols"] for r in quality.cutoffs(docs, labels).collect()} == {"en": 0.1, "de": 0.1, "fr": 0.1, None: 0.1}
+    assert {r["doc_id"] for r in quality.judged(docs, labels).where("_kept").collect()} == set(range(len(good)))
+
+
+def test_rule_that_clean_documents_break_holds_up_no_other(spark):
+    """Long words stop the joint path at its second step; symbols by themselves go on."""
+    good = [("en", " ".join(f"w{j:020d}" if i % 20 == 0 else f"w{j}" for j in range(i, i + 60)), 1) for i in range(2_000)]
+    bad = [("en", " ".join(f"{j + i}" + "#" * (j % 2) for j in range(60)), 0) for i in range(20)]
+    docs, labels = _labelled(spark, good + bad)
+    got = quality.cutoffs(docs, labels).first()
+    assert got["long_words"] is None and got["symbols"] == 0.1
+    assert {r["doc_id"] for r in quality.judged(docs, labels).where("_kept").collect()} == set(range(len(good)))
+
+
 def test_line_dedup(docs):
     got = by_row(lines.without_repeated_lines(docs), "doc_id", "text", "n_chars", "source")
     seen, solid_of = {}, {}
