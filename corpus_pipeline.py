@@ -24,8 +24,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeats of runs of three lines go."""
-    return lines.without_repeated_lines(docs).select(*docs.columns)
+    """Later repeats go: runs of three lines, and of one or two lines with 13 words or more."""
+    return lines.without_repeated_lines(docs, least_words=lines.LEAST_WORDS).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

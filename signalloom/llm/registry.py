@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from signalloom.llm.bpe import op9_bpe
 from signalloom.llm.html import op8_html_extraction
 from signalloom.llm.jaccard import op2_ngram_jaccard
-from signalloom.llm.lines import OP6_SQL, op6_line_dedup
+from signalloom.llm.lines import OP6_SIZED_SQL, OP6_SQL, op6_line_dedup, op6_sized_line_dedup
 from signalloom.llm.packing import op7_best_fit_packing
 from signalloom.llm.quality import op3_quality_rules
 from signalloom.llm.substrings import op4_substring_dedup
@@ -24,10 +24,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_substring_dedup": op4_substring_dedup,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_line_dedup": op6_line_dedup,
+    "op6_sized_line_dedup": op6_sized_line_dedup,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_html_extraction": op8_html_extraction,
     "op9_bpe": op9_bpe,
     "op10_embedding_dedup": op10_embedding_dedup,
 }
 
-ORACLES: dict[str, str] = {"op6_line_dedup": OP6_SQL}
+ORACLES: dict[str, str] = {"op6_line_dedup": OP6_SQL, "op6_sized_line_dedup": OP6_SIZED_SQL}

@@ -119,6 +119,35 @@ def test_line_dedup(docs):
     assert any(a != b for (_, a), b in zip(solid_of, solid_of.values(), strict=True) if a)
 
 
+def test_line_dedup_by_size(docs):
+    """Runs of one or two lines with 13 words, and all runs of three."""
+    got = by_row(lines.without_repeated_lines(docs, least_words=13), "doc_id", "text")
+    seen, left = {}, {}
+    for d, t in sorted(set(texts()), key=lambda r: (r[0] is not None, r[0] or 0)):
+        ls = (t or "").split("\n")
+        solid = [i for i, x in enumerate(ls) if WORD.search(x)]
+        gone = set()
+        for n in (1, 2, 3):
+            for j in range(len(solid) - n + 1):
+                at = solid[j : j + n]
+                if n < 3 and sum(len(words(ls[i])) for i in at) < 13:
+                    continue
+                key = tuple(ls[i] for i in at)
+                if seen.setdefault(key, (d, j)) != (d, j):
+                    gone.update(at)
+        left[d, t] = t if not gone else "\n".join(x for i, x in enumerate(ls) if i not in gone)
+    assert got == collections.Counter((d, left[d, t]) for d, t in texts())
+
+
+def test_short_runs_of_many_words_go(spark):
+    """Whole documents of one line or two, lines within longer ones, and short lines that stay."""
+    long, half, short = " ".join(f"w{i}" for i in range(13)), "a b c d e f g", "only four words here"
+    data = [(1, long), (2, long), (3, f"{half}\n{half} h"), (4, f"{half}\n{half} h"), (5, f"x\n{long}\ny\nz"), (6, short), (7, short), (8, f"{half}\nq"), (9, f"p\n\n{half}\n{half} h")]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in lines.without_repeated_lines(docs, least_words=13).collect()}
+    assert got == dict(data) | {2: "", 4: "", 5: "x\ny\nz", 9: "p\n"}
+
+
 def components(size, least, of):
     low = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
     sets = {}
