@@ -4,8 +4,7 @@ A line counts if it has a word. Grams of ``GRAM`` consecutive lines are hashed,
 ``PICK`` consecutive grams the least hash is a fingerprint, so any repeated run of
 ``GRAM + PICK - 1`` lines (three) is guaranteed to hold one. Only windows of that length whose
 fingerprint occurs again elsewhere go on. Such a window is compared whole, by a 128-bit digest,
-with its first occurrence; the matches of neighbouring windows join up, both ways from the
-fingerprint, to the whole repeated run. A line is deleted when it lies in a window of three lines
+with its first occurrence; nothing is extended, overlapping windows make up the whole repeated run. A line is deleted when it lies in a window of three lines
 that occurred before: in a document with a smaller id, or earlier in the same one. What repeats is
 judged on the input. First occurrences stay, as do shorter repeats and lines without a word.
 
