@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from signalloom.llm.bpe import op9_bpe
 from signalloom.llm.html import op8_html_extraction
+from signalloom.llm.importance import op12_importance_resampling
 from signalloom.llm.jaccard import op2_ngram_jaccard
 from signalloom.llm.lines import OP6_SIZED_SQL, OP6_SQL, op6_line_dedup, op6_sized_line_dedup
 from signalloom.llm.packing import op7_best_fit_packing
@@ -29,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_extraction": op8_html_extraction,
     "op9_bpe": op9_bpe,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op12_importance_resampling": op12_importance_resampling,
 }
 
 ORACLES: dict[str, str] = {"op6_line_dedup": OP6_SQL, "op6_sized_line_dedup": OP6_SIZED_SQL}
