@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from signalloom.llm.bpe import op9_bpe
+from signalloom.llm.divergence import OP11_SQL, op11_source_divergence
 from signalloom.llm.html import op8_html_extraction
 from signalloom.llm.importance import op12_importance_resampling
 from signalloom.llm.jaccard import op2_ngram_jaccard
@@ -30,7 +31,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_extraction": op8_html_extraction,
     "op9_bpe": op9_bpe,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op11_source_divergence": op11_source_divergence,
     "op12_importance_resampling": op12_importance_resampling,
 }
 
-ORACLES: dict[str, str] = {"op6_line_dedup": OP6_SQL, "op6_sized_line_dedup": OP6_SIZED_SQL}
+ORACLES: dict[str, str] = {"op6_line_dedup": OP6_SQL, "op6_sized_line_dedup": OP6_SIZED_SQL, "op11_source_divergence": OP11_SQL}

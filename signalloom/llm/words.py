@@ -31,11 +31,11 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """Words of the texts ``offsets[i]:offsets[i + 1]`` of ``data``."""
+    """Words of the texts ``offsets[i]:offsets[i + 1]`` of ``data``: runs without the bytes marked in ``gap``."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, gap: np.ndarray = _SPACE):
         self.data, self.offsets = data, offsets
-        solid = ~_SPACE[data]
+        solid = ~gap[data]
         before = np.empty_like(solid)
         before[:1] = False
         before[1:] = solid[:-1]
