@@ -14,6 +14,7 @@ from signalloom.llm.jaccard import op2_ngram_jaccard
 from signalloom.llm.lines import OP6_SIZED_SQL, OP6_SQL, op6_line_dedup, op6_sized_line_dedup
 from signalloom.llm.packing import op7_best_fit_packing
 from signalloom.llm.quality import op3_quality_rules
+from signalloom.llm.secrets import OP13_SQL, op13_secret_scan
 from signalloom.llm.substrings import op4_substring_dedup
 from signalloom.llm.suffixes import op5_suffix_dedup
 from signalloom.llm.tokenfile import op1_token_files
@@ -33,6 +34,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_embedding_dedup": op10_embedding_dedup,
     "op11_source_divergence": op11_source_divergence,
     "op12_importance_resampling": op12_importance_resampling,
+    "op13_secret_scan": op13_secret_scan,
 }
 
-ORACLES: dict[str, str] = {"op6_line_dedup": OP6_SQL, "op6_sized_line_dedup": OP6_SIZED_SQL, "op11_source_divergence": OP11_SQL}
+ORACLES: dict[str, str] = {
+    "op6_line_dedup": OP6_SQL,
+    "op6_sized_line_dedup": OP6_SIZED_SQL,
+    "op11_source_divergence": OP11_SQL,
+    "op13_secret_scan": OP13_SQL,
+}
