@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from signalloom.llm.kept import kept
 from signalloom.llm.shared import table
 from signalloom.llm.tokens import SPACED, Encoder
 from signalloom.llm.words import pieces
@@ -100,13 +101,8 @@ class TreeEncoder(Encoder):
         return tree(text, self.one, self.token_bytes)
 
 
-_LOADED: dict[str, TreeEncoder] = {}
-
-
 def _of_worker(path: str) -> TreeEncoder:
-    if path not in _LOADED:
-        _LOADED[path] = TreeEncoder(path)
-    return _LOADED[path]
+    return kept(path, lambda: TreeEncoder(path))
 
 
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"

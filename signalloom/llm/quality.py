@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from signalloom.llm.kept import released
 from signalloom.llm.shared import Scratch, table
 from signalloom.llm.words import Words, buffers, windows
 
@@ -49,6 +50,8 @@ LADDERS: dict[str, tuple[str, list[float]]] = {
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capital_words"]
 WINDOW, LEAST_WORDS = 3, 50
+#: Bytes of text that a worker counts at once.
+PIECE = 1 << 20
 
 #: Columns that ``judged`` adds, or replaces where they are there.
 JUDGED = ("_figures", "_base_failed", "_kept")
@@ -101,10 +104,11 @@ def _figures(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
 @F.arrow_udf(T.StructType([T.StructField(c, T.LongType()) for c in COUNTS]))
 def text_figures(text: pa.Array) -> pa.Array:
     """Counts of each text, see ``COUNTS``; a null text is empty."""
+    released()
     data, offsets = buffers(text)
     parts, low = [], 0
     while low < len(text):
-        high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + (4 << 20), "right")) - 1)
+        high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + PIECE, "right")) - 1)
         a, b = offsets[low], offsets[high]
         parts.append(_figures(data[a:b], offsets[low : high + 1] - a))
         low = high
@@ -203,7 +207,7 @@ def cutoffs(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: fl
     counted = cells.groupBy("stratum").agg(F.collect_list(F.struct("clean", *LADDERS, "n")).alias("cells"), F.max("clean").alias("any"))
     counted = counted.where("any").drop("any")
     # One number for the correction: strata that have any labelled clean document.
-    counted = counted.join(counted.groupBy().agg(F.count("*").alias("strata")))
+    counted = counted.withColumn("strata", counted.agg(F.count("*")).scalar())
 
     def climb(batches):
         for p in batches:

@@ -16,6 +16,7 @@ import re
 
 import numpy as np
 
+from signalloom.llm.kept import kept
 from signalloom.llm.words import Words
 
 LONG, JOINED = 64, 400
@@ -198,11 +199,6 @@ class Encoder:
         return [ids[t] if t in ids else self.long_piece(t.decode()) for t in texts]
 
 
-_LOADED: dict = {}
-
-
 def encoder(path: str, kind: str, long_piece=None) -> Encoder:
     """The encoder of this Python worker for a tokenizer file."""
-    if (path, kind, long_piece) not in _LOADED:
-        _LOADED[path, kind, long_piece] = Encoder(path, kind, long_piece)
-    return _LOADED[path, kind, long_piece]
+    return kept((path, kind, long_piece), lambda: Encoder(path, kind, long_piece))

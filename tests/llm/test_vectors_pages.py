@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+import cases
 from cases import frame
 
 from signalloom.llm import components, html, vectors
@@ -117,7 +118,11 @@ def test_html(spark):
 def test_pipeline_stages_keep_columns_and_take_effect(spark, tmp_path):
     import corpus_pipeline
 
-    docs = frame(spark)
+    # Besides the passages on lines of their own, which go with the lines, one inside other lines.
+    rng = random.Random(11)
+    shared = cases.sentence(rng, 40)
+    inside = [(500 + i, f"{cases.sentence(rng, 60)} {shared} {cases.sentence(rng, 60)}", "en", "s", 0, "x", 1, 2, 3, "y", None) for i in range(3)]
+    docs = frame(spark, cases.rows() + inside)
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(i, 1, 0) for i in range(100, 140)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     left, seen = docs, {}
@@ -135,6 +140,8 @@ def test_pipeline_stages_keep_columns_and_take_effect(spark, tmp_path):
     near = {r["doc_id"] for r in seen["near_duplicates"]}
     assert 200 in near and not near & set(range(201, 212))  # near copies of one text
     assert sum(len(r["text"].split()) for r in seen["substring_dedup"]) < sum(len(r["text"].split()) for r in seen["near_duplicates"])
+    words = {r["doc_id"]: r["text"].split() for r in seen["substring_dedup"]}
+    assert [len(words[500 + i]) for i in range(3)] == [160, 120, 120]
     assert {r["doc_id"] for r in packed} == {r["doc_id"] for r in seen["substring_dedup"]}
     for name in ("line_dedup", "substring_dedup"):
         assert all(r["n_chars"] == len(r["text"]) for r in seen[name] if r["text"] is not None)
