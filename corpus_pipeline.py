@@ -5,8 +5,9 @@ next one's documents. All but the last return the columns of documents; a change
 ``n_chars`` along.
 
 Order among equals is by ``doc_id``: the smallest of a group of near duplicates stays, and of
-repeated lines and passages the first. A document that loses all its text stays as an empty one, so
-that the rows of every stage are accounted for, and is packed as its end id.
+repeated lines and passages the first. A document that loses all its words to ``line_dedup`` is a copy
+throughout; it stays there as an empty one, so that the rows are accounted for, and is dropped by
+``near_duplicates``. One that ``substring_dedup`` empties is dropped there.
 """
 
 from __future__ import annotations
@@ -15,7 +16,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signalloom.llm import jaccard, lines, packing, quality, substrings
-from signalloom.llm.shared import Scratch, table
+from signalloom.llm.shared import WORD, Scratch, table, text_or_empty
+
+
+def _with_words(docs: DataFrame) -> DataFrame:
+    """Without the documents that a stage has emptied."""
+    return docs.where(text_or_empty().rlike(WORD))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,15 +37,17 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of five-word shingle sets with similarity 0.8 or more.
 
-    Rows without id are in no component and stay; so do all rows of the id that is kept.
+    Documents without words are copies of nothing that is left, and go. Rows without id are in no
+    component and stay; so do all rows of the id that is kept.
     """
+    docs = _with_words(docs)
     gone = jaccard.near_duplicates(docs, size=5, least=80, of=100).where("component_id <> doc_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of 13-word windows that also start in an earlier document go."""
-    return substrings.without_repeated_words(docs).select(*docs.columns)
+    return _with_words(substrings.without_repeated_words(docs).select(*docs.columns))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
