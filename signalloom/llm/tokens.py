@@ -5,7 +5,8 @@ where it splits anyway. ``SPACED`` tokenizers are byte-level ones that keep a sp
 behind it: texts are cut before a single space between other characters. ``WORD`` tokenizers
 lower-case words and drop white space: texts are cut at it. Words are found and hashed as arrays;
 ids of known words are gathered by table. The Python worker remembers up to ``REMEMBERED`` words,
-by 64-bit hash. Marks behind a letter, which such tokenizers split off, are encoded by themselves,
+by 64-bit hash, in two generations: when the younger is full it becomes the older, whose words come
+back when they are met again, and what was not met is forgotten with it. Marks behind a letter, which such tokenizers split off, are encoded by themselves,
 and new words ``JOINED`` at a time as one text whose ids are told apart by the bytes they stand for.
 """
 
@@ -21,7 +22,7 @@ from signalloom.llm.words import Words
 
 LONG, JOINED = 64, 400
 SPACED, WORD = "spaced", "word"
-REMEMBERED = {SPACED: 1_200_000, WORD: 400_000}
+REMEMBERED = {SPACED: 1_200_000, WORD: 800_000}
 
 _COMBINING = re.compile("[̀-\U0010ffff]")
 _MARKS = b".,;:!?"
@@ -47,9 +48,21 @@ class Encoder:
             self.width[i] = len(token.removesuffix("</w>"))
         self.long_piece = long_piece or (lambda text: self.each([text])[0])
         self.marks: dict[bytes, np.ndarray] = {}
-        self._forget()
+        self._begin()
+        self.older = (self.known, self.at, self.flat)
 
-    def _forget(self) -> None:
+    def _age(self) -> None:
+        """Let go of the older generation, and begin a new one."""
+        self.older = (self.known, self.at, self.flat)
+        self._begin()
+
+    def _recall(self, hashes: list[int]) -> None:
+        """Take words of the older generation over that are not known to the younger."""
+        places, at, flat = self.older
+        back = [h for h in hashes if h in places and h not in self.known]
+        self._add(back, [flat[at[i] : at[i + 1]] for i in map(places.__getitem__, back)])
+
+    def _begin(self) -> None:
         self.known: dict[int, int] = {}
         self.at, self.flat, self.used = np.zeros(1 << 16, dtype=np.int64), np.empty(1 << 18, dtype=np.uint32), 0
 
@@ -121,6 +134,7 @@ class Encoder:
                 whole_hashes.append(h)
         buffer = np.frombuffer(b" ".join(bare), dtype=np.uint8)
         of_bare = Words(buffer, np.array([0, len(buffer)])).hashes().tolist()
+        self._recall(list(dict.fromkeys(of_bare)))
         new = {h: w for h, w in zip(whole_hashes, whole_words, strict=True)}
         new.update((h, w) for h, w in zip(of_bare, bare, strict=True) if h not in self.known)
         self._add(list(new), self._words(list(new.values())))
@@ -168,8 +182,9 @@ class Encoder:
         keys = uniq.tolist()
         raw = data.tobytes()
         at = start[simple][first]
-        if len(self.known) + len(keys) * 2 > REMEMBERED[self.kind]:
-            self._forget()
+        if len(self.known) + len(keys) * 2 > REMEMBERED[self.kind] // 2:
+            self._age()
+        self._recall(keys)
         unknown = [i for i, k in enumerate(keys) if k not in self.known]
         if unknown:
             a, b = w.starts[at[unknown]].tolist(), w.ends[at[unknown]].tolist()
