@@ -36,6 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from signalloom.llm.kept import kept
 from signalloom.llm.shared import Scratch, partitions, table
 from signalloom.llm.words import mixed, pieces
 
@@ -45,21 +46,22 @@ HOT, CHUNK = 20_000, 20_000
 
 _VALUES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)  # odd, so that their powers have inverses
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Bytes of text ranked at once, where no single text is longer.
+PIECE = 1 << 20
 
 
 def _powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of a base and of its inverse modulo 2 ** 64."""
-    if which not in _POWERS or len(_POWERS[which][0]) < n:
-        base = _BASES[which]
-        size = max(n, 5 << 20)
+    """Powers of a base and of its inverse modulo 2 ** 64. A table for longer texts isn't kept."""
+
+    def made(size: int) -> tuple[np.ndarray, np.ndarray]:
         both = []
-        for b in (base, pow(base, -1, 1 << 64)):
+        for b in (_BASES[which], pow(_BASES[which], -1, 1 << 64)):
             x = np.full(size, np.uint64(b))
             x[0] = 1
             both.append(np.cumprod(x, dtype=np.uint64))
-        _POWERS[which] = (both[0], both[1])
-    return _POWERS[which]
+        return both[0], both[1]
+
+    return kept(("powers", which), lambda: made(PIECE + 1)) if n <= PIECE + 1 else made(n)
 
 
 class Ranks:
@@ -116,7 +118,7 @@ def _reach(p: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarra
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Chosen positions with their pair of ranks."""
-    for rows, data, offsets in pieces(batches):
+    for rows, data, offsets in pieces(batches, size=PIECE):
         r = Ranks(data)
         p = chosen(r, offsets)
         of = np.searchsorted(offsets, p, "right") - 1
