@@ -40,7 +40,7 @@ from signalloom.llm.words import Words, pieces
 
 LEAST_DOCS, PRIOR, TOP_TERMS = 30, 5, 50
 #: Postings of a block, and bytes of text counted at once.
-BLOCK, PIECE = 1 << 17, 8 << 20
+BLOCK, PIECE = 1 << 14, 8 << 20
 
 _GAP = np.zeros(256, dtype=bool)  # bytes that no term holds
 _GAP[:0x80] = True
