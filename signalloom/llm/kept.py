@@ -6,9 +6,13 @@ something else let go of what earlier ones left behind.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Hashable
 
+import pyarrow as pa
+
 _KEPT: dict[Hashable, object] = {}
+_C = ctypes.CDLL(None)
 
 
 def kept(key: Hashable, make: Callable[[], object]):
@@ -19,5 +23,13 @@ def kept(key: Hashable, make: Callable[[], object]):
 
 
 def released() -> None:
-    """Forget everything that is kept."""
+    """Forget everything that is kept, and give its memory back."""
     _KEPT.clear()
+    trimmed()
+
+
+def trimmed() -> None:
+    """Hand memory that was freed back to the system, which C and Arrow allocators would keep for later."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_C, "malloc_trim"):
+        _C.malloc_trim(0)

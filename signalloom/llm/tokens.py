@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -22,7 +23,8 @@ from signalloom.llm.words import Words
 
 LONG, JOINED = 64, 400
 SPACED, WORD = "spaced", "word"
-REMEMBERED = {SPACED: 1_200_000, WORD: 800_000}
+#: Words a worker remembers, some 40 bytes each, and new words encoded in one call.
+REMEMBERED, AT_ONCE = 3_000_000, 20_000
 
 _COMBINING = re.compile("[̀-\U0010ffff]")
 _MARKS = b".,;:!?"
@@ -30,6 +32,26 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
 
+def _find(hashes: np.ndarray, places: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The place of each key, -1 where it is not among the sorted ``hashes``."""
+    if not len(hashes):
+        return np.full(len(keys), -1, dtype=np.int64)
+    i = np.minimum(np.searchsorted(hashes, keys), len(hashes) - 1)
+    return np.where(hashes[i] == keys, places[i], -1)
+
+
+def _within(begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers from each ``begin`` on, as many as its size."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - (ends - sizes), sizes)
+
+
+def _gathered(flat: np.ndarray, at: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The entries ``flat[at[p] : at[p + 1]]`` of all places, one after another, and how many each has."""
+    sizes = at[places + 1] - at[places]
+    return flat[_within(at[places], sizes)], sizes
+
+
 class Encoder:
     """Ids of texts. ``long_piece`` may be replaced by another way to encode a long unsplit text."""
 
@@ -49,103 +71,129 @@ class Encoder:
         self.long_piece = long_piece or (lambda text: self.each([text])[0])
         self.marks: dict[bytes, np.ndarray] = {}
         self._begin()
-        self.older = (self.known, self.at, self.flat)
+        self._age()
+
+    def _begin(self) -> None:
+        """No words: ``hashes`` are sorted, and word ``places[k]`` has the ids ``flat[at[place] : at[place + 1]]``."""
+        self.count, self.hashes, self.places = 0, np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
+        self.at, self.flat = np.zeros(1 << 16, dtype=np.int64), np.empty(1 << 18, dtype=np.uint32)
 
     def _age(self) -> None:
         """Let go of the older generation, and begin a new one."""
-        self.older = (self.known, self.at, self.flat)
+        self.older = (self.hashes, self.places, self.at, self.flat)
         self._begin()
 
-    def _recall(self, hashes: list[int]) -> None:
-        """Take words of the older generation over that are not known to the younger."""
-        places, at, flat = self.older
-        back = [h for h in hashes if h in places and h not in self.known]
-        self._add(back, [flat[at[i] : at[i + 1]] for i in map(places.__getitem__, back)])
-
-    def _begin(self) -> None:
-        self.known: dict[int, int] = {}
-        self.at, self.flat, self.used = np.zeros(1 << 16, dtype=np.int64), np.empty(1 << 18, dtype=np.uint32), 0
+    def _recall(self, hashes: np.ndarray) -> None:
+        """Take words of the older generation over that are not known to the younger. ``hashes`` are distinct."""
+        known, places, at, flat = self.older
+        missing = hashes[_find(self.hashes, self.places, hashes) < 0]
+        place = _find(known, places, missing)
+        there = place >= 0
+        ids, sizes = _gathered(flat, at, place[there])
+        self._add(missing[there], ids, sizes)
 
     def each(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of texts that are encoded one by one."""
         return [np.array(e.ids, dtype=np.uint32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _words(self, words: list[bytes]) -> list[np.ndarray]:
-        """Ids of words with what stands before them: a space, or nothing."""
-        out: list = [None] * len(words)
+    def _words(self, words: list[bytes]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+        """Numbers of words, the ids of all of them with what stands before them (a space, or nothing), and how many each has."""
         plain, alone = [], []
         for i, w in enumerate(words):
             if len(w) <= LONG and b"<|" not in w and (self.kind == SPACED or w.isascii()):
                 plain.append(i)
             else:
                 alone.append(i)
-        groups = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
-        texts = [self.space + b" ".join([words[i] for i in g]).decode() for g in groups]
         extra = len(self.space)
-        for g, e in zip(groups, self.library.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, dtype=np.uint32)
-            at = np.zeros(len(ids) + 1, dtype=np.int64)
-            np.cumsum(self.width[ids], out=at[1:])
-            ends = np.cumsum([len(words[i]) + extra for i in g])
-            cuts = np.searchsorted(at, ends)
-            if at[-1] != ends[-1] or (at[np.minimum(cuts, len(at) - 1)] != ends).any():
-                alone += g  # a character that the tokenizer drops or rewrites
-                continue
-            low = 0
-            for i, high in zip(g, cuts.tolist(), strict=True):
-                out[i] = ids[low:high]
-                low = high
+        for first in range(0, len(plain), AT_ONCE):
+            own = plain[first : first + AT_ONCE]
+            groups = [own[i : i + JOINED] for i in range(0, len(own), JOINED)]
+            texts = [self.space + b" ".join([words[i] for i in g]).decode() for g in groups]
+            for g, e in zip(groups, self.library.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, dtype=np.uint32)
+                at = np.zeros(len(ids) + 1, dtype=np.int64)
+                np.cumsum(self.width[ids], out=at[1:])
+                ends = np.cumsum([len(words[i]) + extra for i in g])
+                cuts = np.searchsorted(at, ends)
+                if at[-1] != ends[-1] or (at[np.minimum(cuts, len(at) - 1)] != ends).any():
+                    alone += g  # a character that the tokenizer drops or rewrites
+                else:
+                    yield g, ids[: cuts[-1]], np.diff(cuts, prepend=0)
         short = [i for i in alone if len(words[i]) <= LONG]
-        for i, ids in zip(short, self.each([self.space + words[i].decode() for i in short]), strict=True):
-            out[i] = ids
+        for first in range(0, len(short), AT_ONCE):
+            own = short[first : first + AT_ONCE]
+            ids = self.each([self.space + words[i].decode() for i in own])
+            yield own, np.concatenate(ids), np.array([len(x) for x in ids])
         for i in alone:
             if len(words[i]) > LONG:
-                out[i] = self.long_piece(self.space + words[i].decode())
-        return out
-
-    def _add(self, hashes: list[int], ids: list[np.ndarray]) -> None:
-        n = len(self.known)
-        if n + len(ids) + 1 > len(self.at):
-            self.at = np.concatenate([self.at, np.zeros(max(len(self.at), len(ids)) + 1, dtype=np.int64)])
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.at[n + 1 : n + 1 + len(ids)] = self.at[n] + np.cumsum(sizes)
-        end = int(self.at[n + len(ids)])
-        if end > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.empty(max(len(self.flat), end), dtype=np.uint32)])
-        if ids:
-            self.flat[self.at[n] : end] = np.concatenate(ids)
-        self.known.update(zip(hashes, range(n, n + len(ids)), strict=True))
-
-    def _ids(self, h: int) -> np.ndarray:
-        i = self.known[h]
-        return self.flat[self.at[i] : self.at[i + 1]]
-
-    def _learn(self, words: list[bytes], hashes: list[int]) -> None:
-        bare, split = [], []
-        whole_words, whole_hashes = [], []
-        for w, h in zip(words, hashes, strict=True):
+                ids = self.long_piece(self.space + words[i].decode())
+                yield [i], ids, np.array([len(ids)])
+
+    def _add(self, hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Remember words that are not known yet."""
+        n, more = self.count, len(hashes)
+        if not more:
+            return
+        if n + more + 1 > len(self.at):
+            self.at = np.concatenate([self.at, np.zeros(max(len(self.at) // 2, more) + 1, dtype=np.int64)])
+        self.at[n + 1 : n + 1 + more] = self.at[n] + np.cumsum(sizes)
+        low, high = int(self.at[n]), int(self.at[n + more])
+        if high > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty(max(len(self.flat) // 2, high - low), dtype=np.uint32)])
+        self.flat[low:high] = ids
+        order = np.argsort(hashes)
+        where = np.searchsorted(self.hashes, hashes[order])
+        self.hashes = np.insert(self.hashes, where, hashes[order])
+        self.places = np.insert(self.places, where, n + order)
+        self.count = n + more
+
+    def _learn(self, words: list[bytes], hashes: np.ndarray) -> None:
+        """Encode words, whose hashes are distinct and not known. Marks behind a letter are told apart first."""
+        bare, ends, split, whole = [], [], [], []
+        for i, w in enumerate(words):
             word = w.rstrip(_MARKS)
             last = word[-1:]
             if len(word) < len(w) and (last.isalpha() or last >= b"\x80" and word.decode()[-1].isalpha() and word.decode()[-1] < "\u0100"):
                 bare.append(word)
-                split.append((h, w[len(word) :]))
+                ends.append(w[len(word) :])
+                split.append(i)
             else:
-                whole_words.append(w)
-                whole_hashes.append(h)
+                whole.append(i)
         buffer = np.frombuffer(b" ".join(bare), dtype=np.uint8)
-        of_bare = Words(buffer, np.array([0, len(buffer)])).hashes().tolist()
-        self._recall(list(dict.fromkeys(of_bare)))
-        new = {h: w for h, w in zip(whole_hashes, whole_words, strict=True)}
-        new.update((h, w) for h, w in zip(of_bare, bare, strict=True) if h not in self.known)
-        self._add(list(new), self._words(list(new.values())))
-        ids = []
-        for b, (_, end) in zip(of_bare, split, strict=True):
+        of_bare = Words(buffer, np.array([0, len(buffer)])).hashes()
+        distinct, first = np.unique(of_bare, return_index=True)
+        self._recall(distinct)
+        new, at = np.unique(np.concatenate([distinct, hashes[whole]]), return_index=True)
+        unknown = _find(self.hashes, self.places, new) < 0
+        new, at = new[unknown], at[unknown].tolist()
+        first = first.tolist()
+        texts = [bare[first[i]] if i < len(first) else words[whole[i - len(first)]] for i in at]
+        parts = list(self._words(texts))
+        if parts:
+            self._add(new[np.concatenate([p[0] for p in parts])], np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts]))
+        if not split:
+            return
+        for end in dict.fromkeys(ends):
             if end not in self.marks:
                 if len(self.marks) > 10_000:
                     self.marks.clear()
                 self.marks[end] = self.each([end.decode()])[0]
-            ids.append(np.concatenate([self._ids(b), self.marks[end]]))
-        self._add([h for h, _ in split], ids)
+        marks = {end: i for i, end in enumerate(dict.fromkeys(ends))}
+        behind = [self.marks[end] if end in self.marks else self.each([end.decode()])[0] for end in marks]
+        mark = np.fromiter((marks[end] for end in ends), np.int64, len(ends))
+        mark_at = np.concatenate([[0], np.cumsum([len(x) for x in behind])])
+        ids, sizes = _gathered(self.flat, self.at, _find(self.hashes, self.places, of_bare))
+        tail, tails = _gathered(np.concatenate(behind), mark_at, mark)
+        both = sizes + tails
+        begin = np.cumsum(both) - both
+        out = np.empty(int(both.sum()), dtype=np.uint32)
+        out[_within(begin, sizes)] = ids
+        out[_within(begin + sizes, tails)] = tail
+        own = hashes[split]
+        fresh = np.flatnonzero(_find(self.hashes, self.places, own) < 0)
+        if len(fresh) < len(own):
+            out, both = _gathered(out, np.append(begin, len(out)), fresh)
+        self._add(own[fresh], out, both)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts ``offsets[i]:offsets[i + 1]`` of ``data``, one after another, and their offsets."""
@@ -179,18 +227,16 @@ class Encoder:
         piece = np.empty(len(low), dtype=np.int64)
         own = h[start[simple]]
         uniq, first, back = np.unique(own, return_index=True, return_inverse=True)
-        keys = uniq.tolist()
         raw = data.tobytes()
         at = start[simple][first]
-        if len(self.known) + len(keys) * 2 > REMEMBERED[self.kind] // 2:
+        if self.count + len(uniq) > REMEMBERED // 2:
             self._age()
-        self._recall(keys)
-        unknown = [i for i, k in enumerate(keys) if k not in self.known]
-        if unknown:
+        self._recall(uniq)
+        unknown = np.flatnonzero(_find(self.hashes, self.places, uniq) < 0)
+        if len(unknown):
             a, b = w.starts[at[unknown]].tolist(), w.ends[at[unknown]].tolist()
-            self._learn([raw[i:j] for i, j in zip(a, b, strict=True)], [keys[i] for i in unknown])
-        known = self.known
-        piece[simple] = np.fromiter((known[k] for k in keys), np.int64, len(keys))[back]
+            self._learn([raw[i:j] for i, j in zip(a, b, strict=True)], uniq[unknown])
+        piece[simple] = _find(self.hashes, self.places, uniq)[back]
         # Others hold unusual white space or begin a text: each distinct one is encoded here.
         odd = np.flatnonzero(~simple)
         texts = [raw[i:j] for i, j in zip(low[odd].tolist(), high[odd].tolist(), strict=True)]
@@ -198,10 +244,11 @@ class Encoder:
         ids = self._odd(list(extra))
         flat, ends = self.flat, self.at
         if extra:
-            piece[odd] = np.fromiter((extra[t] for t in texts), np.int64, len(texts)) + len(known)
+            known = self.count
+            piece[odd] = np.fromiter((extra[t] for t in texts), np.int64, len(texts)) + known
             sizes = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))
-            flat = np.concatenate([flat[: ends[len(known)]], *ids])
-            ends = np.concatenate([ends[: len(known) + 1], ends[len(known)] + sizes])
+            flat = np.concatenate([flat[: ends[known]], *ids])
+            ends = np.concatenate([ends[: known + 1], ends[known] + sizes])
         size = ends[piece + 1] - ends[piece]
         out = np.zeros(len(piece) + 1, dtype=np.int64)
         np.cumsum(size, out=out[1:])
