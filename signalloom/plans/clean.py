@@ -13,7 +13,7 @@ from signalloom.functions import (
     parse_quote_price,
     to_whole_number,
 )
-from signalloom.operators.dedupe import first_per_key
+from signalloom.operators.folding import double_of_order, order_of_double, packed, unpacked
 
 
 def parsed_quotes(raw: DataFrame) -> DataFrame:
@@ -35,9 +35,17 @@ def usable() -> Column:
 
 def unique_quotes(parsed: DataFrame) -> DataFrame:
     """One usable row per date and ticker: full-precision closes before rounded ones, then the
-    lowest."""
-    order = [has_cents_only(F.col("close")), F.col("close")]
-    return first_per_key(parsed, ["date", "ticker"], order, keep=usable())
+    lowest, then the lowest volume.
+
+    Folded as two numbers per key, the least quote of either kind, see
+    :mod:`signalloom.operators.folding`: no raw row is sorted.
+    """
+    cents = has_cents_only(F.col("close"))
+    quote = packed(F.when(usable(), order_of_double(F.col("close"))), F.col("volume"))
+    folded = parsed.groupBy("date", "ticker").agg(F.min(F.when(~cents, quote)).alias("_full"), F.min(F.when(cents, quote)).alias("_cents"))
+    best = folded.select("date", "ticker", F.coalesce("_full", "_cents").alias("_best")).where(F.col("_best").isNotNull())
+    order, volume = unpacked(F.col("_best"))
+    return best.select("date", "ticker", double_of_order(order).alias("close"), volume.alias("volume"))
 
 
 def clean_prices(raw: DataFrame) -> DataFrame:
