@@ -13,10 +13,11 @@ import sys
 import tempfile
 import zipfile
 from collections.abc import Callable
-from datetime import datetime
+from datetime import datetime, timedelta
 from importlib.util import find_spec
 from pathlib import Path
 
+from pyspark.errors import PySparkException as SparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +27,7 @@ import oracles as sql  # noqa: E402
 from signalloom.operators.dedupe import surplus_rows  # noqa: E402
 from signalloom.plans import analysis, backtest, clean, fundamentals, health, signals  # noqa: E402
 from signalloom import schemas  # noqa: E402
+from signalloom.plans.pipeline import Warehouse  # noqa: E402
 from signalloom.session import fresh_path, stage  # noqa: E402
 from signalloom.sources import landing, readers, writers  # noqa: E402
 from testing.market import Market  # noqa: E402
@@ -271,6 +273,90 @@ def q_replace_table(m: Market) -> DataFrame:
     return readers.read_table(m.spark, path, schemas.PRICES)
 
 
+def q_technicals_step(m: Market) -> DataFrame:
+    """Technicals of all days by carried state: a few long ranges, then single days at the end."""
+    w = Warehouse(m.spark, fresh_path(m.spark, "carried"))
+    first, last = m.days
+    writers.replace_range(_prices(m), w.path("clean/prices"), first, last)
+    ends = [first + (last - first) * k // 4 for k in (1, 2, 3)] + [last - timedelta(days=k) for k in (2, 1, 0)]
+    parts, start = [], first
+    for end in ends:
+        parts.append(stage(w.carry_technicals(start, end), "technicals"))
+        start = end + timedelta(days=1)
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return rounded(whole, 6, "ma_200", "momentum_12_1")
+
+
+def _clustered(m: Market) -> tuple[DataFrame, DataFrame]:
+    """Prices and fundamentals as catalog tables in buckets of tickers."""
+    buckets, tables = int(m.spark.conf.get("spark.sql.shuffle.partitions")), []
+    for name, df, sort in (("prices", _prices(m), "date"), ("fundamentals", _fundamentals(m), "available_from")):
+        path = fresh_path(m.spark, f"{name}_by_ticker")
+        table = path.rsplit("/", 1)[1].replace("-", "_")
+        writers.store_clustered(df, table, ["ticker"], [sort], buckets, path)
+        tables.append(m.spark.table(table))
+    return tables[0], tables[1]
+
+
+def q_technicals_clustered(m: Market) -> DataFrame:
+    return rounded(signals.technicals(_clustered(m)[0]), 6, "ma_200", "momentum_12_1")
+
+
+def q_asof_clustered(m: Market) -> DataFrame:
+    prices, facts = _clustered(m)
+    return _round_joined(signals.with_fundamentals(signals.technicals(prices), facts, m.universe, "merge"))
+
+
+def q_repeated_loads(m: Market) -> DataFrame:
+    """The audit log of a first load, of a second one of part of the rows, and of its second try."""
+    w = Warehouse(m.spark, fresh_path(m.spark, "loads"))
+    prices, raw = _stored_prices(m), m.raw_quotes
+    w.log_load(_log(m, prices), "first")
+    part = clean.load_log(raw.where("volume > 10"), prices.where("volume > 10"), True, datetime(2002, 1, 1))
+    part = part.withColumn("loaded_at", F.expr("cast(partition_date as timestamp_ntz) + INTERVAL 72 HOURS"))
+    for _ in range(2):
+        w.log_load(part, "second")
+    log = w.load_log()
+    loads = log.groupBy(F.col("partition_date").alias("date")).agg(F.count("*").alias("loads"))
+    return health.latest_loads(log).join(loads, "date")
+
+
+def q_feed_health(m: Market) -> DataFrame:
+    """Health of the benchmark's feed, which has sound days; each third day was loaded again with its rows twice."""
+    w = Warehouse(m.spark, fresh_path(m.spark, "feed"))
+    raw = m.benchmark_quotes
+    prices = stage(clean.clean_prices(raw), "feed")
+    w.log_load(m.stamped(clean.load_log(raw, prices, False, datetime(2002, 1, 1))), "first")
+    again = raw.where(F.dayofmonth("date") % 3 == 0)
+    again = clean.load_log(again.unionByName(again), prices, True, datetime(2002, 1, 1))
+    w.log_load(again.withColumn("loaded_at", F.expr("cast(partition_date as timestamp_ntz) + INTERVAL 72 HOURS")), "again")
+    report = health.pipeline_health(m.trading_calendar, w.load_log(), prices, m.health_as_of)
+    return rounded(report, 6, "trailing_avg_rows")
+
+
+def q_write_gates(m: Market) -> DataFrame:
+    """What the constraints of the price table say to sound prices, to missing closes and to repeated keys."""
+    prices = _stored_prices(m)
+    tries = {
+        "sound": prices,
+        "missing": prices.withColumn("close", F.when(F.col("volume") != 10, F.col("close"))),
+        "repeated": prices.unionByName(prices.where("volume > 10")),
+    }
+    path = fresh_path(m.spark, "gated")
+    verdicts = []
+    for name, df in tries.items():
+        try:
+            writers.replace_table(writers.constrained(df, schemas.PRICES, ("date", "ticker")), path)
+            verdicts.append((name, True))
+        except SparkException:  # what was stored before stays
+            verdicts.append((name, False))
+    stored = readers.read_table(m.spark, path, schemas.PRICES)
+    counts = stored.agg(F.count("*").alias("stored_rows"), F.sum("volume").alias("stored_volume"))
+    return counts.select(F.inline(F.array(*(F.struct(F.lit(n).alias("gate"), F.lit(p).alias("passed")) for n, p in verdicts))), "*")
+
+
 def q_land_filings(m: Market) -> DataFrame:
     """Store facts as tab-delimited text per quarter, land them as Parquet and read all back."""
     spark, base = m.spark, fresh_path(m.spark, "filings")
@@ -345,6 +431,15 @@ _SUPPLIER: dict[str, tuple[Callable[[Market], DataFrame], str]] = {
     "price_jumps": (q_price_jumps, sql.chain("supplier", "jumps")),
     "load_health": (q_load_health, sql.chain("supplier", "health", sql.HEALTH_COLUMNS)),
     "range_replace": (q_range_replace, sql.range_replaced("supplier")),
+    "technicals_step": (q_technicals_step, sql.chain("supplier", "technicals", sql.TECHNICAL_COLUMNS)),
+    "technicals_clustered": (
+        q_technicals_clustered,
+        sql.chain("supplier", "technicals", sql.TECHNICAL_COLUMNS),
+    ),
+    "asof_clustered": (q_asof_clustered, sql.chain("supplier", "joined", sql.JOINED_COLUMNS)),
+    "repeated_loads": (q_repeated_loads, sql.repeated_loads("supplier")),
+    "feed_health": (q_feed_health, sql.feed_health("supplier")),
+    "write_gates": (q_write_gates, sql.write_gates("supplier")),
     "replace_table": (q_replace_table, sql.table_replaced("supplier")),
     "land_filings": (q_land_filings, sql.landed_facts("supplier")),
     "csv_extracts": (q_csv_extracts, sql.sector_heatmap("supplier")),

@@ -530,6 +530,68 @@ def wide_to_long(grain: str) -> str:
     return chain(grain, "lines").rsplit("\nSELECT", 1)[0] + body
 
 
+def _after(grain: str, last: str, body: str) -> str:
+    """More tables and a final SELECT behind the chain up to ``last``."""
+    return chain(grain, last).rsplit("\nSELECT", 1)[0] + body
+
+
+def repeated_loads(grain: str) -> str:
+    body = """,
+        loads AS (
+            SELECT partition_date AS date, raw_rows, clean_rows, is_backfill, loaded_at FROM log
+            UNION ALL
+            SELECT r.date, r.n, coalesce(c.n, 0), true, r.date + INTERVAL 72 HOUR
+            FROM (SELECT date, count(*) AS n FROM raw WHERE volume > 10 GROUP BY date) r
+            LEFT JOIN (SELECT date, count(*) AS n FROM prices WHERE volume > 10 GROUP BY date) c ON c.date = r.date)
+        SELECT date, arg_max(raw_rows, loaded_at) AS raw_rows, arg_max(clean_rows, loaded_at) AS clean_rows,
+               min(loaded_at) FILTER (NOT is_backfill) AS first_scheduled_load, count(*) AS loads
+        FROM loads GROUP BY date"""
+    return _after(grain, "log", body)
+
+
+def feed_health(grain: str) -> str:
+    # Limits that trigger a status.
+    body = """,
+        feed AS (
+            SELECT c.session_date AS date, row_number() OVER (ORDER BY c.session_date) AS pos,
+                   CASE WHEN day(c.session_date) % 3 = 0 THEN 2 * r.n ELSE r.n END AS raw_rows, r.n AS clean_rows,
+                   CASE WHEN r.n IS NOT NULL AND day(c.session_date) % 2 = 0
+                        THEN c.session_date + CASE WHEN day(c.session_date) = 4 THEN INTERVAL 31 HOUR ELSE INTERVAL 25 HOUR END
+                   END AS first_scheduled_load,
+                   coalesce(j.n, 0) AS suspicious_moves
+            FROM calendar c
+            LEFT JOIN (SELECT date, count(*) AS n FROM market GROUP BY date) r ON r.date = c.session_date
+            LEFT JOIN (SELECT a.date, count(*) AS n FROM days a JOIN days b ON b.pos = a.pos - 1
+                       WHERE abs(a.close / b.close - 1) > 0.5 GROUP BY a.date) j ON j.date = c.session_date
+            WHERE c.session_date >= (SELECT min(date) FROM market)
+              AND c.session_date < (SELECT last_day(max(CAST(l_shipdate AS DATE))) FROM lineitem))
+        SELECT date, raw_rows, clean_rows, raw_rows - clean_rows AS rows_dropped, first_scheduled_load,
+               round(usual, 6) AS trailing_avg_rows, suspicious_moves,
+               CASE WHEN coalesce(clean_rows, 0) = 0 THEN 'MISSING'
+                    WHEN first_scheduled_load > date + INTERVAL 30 HOUR THEN 'LATE'
+                    WHEN clean_rows < 0.95 * usual THEN 'LOW_VOLUME'
+                    WHEN raw_rows - clean_rows > 0.05 * raw_rows THEN 'HIGH_DUPES'
+                    WHEN suspicious_moves > 0 THEN 'CHECK_PRICES'
+                    ELSE 'OK' END AS status
+        FROM (SELECT f.*, (SELECT avg(p.clean_rows) FROM feed p WHERE p.pos >= f.pos - 20 AND p.pos < f.pos) AS usual
+              FROM feed f)"""
+    days = """,
+        days AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY date) AS pos FROM market),
+        calendar AS MATERIALIZED (""" + _CHAIN["calendar"] + ")"
+    return _after(grain, "market", days + body)
+
+
+def write_gates(grain: str) -> str:
+    body = """
+        SELECT gate, gate = 'sound' OR (gate = 'missing' AND gaps = 0) OR (gate = 'repeated' AND twice = 0) AS passed,
+               stored_rows, stored_volume
+        FROM (VALUES ('sound'), ('missing'), ('repeated')) g(gate),
+             (SELECT count(*) AS stored_rows, CAST(sum(volume) AS BIGINT) AS stored_volume,
+                     count(*) FILTER (volume = 10 OR volume IS NULL) AS gaps, count(*) FILTER (volume > 10) AS twice
+              FROM prices)"""
+    return _after(grain, "prices", body)
+
+
 def first_filings(grain: str) -> str:
     return chain(
         grain,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 from datetime import UTC, date, datetime
 
@@ -10,10 +11,10 @@ from pyspark.sql import functions as F
 
 from signalloom import schemas
 from signalloom.operators.dedupe import assert_unique
-from signalloom.plans import analysis, backtest, clean, fundamentals, health, signals
-from signalloom.session import staging
+from signalloom.plans import analysis, backtest, carried, clean, fundamentals, health, signals
+from signalloom.session import stage, staging
 from signalloom.sources import landing, readers, writers
-from signalloom.sources.paths import exists, partition_dates
+from signalloom.sources.paths import drop_partition, exists, partition_dates, partition_values
 
 
 @dataclass(frozen=True)
@@ -79,6 +80,40 @@ class Warehouse:
     def land_filings(self, headers_text: str, facts_text: str, quarter: str) -> None:
         landing.land_filings(self.spark, headers_text, facts_text, quarter, self.path("raw"))
 
+    # ---------------------------------------------------------------- carried state
+
+    def _states(self) -> list[date]:
+        """The days that a state of the windows is stored for."""
+        folder = self.path("mart/technical_state")
+        return [date.fromisoformat(d) for d in partition_values(self.spark, folder, "through")]
+
+    def technical_state(self, through: date) -> DataFrame:
+        """The stored state after the prices of a day."""
+        folder = f"{self.path('mart/technical_state')}/through={through.isoformat()}"
+        return readers.read_table(self.spark, folder, schemas.TECHNICAL_STATE)
+
+    def carry_technicals(self, start: date, end: date) -> DataFrame:
+        """Technicals of the days of a range, from the latest state before it and the prices since.
+
+        Stores the state after the range, so a daily run reads one day of prices. Without a state it
+        begins with the first price. Run again, a range starts from the same state.
+        """
+        # In-range rows come from these prices alone; state and prices are read once more to store it.
+        before = max((d for d in self._states() if d < start), default=None)
+        state = carried.no_state(self.spark) if before is None else self.technical_state(before)
+        prices = self.prices().where(F.col("date") <= F.lit(end))
+        if before is not None:
+            prices = prices.where(F.col("date") > F.lit(before))
+        rows, after = carried.step(state, prices)
+        writers.replace_partition(after, self.path("mart/technical_state"), {"through": end.isoformat()})
+        return rows.where(F.col("date") >= F.lit(start))
+
+    def _forget_states(self, since: date) -> None:
+        """Drop the states that know prices from a day on, which have changed."""
+        for through in self._states():
+            if through >= since:
+                drop_partition(self.spark, self.path("mart/technical_state"), "through", through.isoformat())
+
     # ---------------------------------------------------------------- loads
 
     def load_prices(
@@ -87,6 +122,7 @@ class Warehouse:
         end: date,
         is_backfill: bool = False,
         loaded_at: datetime | None = None,
+        load_id: str | None = None,
     ) -> writers.RangeWrite | None:
         """Clean the raw days of a range into the price table and log their counts.
 
@@ -94,24 +130,32 @@ class Warehouse:
         that none is lost and a rerun takes its own back. Without a raw folder in the range nothing
         is done: no day is removed and none logged. ``loaded_at`` is stored without a zone; it has
         to be in the zone that sessions and their deadline are meant in, UTC by default.
+
+        A load that is tried again passes the ``load_id`` of its first try and replaces its audit rows;
+        without one every call is a load of its own.
         """
         if not partition_dates(self.spark, self.path("raw/prices"), start, end):
             return None
         raw = self.raw_quotes(start, end)
-        prices = clean.clean_prices(raw)
-        done = writers.replace_range(prices, self.path("clean/prices"), start, end)
-        if done.out_of_range or exists(self.spark, self.path("clean/rejected")):
-            writers.replace_partition(
-                clean.rejected_quotes(prices, start, end), self.path("clean/rejected"),
-                {"load_start": start.isoformat(), "load_end": end.isoformat()},
-            )
+        with staging():
+            prices = stage(clean.clean_prices(raw), "clean")  # parsed once for what follows
+            self._forget_states(start)
+            sound = writers.constrained(prices, schemas.PRICES, ("date", "ticker"))
+            done = writers.replace_range(sound, self.path("clean/prices"), start, end)
+            if done.out_of_range or exists(self.spark, self.path("clean/rejected")):
+                writers.replace_partition(
+                    clean.rejected_quotes(prices, start, end), self.path("clean/rejected"),
+                    {"load_start": start.isoformat(), "load_end": end.isoformat()},
+                )
         stored = self.prices().where(F.col("date").between(F.lit(start), F.lit(end)))
         now = loaded_at or datetime.now(UTC).replace(tzinfo=None)
-        writers.append_table(
-            clean.load_log(raw, stored, is_backfill, now), self.path("meta/load_log")
-        )
+        self.log_load(clean.load_log(raw, stored, is_backfill, now), load_id or uuid.uuid4().hex)
         return done
 
+    def log_load(self, rows: DataFrame, load_id: str) -> None:
+        """Add the audit rows of a load. They are the load's own folder, so a repeated load adds none."""
+        writers.replace_partition(rows, self.path("meta/load_log"), {"load_id": f"id-{load_id}"})
+
     def check_prices(self, start: date | None = None, end: date | None = None) -> None:
         """Blocking check before anything is derived: one price per date and ticker."""
         stored = self.prices()
@@ -137,25 +181,37 @@ class Warehouse:
         start: date,
         end: date,
         history_days: int | None = None,
-        strategy: str = "window",
-        asof: str = "interval",
+        strategy: str = "sliced",
+        asof: str = "merge",
+        carry: bool = False,
     ) -> writers.RangeWrite:
         """Score the days of a range and replace them in the signal table.
 
         Prices are read from the earliest day that the windows of the range reach, which is looked
         up first, so a day loaded alone equals the same day of a long load. With ``history_days``
-        they are read from that many days before instead.
+        they are read from that many days before instead. With ``carry`` no history is read: the
+        windows go on from the stored state (:meth:`carry_technicals`), which suits short ranges.
+
+        The defaults hold for universes and filings of any size; ``window`` and ``interval`` are
+        shorter plans for a day's members and a ticker's filings that fit a task.
         """
         # Earlier days were checked when their own signals were loaded.
         self.check_prices(start, end)
         prices = self.prices()
-        if history_days is None and (since := signals.history_start(prices, start)):
-            prices = prices.where(F.col("date") >= F.lit(since))
+        if carry:
+            technical = self.carry_technicals(start, end)
+        elif history_days is None:
+            stored_days = partition_dates(self.spark, self.path("clean/prices"), date.min, end)
+            if since := signals.history_start(prices, start, end=end, days=stored_days):
+                prices = prices.where(F.col("date") >= F.lit(since))
         with staging():
-            table = signals.daily_signals(
-                prices, self.fundamentals(), self.universe(), start, end, history_days,
-                strategy=strategy, asof=asof,
-            )
+            if carry:
+                table = signals.signals_of(technical, self.fundamentals(), self.universe(), strategy, asof)
+            else:
+                table = signals.daily_signals(
+                    prices, self.fundamentals(), self.universe(), start, end, history_days,
+                    strategy=strategy, asof=asof,
+                )
             # Ranked by window, each day's rows already sit in one partition.
             return writers.replace_range(
                 table, self.path("mart/signals"), start, end, placed=strategy == "window"
@@ -164,7 +220,7 @@ class Warehouse:
     def refresh_day(self, day: date) -> None:
         """The daily run: the day's prices, then its signals, ranked by all tasks."""
         if self.load_prices(day, day) is not None:
-            self.load_signals(day, day, strategy="sliced")
+            self.load_signals(day, day, carry=True)
 
     # ---------------------------------------------------------------- reports
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, Window
@@ -147,16 +147,39 @@ def score(ranked: DataFrame, strategy: str = "window") -> DataFrame:
     )
 
 
-def history_start(prices: DataFrame, start: date, rows: int = LOOKBACK_ROWS) -> date | None:
-    """The earliest day that the windows of days from ``start`` on can reach back to.
+def history_start(
+    prices: DataFrame, start: date, rows: int = LOOKBACK_ROWS, end: date | None = None, days: Iterable[date] | None = None
+) -> date | None:
+    """The earliest day that the windows of the days from ``start`` to ``end`` can reach back to.
 
-    Windows count rows, so a ticker with gaps needs more days than others. Runs an aggregate over
-    dates and tickers; None without earlier prices.
+    Windows count rows, so a ticker with gaps needs more days than others; only tickers with a price
+    in the range count. Runs an aggregate over dates and tickers. With the ``days`` that are stored,
+    it looks at as many days as a window has rows first, and at earlier ones only while some ticker
+    of the range has too few rows there. None without earlier prices.
     """
     latest_first = Window.partitionBy("ticker").orderBy(F.desc("date"))
+    active = prices.where(F.col("date") >= F.lit(start))
+    if end is not None:
+        active = active.where(F.col("date") <= F.lit(end))
+    active = active.select("ticker").distinct()
     earlier = prices.where(F.col("date") < F.lit(start)).select("date", "ticker")
-    reached = earlier.select("date", F.row_number().over(latest_first).alias("_n"))
-    return reached.where(F.col("_n") <= rows).agg(F.min("date").alias("d")).first()["d"]
+
+    def reached(since: date | None) -> tuple[date | None, bool]:
+        """The earliest day needed from ``since`` on, and whether some ticker may need earlier ones."""
+        seen = earlier if since is None else earlier.where(F.col("date") >= F.lit(since))
+        numbered = seen.join(active, "ticker", "left_semi").select("ticker", "date", F.row_number().over(latest_first).alias("_n"))
+        per_ticker = active.join(numbered.where(F.col("_n") <= rows).groupBy("ticker").agg(F.min("date").alias("d"), F.count("*").alias("n")), "ticker", "left")
+        found = per_ticker.agg(F.min("d").alias("d"), F.bool_or(F.coalesce("n", F.lit(0)) < rows).alias("short")).first()
+        return found["d"], bool(found["short"])
+
+    known = sorted(d for d in days if d < start) if days is not None else []
+    span = rows
+    while span < len(known):
+        day, short = reached(known[-span])
+        if not short:
+            return day
+        span *= 4
+    return reached(None)[0]
 
 
 def reach_end(prices: DataFrame, start: date, end: date, rows: int = LOOKBACK_ROWS) -> date:
@@ -194,5 +217,12 @@ def daily_signals(
     technical = technicals(prices, ma, skip, lookback)
     if start is not None:
         technical = technical.where(F.col("date") >= F.lit(start))
+    return signals_of(technical, fundamentals, universe, strategy, asof)
+
+
+def signals_of(
+    technical: DataFrame, fundamentals: DataFrame, universe: DataFrame, strategy: str = "window", asof: str = "interval"
+) -> DataFrame:
+    """Signals of the days whose technicals are given; options as in :func:`daily_signals`."""
     joined = with_fundamentals(technical, fundamentals, universe, asof)
     return score(sector_ranks(joined, FACTOR_RANKS, strategy), strategy)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
-def _table(**columns: T.DataType) -> T.StructType:
-    return T.StructType([T.StructField(name, kind, True) for name, kind in columns.items()])
+def _table(*, required: tuple[str, ...] = (), **columns: T.DataType) -> T.StructType:
+    """A layout. ``required`` columns are NOT NULL, which is checked when a table is written."""
+    return T.StructType([T.StructField(name, kind, name not in required) for name, kind in columns.items()])
 
 
 _DATE, _TEXT, _REAL, _LONG, _INT = T.DateType(), T.StringType(), T.DoubleType(), T.LongType(), T.IntegerType()
@@ -25,7 +26,10 @@ UNIVERSE = _table(ticker=_TEXT, company=_TEXT, sector=_TEXT, cik=_INT)
 
 TRADING_CALENDAR = _table(session_date=_DATE)
 
-PRICES = _table(date=_DATE, ticker=_TEXT, close=_REAL, volume=_LONG)
+PRICES = _table(required=("date", "ticker", "close"), date=_DATE, ticker=_TEXT, close=_REAL, volume=_LONG)
+
+#: What a ticker's windows reach back to: rows so far, and the last closes, oldest first.
+TECHNICAL_STATE = _table(ticker=_TEXT, n=_LONG, closes=T.ArrayType(_REAL))
 
 FUNDAMENTALS = _table(
     ticker=_TEXT,

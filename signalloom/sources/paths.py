@@ -56,6 +56,12 @@ def swap(spark: SparkSession, base: str, new: str, old: str) -> None:
     fs.delete(_path(spark, old)[0], True)
 
 
+def delete(spark: SparkSession, text: str) -> None:
+    """Delete a folder, if it is there."""
+    path, fs = _path(spark, text)
+    fs.delete(path, True)
+
+
 def drop_partition(spark: SparkSession, base: str, column: str, value: str) -> None:
     path, fs = _path(spark, f"{base.rstrip('/')}/{column}={value}")
     fs.delete(path, True)

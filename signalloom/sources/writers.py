@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from datetime import date
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from signalloom.sources.paths import drop_partition, files_by_day, swap
+from signalloom.sources.paths import delete, drop_partition, files_by_day, swap
 
 
 @dataclass(frozen=True)
@@ -34,6 +35,41 @@ def clustered_by_day(df: DataFrame, *within: str, days: int) -> DataFrame:
     return placed.sortWithinPartitions("date", *within)
 
 
+def constrained(df: DataFrame, schema: T.StructType, keys: Sequence[str] = ()) -> DataFrame:
+    """``df`` as it may be written: a NULL where ``schema`` has none, or a second row of a key, is an error.
+
+    The checks are part of the job that writes: the rows of a key are numbered where they lie, or are
+    moved together first where they don't, so nothing is read twice. The error fails the job before
+    anything is committed, and the stored table stays as it was.
+    """
+    required = [f.name for f in schema if not f.nullable]
+    columns = []
+    for name in df.columns:
+        broken = F.raise_error(F.lit(f"NULL in required column {name}")).cast(df.schema[name].dataType)
+        columns.append(F.coalesce(F.col(name), broken).alias(name) if name in required else F.col(name))
+    checked = df.select(*columns)
+    if not keys:
+        return checked
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(*keys))
+    second = F.raise_error(F.concat(F.lit(f"second row of key ({', '.join(keys)}): "), F.concat_ws(", ", *(F.col(k).cast("string") for k in keys))))
+    numbered = checked.withColumn("_nth", nth)
+    first = keys[0]
+    kind = df.schema[first].dataType
+    return numbered.withColumn(first, F.when(F.col("_nth") == 1, F.col(first)).otherwise(second.cast(kind))).drop("_nth")
+
+
+def store_clustered(df: DataFrame, table: str, by: Sequence[str], sort: Sequence[str], buckets: int, path: str | None = None) -> None:
+    """A catalog table in ``buckets`` of ``by``, sorted within: joins and windows on ``by`` move nothing.
+
+    Rows are placed by bucket first, so a bucket is one file. Tables that are joined need the same
+    number of buckets.
+    """
+    writer = df.repartition(buckets, *by).write.mode("overwrite").format("parquet")
+    if path is not None:
+        writer = writer.option("path", path)
+    writer.bucketBy(buckets, *by).sortBy(*by, *sort).saveAsTable(table)
+
+
 def replace_table(df: DataFrame, path: str) -> None:
     """Full replace: written once, in the order of ``df``, beside the table, then put in its place.
 
@@ -42,7 +78,11 @@ def replace_table(df: DataFrame, path: str) -> None:
     """
     spark, base = df.sparkSession, path.rstrip("/")
     mark = uuid.uuid4().hex
-    df.write.mode("errorifexists").parquet(f"{base}__new-{mark}")
+    try:
+        df.write.mode("errorifexists").parquet(f"{base}__new-{mark}")
+    except Exception:
+        delete(spark, f"{base}__new-{mark}")
+        raise
     swap(spark, base, f"{base}__new-{mark}", f"{base}__old-{mark}")
 
 

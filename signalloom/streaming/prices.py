@@ -33,13 +33,17 @@ def load_new_quotes(warehouse: Warehouse, with_signals: bool = True) -> Streamin
 
     A batch only tells which days changed. Those days are then read whole from the raw folder,
     because replacing a day from its new files alone would lose the older ones. A batch that is
-    repeated after a failure gives the same tables.
+    repeated after a failure gives the same tables, the audit log included: its rows go by the batch.
     """
 
-    def load(batch: DataFrame, _batch_id: int) -> None:
+    def load(batch: DataFrame, batch_id: int) -> None:
         # One row per calendar day in the batch.
         days = [r["date"] for r in batch.select("date").distinct().collect()]
-        changed = [r for r in day_ranges(days) if warehouse.load_prices(*r) is not None]
+        changed = [
+            (start, end)
+            for start, end in day_ranges(days)
+            if warehouse.load_prices(start, end, load_id=f"stream-{batch_id}-{start}") is not None
+        ]
         if changed and with_signals:
             # A late price moves the windows of its ticker for as many rows as they are long.
             start = min(r[0] for r in changed)
