@@ -1,7 +1,8 @@
 """What a Python worker keeps between tasks: tokenizers with the words they remember.
 
 Spark gives a worker to one task after another, also of other jobs. Tasks that need their memory for
-something else let go of what earlier ones left behind.
+something else let go of what earlier ones left behind. What a task has freed goes back to the system,
+since a worker may idle beside others that need the memory.
 """
 
 from __future__ import annotations
@@ -13,6 +14,10 @@ import pyarrow as pa
 
 _KEPT: dict[Hashable, object] = {}
 _C = ctypes.CDLL(None)
+#: Blocks from this size on are mapped by themselves, so they go back to the system when they are freed.
+_MAPPED = 1 << 20
+if hasattr(_C, "mallopt"):
+    _C.mallopt(-3, _MAPPED)  # M_MMAP_THRESHOLD
 
 
 def kept(key: Hashable, make: Callable[[], object]):

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from signalloom.llm.kept import released
+from signalloom.llm.kept import released, trimmed
 from signalloom.llm.shared import Scratch, table
 from signalloom.llm.words import Words, buffers, windows
 
@@ -113,6 +113,8 @@ def text_figures(text: pa.Array) -> pa.Array:
         parts.append(_figures(data[a:b], offsets[low : high + 1] - a))
         low = high
     whole = {c: np.concatenate([p[c] for p in parts]) if parts else np.zeros(0, np.int64) for c in COUNTS}
+    del data, offsets, parts
+    trimmed()
     return pa.StructArray.from_arrays([pa.array(whole[c], pa.int64()) for c in COUNTS], COUNTS)
 
 

@@ -12,6 +12,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from signalloom.llm.kept import trimmed
+
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -109,3 +111,5 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = 4
             a, b = offsets[low], offsets[high]
             yield batch.slice(low, high - low), data[a:b], offsets[low : high + 1] - a
             low = high
+        del data, offsets
+        trimmed()
