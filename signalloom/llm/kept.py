@@ -14,10 +14,6 @@ import pyarrow as pa
 
 _KEPT: dict[Hashable, object] = {}
 _C = ctypes.CDLL(None)
-#: Blocks from this size on are mapped by themselves, so they go back to the system when they are freed.
-_MAPPED = 1 << 20
-if hasattr(_C, "mallopt"):
-    _C.mallopt(-3, _MAPPED)  # M_MMAP_THRESHOLD
 
 
 def kept(key: Hashable, make: Callable[[], object]):

@@ -19,6 +19,9 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
+#: Bytes of text after which freed memory goes back to the system.
+TRIM = 8 << 20
+
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
@@ -99,17 +102,21 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """The rows of ``batches`` in parts of about ``size`` bytes of text, with the texts' buffers."""
+    since = 0
     for batch in batches:
         if not batch.num_rows:
             continue
         data, offsets = buffers(batch.column(text))
-        low = 0
+        low, since = 0, since + len(data)
         while low < batch.num_rows:
             high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + size, "right")) - 1)
             a, b = offsets[low], offsets[high]
             yield batch.slice(low, high - low), data[a:b], offsets[low : high + 1] - a
             low = high
         del data, offsets
-        trimmed()
+        if since > TRIM:
+            since = 0
+            trimmed()
+    trimmed()
