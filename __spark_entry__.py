@@ -274,11 +274,11 @@ def q_replace_table(m: Market) -> DataFrame:
 
 
 def q_technicals_step(m: Market) -> DataFrame:
-    """Technicals of all days by carried state: a few long ranges, then single days at the end."""
+    """Technicals of all days by carried state: two long ranges, then single days at the end."""
     w = Warehouse(m.spark, fresh_path(m.spark, "carried"))
     first, last = m.days
     writers.replace_range(_prices(m), w.path("clean/prices"), first, last)
-    ends = [first + (last - first) * k // 4 for k in (1, 2, 3)] + [last - timedelta(days=k) for k in (2, 1, 0)]
+    ends = [first + (last - first) // 2, *(last - timedelta(days=k) for k in (2, 1, 0))]
     parts, start = [], first
     for end in ends:
         parts.append(stage(w.carry_technicals(start, end), "technicals"))
@@ -379,6 +379,36 @@ def q_land_filings(m: Market) -> DataFrame:
     return stored.withColumn("value", F.col("value").cast("double"))
 
 
+def q_landed_years(m: Market) -> DataFrame:
+    """Headers and facts of each year landed from text with a broken line; 1998 has no ``segments``.
+
+    What is stored, a row per kind and year: rows, facts without a segment, and rejected lines.
+    """
+    spark, base = m.spark, fresh_path(m.spark, "landed")
+    headers = m.filing_headers.withColumn("year", F.substring("filed", 1, 4))
+    facts = m.filing_facts.join(headers.select("adsh", "year"), "adsh")
+    years = sorted(r["year"] for r in headers.select("year").distinct().collect())  # a row per year
+    options = {"sep": "\t", "header": True, "quote": '"', "escape": '"', "emptyValue": ""}
+    for kind, df in (("sub", headers), ("num", facts)):
+        df.write.partitionBy("year").options(**options).csv(f"{base}/{kind}")
+    facts.where("year = '1998'").drop("year", "segments").write.mode("overwrite").options(**options).csv(f"{base}/num/year=1998")
+    names = [c for c in facts.columns if c != "year"]
+    for year in years:
+        kept = [c for c in names if c != "segments" or year != "1998"]
+        broken = spark.createDataFrame([("\t".join(kept) + "\nbroken\t" + year,)], "line string").coalesce(1)
+        broken.write.mode("append").text(f"{base}/num/year={year}")
+        landing.land_filings(spark, f"{base}/sub/year={year}", f"{base}/num/year={year}", f"{year}q4", f"{base}/raw")
+    stored = [
+        readers.read_quarters(spark, f"{base}/raw/{kind}", schema).groupBy("quarter").agg(
+            F.lit(kind).alias("kind"), F.count("*").alias("rows"), F.count_if(F.col(last).isNull()).alias("gaps"), F.max(F.lit(None).cast("string")).alias("line")
+        )
+        for kind, schema, last in (("filings", schemas.FILING_HEADERS, "fp"), ("facts", schemas.FILING_FACTS, "segments"))
+    ]
+    bad = landing.rejected_text(spark, f"{base}/raw").groupBy("quarter", F.concat(F.lit("rejected "), "kind").alias("kind"))
+    bad = bad.agg(F.count("*").alias("rows"), F.lit(0).cast("bigint").alias("gaps"), F.max("line").alias("line"))
+    return stored[0].unionByName(stored[1]).unionByName(bad)
+
+
 def q_csv_extracts(m: Market) -> DataFrame:
     """Write the heatmap as an extract and read the file back."""
     folder = fresh_path(m.spark, "extracts")
@@ -442,6 +472,7 @@ _SUPPLIER: dict[str, tuple[Callable[[Market], DataFrame], str]] = {
     "write_gates": (q_write_gates, sql.write_gates("supplier")),
     "replace_table": (q_replace_table, sql.table_replaced("supplier")),
     "land_filings": (q_land_filings, sql.landed_facts("supplier")),
+    "landed_years": (q_landed_years, sql.landed_years("supplier")),
     "csv_extracts": (q_csv_extracts, sql.sector_heatmap("supplier")),
 }
 

@@ -581,6 +581,18 @@ def feed_health(grain: str) -> str:
     return _after(grain, "market", days + body)
 
 
+def landed_years(grain: str) -> str:
+    body = """,
+        years AS (SELECT adsh, CAST(year(filed) AS VARCHAR) AS year FROM headers)
+        SELECT year || 'q4' AS quarter, 'filings' AS kind, count(*) AS rows, 0 AS gaps, NULL AS line FROM years GROUP BY year
+        UNION ALL
+        SELECT y.year || 'q4', 'facts', count(*), count(*) FILTER (y.year = '1998' OR f.segments IS NULL), NULL
+        FROM facts f JOIN years y ON y.adsh = f.adsh GROUP BY y.year
+        UNION ALL
+        SELECT DISTINCT year || 'q4', 'rejected facts', 1, 0, 'broken' || chr(9) || year FROM years"""
+    return _after(grain, "facts", ", headers AS MATERIALIZED (" + _CHAIN["headers"] + ")" + body)
+
+
 def write_gates(grain: str) -> str:
     body = """
         SELECT gate, gate = 'sound' OR (gate = 'missing' AND gaps = 0) OR (gate = 'repeated' AND twice = 0) AS passed,

@@ -73,3 +73,5 @@ LOAD_LOG = _table(
 REJECTED_QUOTES = _table(
     date=_DATE, ticker=_TEXT, close=_REAL, volume=_LONG, load_start=_DATE, load_end=_DATE
 )
+
+REJECTED_TEXT = _table(kind=_TEXT, quarter=_TEXT, line=_TEXT)

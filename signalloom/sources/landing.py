@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalloom.sources.readers import read_tab_text, with_text_column
-from signalloom.sources.writers import write_quarter
+from signalloom.schemas import REJECTED_TEXT
+from signalloom.sources.readers import read_tab_rows, read_table, with_text_column
+from signalloom.sources.writers import replace_partition, write_quarter
 
 
 def quotes_from_wide(
@@ -68,9 +69,21 @@ def trading_sessions(span: DataFrame, holidays: DataFrame) -> DataFrame:
 
 
 def land_filings(
-    spark: SparkSession, headers_text: str, facts_text: str, quarter: str, base: str
+    spark: SparkSession, headers_text: str, facts_text: str, quarter: str, base: str, multiline: bool = False
 ) -> None:
-    """Store one quarter's header and fact files as Parquet under ``filings`` and ``facts``."""
-    write_quarter(read_tab_text(spark, headers_text), f"{base}/filings", quarter)
-    facts = with_text_column(read_tab_text(spark, facts_text), "segments")
-    write_quarter(facts, f"{base}/facts", quarter)
+    """Store one quarter's header and fact files as Parquet under ``filings`` and ``facts``.
+
+    Lines that are no rows of their file go to ``rejected_text``, see :func:`rejected_text`. Landing a
+    quarter again replaces all of it.
+    """
+    headers, bad_headers = read_tab_rows(spark, headers_text, multiline)
+    facts, bad_facts = read_tab_rows(spark, facts_text, multiline)
+    write_quarter(headers, f"{base}/filings", quarter)
+    write_quarter(with_text_column(facts, "segments"), f"{base}/facts", quarter)
+    for kind, bad in (("filings", bad_headers), ("facts", bad_facts)):
+        replace_partition(bad, f"{base}/rejected_text", {"kind": kind, "quarter": quarter})
+
+
+def rejected_text(spark: SparkSession, base: str) -> DataFrame:
+    """``kind``, ``quarter`` and ``line`` of the text that could not be read."""
+    return read_table(spark, f"{base}/rejected_text", REJECTED_TEXT)

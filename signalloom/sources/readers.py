@@ -60,6 +60,28 @@ def read_tab_text(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_tab_rows(spark: SparkSession, path: str, multiline: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The rows of tab-delimited text, as :func:`read_tab_text`, and the ``line`` of those it cannot read.
+
+    A row with more or fewer fields than the header is no row of the table. With ``multiline`` a quoted
+    field may hold line breaks; a file is then read by one task, so it is for files of a task's size.
+    Without, the lines of such a row come out as unreadable.
+    """
+    names = spark.read.option("sep", "\t").option("header", True).option("quote", '"').option("escape", '"').csv(path).columns
+    schema = T.StructType([*(T.StructField(n, T.StringType()) for n in names), T.StructField("_line", T.StringType())])
+    rows = (
+        spark.read.schema(schema)
+        .options(sep="\t", header=True, quote='"', escape='"', multiLine=multiline, mode="PERMISSIVE")
+        # Every field is looked at, whichever are asked for, or a short row would pass as a whole one.
+        .options(columnNameOfCorruptRecord="_line", columnPruning=False)
+        .csv(path)
+    )
+    # Spark does not read the line alone: a field is asked for with it.
+    rows = rows.where(F.length(F.coalesce(names[0], F.lit(""))) >= 0)
+    bad = rows.where(F.col("_line").isNotNull())
+    return rows.where(F.col("_line").isNull()).drop("_line"), bad.select(F.col("_line").alias("line"))
+
+
 def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """A stored table, or an empty one of the same layout before its first load."""
     if not exists(spark, path):
