@@ -65,7 +65,7 @@ def read_tab_rows(spark: SparkSession, path: str, multiline: bool = False) -> tu
 
     A row with more or fewer fields than the header is no row of the table. With ``multiline`` a quoted
     field may hold line breaks; a file is then read by one task, so it is for files of a task's size.
-    Without, the lines of such a row come out as unreadable.
+    Without, the lines of such a row come out as unreadable, but for one that has the right width by itself.
     """
     names = spark.read.option("sep", "\t").option("header", True).option("quote", '"').option("escape", '"').csv(path).columns
     schema = T.StructType([*(T.StructField(n, T.StringType()) for n in names), T.StructField("_line", T.StringType())])

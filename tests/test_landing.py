@@ -15,12 +15,12 @@ def test_rows_of_another_width_are_set_apart(spark, tmp_path):
 
 def test_quoted_line_breaks(spark, tmp_path):
     text = tmp_path / "sub.txt"
-    text.write_text('adsh\tname\na\t"two\nlines"\nb\tone\n')
+    text.write_text('adsh\tname\tfp\na\t"two\nlines"\tQ1\nb\tone\tQ2\n')
     good, bad = readers.read_tab_rows(spark, str(text), multiline=True)
-    assert sorted(map(tuple, good.collect())) == [("a", "two\nlines"), ("b", "one")] and bad.count() == 0
+    assert sorted(map(tuple, good.collect())) == [("a", "two\nlines", "Q1"), ("b", "one", "Q2")] and bad.count() == 0
     # Line by line the halves are not rows of the table, and are kept as they are.
     good, bad = readers.read_tab_rows(spark, str(text))
-    assert [tuple(r) for r in good.collect()] == [("b", "one")] and bad.count() == 2
+    assert [tuple(r) for r in good.collect()] == [("b", "one", "Q2")] and bad.count() == 2
 
 
 def test_landing_keeps_what_it_cannot_read(spark, tmp_path):
