@@ -417,6 +417,47 @@ def q_csv_extracts(m: Market) -> DataFrame:
     return m.spark.read.schema(report.schema).option("header", True).csv(f"{folder}/sector_heatmap")
 
 
+def q_positions_step(m: Market) -> DataFrame:
+    """Positions carried in steps of ever fewer months, one of them tried twice and one after its signals were loaded again."""
+    days = analysis.month_ends(backtest.benchmark_prices(clean.clean_prices(m.benchmark_quotes)))
+    w = Warehouse(m.spark, fresh_path(m.spark, "positions"))
+    w.replace_signals(analysis.on_days(_signals(m), days), *m.days)  # a step reads no other days
+    cuts = sorted({days[len(days) // 2], days[-3], days[-2], days[-1]})
+    for cut in (*cuts[:2], cuts[1], *cuts[2:]):
+        w.carry_positions(cut, days)
+    again = w.signals().where(F.col("date") >= F.lit(cuts[1]))
+    w.replace_signals(stage(again, "signals"), cuts[1], m.days[1])
+    w.carry_positions(cuts[-1], days)
+    return rounded(w.positions(), 6, "next_month_return")
+
+
+def q_all_extracts(m: Market) -> DataFrame:
+    """All five extracts of a warehouse, read back: a row per figure with its extract and key."""
+    w = Warehouse(m.spark, fresh_path(m.spark, "extracts"))
+    writers.replace_table(_prices(m), w.path("clean/prices"))
+    w.replace_signals(_signals(m), *m.days)
+    writers.replace_table(m.universe, w.path("ref/universe"))
+    writers.replace_table(m.trading_calendar, w.path("ref/calendar"))
+    w.log_load(_log(m, w.prices()), "all")
+    w.export_extracts(m.health_as_of)
+    keys = {
+        "todays_signals": ("ticker", "signal", "signal_since", ("trading_days_in_signal", "composite_score")),
+        "signal_validation": ("rebalance_date", "quintile", "quintile", ("stocks", "avg_next_month_return")),
+        "backtest": ("rebalance_date", "rebalance_date", "rebalance_date", ("holdings", "strategy_return")),
+        "sector_heatmap": ("month", "sector", "sector", ("stocks", "net_buy_share")),
+        "pipeline_health": ("date", "status", "status", ("rows_dropped", "suspicious_moves")),
+    }
+    whole = None
+    for name, (key, second, third, figures) in keys.items():
+        text = m.spark.read.option("header", True).csv(w.path(f"exports/{name}"))
+        part = text.select(
+            F.lit(name).alias("extract"), F.col(key).alias("key"), F.col(second).alias("second"), F.col(third).alias("third"),
+            *(F.round(F.col(c).cast("double"), 6).alias(f"figure_{i}") for i, c in enumerate(figures, 1)),
+        )
+        whole = part if whole is None else whole.unionByName(part)
+    return whole
+
+
 _SUPPLIER: dict[str, tuple[Callable[[Market], DataFrame], str]] = {
     "clean_prices": (q_clean_prices, sql.chain("supplier", "prices")),
     "load_log": (q_load_log, sql.chain("supplier", "log")),
@@ -456,6 +497,8 @@ _SUPPLIER: dict[str, tuple[Callable[[Market], DataFrame], str]] = {
     "quintile_spread": (q_quintile_spread, sql.quintile_spread("supplier")),
     "sector_heatmap": (q_sector_heatmap, sql.sector_heatmap("supplier")),
     "positions": (q_positions, sql.chain("supplier", "positions", sql.POSITION_COLUMNS)),
+    "positions_step": (q_positions_step, sql.chain("supplier", "positions", sql.POSITION_COLUMNS)),
+    "all_extracts": (q_all_extracts, sql.all_extracts("supplier")),
     "backtest": (q_backtest, sql.chain("supplier", "curve", sql.CURVE_COLUMNS)),
     "performance_summary": (q_performance_summary, sql.performance_summary("supplier")),
     "price_jumps": (q_price_jumps, sql.chain("supplier", "jumps")),

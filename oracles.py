@@ -385,8 +385,14 @@ def _round(digits: int, *names: str) -> list[str]:
 
 def chain(grain: str, last: str, select: str = "*") -> str:
     """The chain up to and including ``last``, then ``SELECT select FROM last``."""
+    return _chain_of(grain, (last,), select)
+
+
+def _chain_of(grain: str, lasts: tuple[str, ...], select: str = "*") -> str:
+    """:func:`chain` up to several tables; the final SELECT is of the last of them."""
     names = list(_CHAIN)
-    needed = _needed(last)
+    last = lasts[-1]
+    needed = set().union(*map(_needed, lasts))
     parts = []
     for name in names:
         if name in needed:
@@ -604,6 +610,29 @@ def write_gates(grain: str) -> str:
     return _after(grain, "prices", body)
 
 
+def all_extracts(grain: str) -> str:
+    todays = todays_signals(grain).rsplit("SELECT * FROM (", 1)[1].removesuffix(") t")
+    heat = sector_heatmap(grain).rsplit("FROM monthly", 1)[0].rsplit("\n        SELECT make_date", 1)[1]
+    body = f""",
+        todays AS MATERIALIZED ({todays}),
+        heat AS MATERIALIZED (SELECT make_date{heat} FROM monthly GROUP BY 1, 2),
+        extracts AS (
+            SELECT 'todays_signals' AS extract, ticker AS key, signal AS second, CAST(signal_since AS VARCHAR) AS third,
+                   CAST(trading_days_in_signal AS DOUBLE) AS figure_1, composite_score AS figure_2 FROM todays
+            UNION ALL
+            SELECT 'signal_validation', CAST(rebalance_date AS VARCHAR), CAST(quintile AS VARCHAR), CAST(quintile AS VARCHAR),
+                   stocks, avg_next_month_return FROM validation
+            UNION ALL
+            SELECT 'backtest', CAST(rebalance_date AS VARCHAR), CAST(rebalance_date AS VARCHAR), CAST(rebalance_date AS VARCHAR),
+                   holdings, strategy_return FROM curve
+            UNION ALL
+            SELECT 'sector_heatmap', CAST(month AS VARCHAR), sector, sector, stocks, net_buy_share FROM heat
+            UNION ALL
+            SELECT 'pipeline_health', CAST(date AS VARCHAR), status, status, rows_dropped, suspicious_moves FROM health)
+        SELECT extract, key, second, third, round(figure_1, 6) AS figure_1, round(figure_2, 6) AS figure_2 FROM extracts"""
+    return _chain_of(grain, ("validation", "curve", "health")).rsplit("\nSELECT", 1)[0] + body
+
+
 def first_filings(grain: str) -> str:
     return chain(
         grain,

@@ -15,6 +15,9 @@ from signalloom.plans.signals import BUCKETS
 # Longest gap, in days, that still counts as holding to the next month end.
 MAX_GAP_DAYS = 40
 
+# How far back streaks are counted.
+LOOKBACK = "2 years"
+
 
 def month_ends(df: DataFrame) -> list[date]:
     """The last day with rows of each calendar month.
@@ -37,8 +40,22 @@ def on_days(df: DataFrame, days: Sequence[date]) -> DataFrame:
     return df.where(F.col("date").isin(list(days))) if days else df.where(F.lit(False))
 
 
+def report_rows(signals: DataFrame, latest: date, days: Iterable[date], lookback: str = LOOKBACK) -> DataFrame:
+    """What all reports read of the signals, in one pass: every column of ``days``, and of the other
+    days in ``lookback`` before ``latest`` the call alone. ``whole`` tells the two apart.
+
+    A report over these rows equals the one over all signals. They are stored by ``whole``, so that
+    reports of month ends pass over the look-back.
+    """
+    whole = F.col("date").isin(sorted(days))
+    recent = F.col("date") >= F.lit(latest) - F.expr(f"INTERVAL {lookback}")
+    call = ("date", "ticker", "signal")
+    columns = [F.col(c) if c in call else F.when(whole, F.col(c)).alias(c) for c in signals.columns]
+    return signals.where(whole | recent).select(*columns, whole.alias("whole"))
+
+
 def todays_signals(
-    signals: DataFrame, universe: DataFrame, lookback: str = "2 years", latest: date | None = None
+    signals: DataFrame, universe: DataFrame, lookback: str = LOOKBACK, latest: date | None = None
 ) -> DataFrame:
     """Every BUY and SELL of the latest day, its scores, and how long the call has stood.
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from signalloom import schemas
 from signalloom.functions import wealth
 from signalloom.operators.latch import latch
 from signalloom.plans.analysis import month_ends, on_days
@@ -31,15 +32,59 @@ def positions(signals: DataFrame, days: Sequence[date]) -> DataFrame:
         "date",
         "ticker",
         F.row_number().over(timeline).cast("bigint").alias("month_no"),
-        latch(
-            F.col("signal") == "BUY",
-            F.coalesce("quintile", F.lit(0)) < KEEP_QUINTILE,
-            timeline,
-        ).alias("held"),
+        latch(_enters(), _leaves(), timeline).alias("held"),
         (F.lead("close").over(timeline) / F.col("close") - 1).alias("next_month_return"),
     )
 
 
+def _enters() -> Column:
+    return F.col("signal") == "BUY"
+
+
+def _leaves() -> Column:
+    return F.coalesce("quintile", F.lit(0)) < KEEP_QUINTILE
+
+
+def no_positions(spark: SparkSession) -> DataFrame:
+    """The state before the first month end."""
+    return spark.createDataFrame([], schemas.POSITION_STATE)
+
+
+def positions_step(
+    state: DataFrame, signals: DataFrame, days: Sequence[date]
+) -> tuple[DataFrame, DataFrame]:
+    """:func:`positions` of further month ends, from the latest position of each ticker.
+
+    ``days`` come after those that ``state`` knows. The first result holds the positions whose next
+    month end is known by now, those of ``state`` among them; the second is the state after
+    ``days``, the latest position of each ticker. Positions are settled once, and a step reads its
+    own month ends and a row per ticker. All settled positions, and the state with its return still
+    missing (:func:`open_positions`), equal the positions of one run.
+    """
+    fresh = on_days(signals.select("date", "ticker", "quintile", "signal", "close"), days)
+    series = state.unionByName(fresh, allowMissingColumns=True)
+    timeline = Window.partitionBy("ticker").orderBy("date")
+    # The row of the state, where there is one, is the first of its ticker and the only one numbered.
+    carried = F.coalesce(F.first("month_no").over(timeline), F.lit(1))
+    known = F.col("held")
+    walked = series.select(
+        "date",
+        "ticker",
+        (carried + F.row_number().over(timeline) - 1).cast("bigint").alias("month_no"),
+        latch(F.coalesce(known, _enters()), F.coalesce(~known, _leaves()), timeline).alias("held"),
+        "close",
+        F.lead("date").over(timeline).alias("_next"),
+        (F.lead("close").over(timeline) / F.col("close") - 1).alias("next_month_return"),
+    )
+    settled = walked.where(F.col("_next").isNotNull()).drop("close", "_next")
+    return settled, walked.where(F.col("_next").isNull()).drop("_next", "next_month_return")
+
+
+def open_positions(state: DataFrame) -> DataFrame:
+    """The positions of a state, whose return is not known yet."""
+    return state.drop("close").withColumn("next_month_return", F.lit(None).cast("double"))
+
+
 def benchmark_prices(prices: DataFrame, benchmark: str = BENCHMARK) -> DataFrame:
     return prices.where(F.col("ticker") == benchmark).select("date", "close")
 
@@ -64,18 +109,20 @@ def backtest(
     """
     market = benchmark_prices(prices, benchmark)
     days = month_ends(market)
+    return equity_curves(positions(signals, days), benchmark_returns(market, days), capital)
+
+
+def equity_curves(held: DataFrame, market: DataFrame, capital: float = CAPITAL) -> DataFrame:
+    """:func:`backtest` of positions and benchmark returns that are there already, such as stored ones."""
     strategy = (
-        positions(signals, days)
-        .where(F.col("held") & F.col("next_month_return").isNotNull())
+        held.where(F.col("held") & F.col("next_month_return").isNotNull())
         .groupBy("date")
         .agg(
             F.count(F.lit(1)).alias("holdings"),
             F.avg("next_month_return").alias("strategy_return"),
         )
     )
-    months = strategy.join(benchmark_returns(market, days), "date").where(
-        F.col("spy_return").isNotNull()
-    )
+    months = strategy.join(market, "date").where(F.col("spy_return").isNotNull())
     # One row per month from here on.
     so_far = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return months.select(

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 from dataclasses import dataclass
-from datetime import UTC, date, datetime
+from datetime import UTC, date, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,10 +83,9 @@ class Warehouse:
 
     # ---------------------------------------------------------------- carried state
 
-    def _states(self) -> list[date]:
-        """The days that a state of the windows is stored for."""
-        folder = self.path("mart/technical_state")
-        return [date.fromisoformat(d) for d in partition_values(self.spark, folder, "through")]
+    def _states(self, table: str = "mart/technical_state") -> list[date]:
+        """The days that a state of the windows, or of the positions, is stored for."""
+        return [date.fromisoformat(d) for d in partition_values(self.spark, self.path(table), "through")]
 
     def technical_state(self, through: date) -> DataFrame:
         """The stored state after the prices of a day."""
@@ -114,6 +114,52 @@ class Warehouse:
             if through >= since:
                 drop_partition(self.spark, self.path("mart/technical_state"), "through", through.isoformat())
 
+    def positions(self) -> DataFrame:
+        """The strategy's positions of all month ends carried so far, the latest without a return."""
+        latest = max(self._states("mart/position_state"), default=None)
+        if latest is None:
+            return self.spark.createDataFrame([], schemas.POSITIONS)
+        stored = readers.read_table(self.spark, self.path("mart/positions"), schemas.stepped(schemas.POSITIONS))
+        # A step that broke off before its state was stored does not count yet.
+        settled = stored.where(F.col("through") <= F.lit(latest)).drop("through")
+        return settled.unionByName(backtest.open_positions(self._position_state(latest)))
+
+    def _position_state(self, through: date) -> DataFrame:
+        folder = f"{self.path('mart/position_state')}/through={through.isoformat()}"
+        return readers.read_table(self.spark, folder, schemas.POSITION_STATE)
+
+    def carry_positions(self, through: date, days: Sequence[date] | None = None) -> None:
+        """Fold the month ends up to a day that are not yet carried on the stored positions.
+
+        ``days`` are the month ends to choose from, those of the benchmark if not given; the month
+        of ``through`` counts only when it ends that day. Each step is a folder of its own, so one that
+        broke off is made again in its place. Signals loaded again drop the steps that knew them.
+        """
+        before = max(self._states("mart/position_state"), default=None)
+        if days is None:
+            month = (through + timedelta(days=1)).replace(day=1)
+            market = backtest.benchmark_prices(self.prices()).where(F.col("date") < F.lit(month))
+            days = analysis.month_ends(market if before is None else market.where(F.col("date") > F.lit(before)))
+        fresh = [d for d in days if d <= through and (before is None or d > before)]
+        if not fresh:
+            return
+        state = backtest.no_positions(self.spark) if before is None else self._position_state(before)
+        settled, after = backtest.positions_step(state, self.signals(), fresh)
+        step = {"through": max(fresh).isoformat()}
+        writers.replace_partition(settled, self.path("mart/positions"), step)
+        # Written last: a step without its state is made again from the state before.
+        writers.replace_partition(after, self.path("mart/position_state"), step)
+
+    def _forget_positions(self, since: date) -> None:
+        """Drop the steps that know signals from a day on, which have changed; the states first.
+
+        The whole month goes, since its last day may be another one now.
+        """
+        for table in ("mart/position_state", "mart/positions"):
+            for through in self._states(table):
+                if through >= since.replace(day=1):
+                    drop_partition(self.spark, self.path(table), "through", through.isoformat())
+
     # ---------------------------------------------------------------- loads
 
     def load_prices(
@@ -213,9 +259,12 @@ class Warehouse:
                     strategy=strategy, asof=asof,
                 )
             # Ranked by window, each day's rows already sit in one partition.
-            return writers.replace_range(
-                table, self.path("mart/signals"), start, end, placed=strategy == "window"
-            )
+            return self.replace_signals(table, start, end, placed=strategy == "window")
+
+    def replace_signals(self, table: DataFrame, start: date, end: date, placed: bool = False) -> writers.RangeWrite:
+        """Store the signals of a range; positions that knew the old ones are carried anew."""
+        self._forget_positions(start)
+        return writers.replace_range(table, self.path("mart/signals"), start, end, placed=placed)
 
     def refresh_day(self, day: date) -> None:
         """The daily run: the day's prices, then its signals, ranked by all tasks."""
@@ -224,22 +273,36 @@ class Warehouse:
 
     # ---------------------------------------------------------------- reports
 
-    def reports(self, as_of: date | None = None) -> dict[str, DataFrame]:
-        stored, universe, prices = self.signals(), self.universe(), self.prices()
-        # The folder names tell which days there are, without opening a file.
-        known = partition_dates(self.spark, self.path("mart/signals"), date.min, date.max)
-        days = analysis.last_of_months(known)
-        latest = max(known, default=None)
+    def reports(self, as_of: date | None = None, cut: DataFrame | None = None) -> dict[str, DataFrame]:
+        """Every report, over the stored signals or over a cut of them (:func:`analysis.report_rows`)."""
+        recent = self.signals() if cut is None else cut.drop("whole")
+        stored = self.signals() if cut is None else cut.where("whole").drop("whole")
+        universe, prices = self.universe(), self.prices()
+        latest, days, rebalances = self.report_days()
+        market = backtest.benchmark_returns(backtest.benchmark_prices(prices), rebalances)
         return {
-            "todays_signals": analysis.todays_signals(stored, universe, latest=latest),
+            "todays_signals": analysis.todays_signals(recent, universe, latest=latest),
             "signal_validation": analysis.signal_validation(stored, days=days),
-            "backtest": backtest.backtest(stored, prices),
+            "backtest": backtest.equity_curves(backtest.positions(stored, rebalances), market),
             "sector_heatmap": analysis.sector_heatmap(stored, days),
             "pipeline_health": health.pipeline_health(
                 self.calendar(), self.load_log(), prices, as_of
             ),
         }
 
+    def report_days(self) -> tuple[date | None, list[date], list[date]]:
+        """The days whose rows the reports read whole: the latest, and the month ends of the signals and of the benchmark."""
+        # The folder names tell which days there are, without opening a file.
+        known = partition_dates(self.spark, self.path("mart/signals"), date.min, date.max)
+        market = backtest.benchmark_prices(self.prices())
+        return max(known, default=None), analysis.last_of_months(known), analysis.month_ends(market)
+
     def export_extracts(self, as_of: date | None = None) -> None:
-        """Write every report as a CSV extract."""
-        writers.write_extracts(self.reports(as_of), self.path("exports"))
+        """Write every report as a CSV extract; the stored signals are read once for all of them."""
+        latest, days, rebalances = self.report_days()
+        with staging():
+            cut = None
+            if latest is not None:
+                rows = analysis.report_rows(self.signals(), latest, {latest, *days, *rebalances})
+                cut = stage(rows, "report_rows", by="whole")
+            writers.write_extracts(self.reports(as_of, cut), self.path("exports"))

@@ -10,6 +10,11 @@ def _table(*, required: tuple[str, ...] = (), **columns: T.DataType) -> T.Struct
     return T.StructType([T.StructField(name, kind, name not in required) for name, kind in columns.items()])
 
 
+def stepped(table: T.StructType) -> T.StructType:
+    """A layout stored in ``through=`` folders, a folder per step, with that day."""
+    return T.StructType([*table, T.StructField("through", T.DateType())])
+
+
 _DATE, _TEXT, _REAL, _LONG, _INT = T.DateType(), T.StringType(), T.DoubleType(), T.LongType(), T.IntegerType()
 
 RAW_QUOTES = _table(trade_date=_TEXT, ticker=_TEXT, close=_TEXT, volume=_REAL, date=_DATE)
@@ -31,6 +36,13 @@ PRICES = _table(required=("date", "ticker", "close"), date=_DATE, ticker=_TEXT,
 #: What a ticker's windows reach back to: rows so far, and the last closes, oldest first.
 TECHNICAL_STATE = _table(ticker=_TEXT, n=_LONG, closes=T.ArrayType(_REAL))
 
+#: The latest month end of each ticker: its number, and whether the strategy holds the stock after it.
+POSITION_STATE = _table(date=_DATE, ticker=_TEXT, month_no=_LONG, held=T.BooleanType(), close=_REAL)
+
+POSITIONS = _table(
+    date=_DATE, ticker=_TEXT, month_no=_LONG, held=T.BooleanType(), next_month_return=_REAL
+)
+
 FUNDAMENTALS = _table(
     ticker=_TEXT,
     period_end=_DATE,

@@ -9,7 +9,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from signalloom import schemas
-from signalloom.plans import carried, signals
+from signalloom.plans import analysis, backtest, carried, signals
 from signalloom.plans.pipeline import Warehouse
 from signalloom.session import fresh_path
 from signalloom.sources import readers, writers
@@ -143,3 +143,87 @@ def test_constraints_fail_the_write_and_keep_the_table(spark, tmp_path):
     assert readers.read_table(spark, path, schemas.PRICES).count() == 2
     writers.replace_table(writers.constrained(good.limit(0), schemas.PRICES, ("date", "ticker")), path)
     assert readers.read_table(spark, path, schemas.PRICES).count() == 0
+
+
+def book(spark, months=14):
+    """Month-end signals of tickers that come, stop, skip months, and change their calls."""
+    rng = random.Random(4)
+    rows = []
+    for t, first, last in (("A", 0, months), ("B", 0, months), ("OLD", 0, 5), ("NEW", 9, months), ("GAP", 0, months), ("ONE", 6, 7)):
+        for n in range(first, last):
+            if t == "GAP" and n % 3 == 1:
+                continue
+            quintile = rng.choice([None, 1, 3, 4, 5])
+            signal = "BUY" if quintile == 5 and rng.random() < 0.7 else "HOLD"
+            rows.append((month_end(n), t, quintile, signal, round(rng.uniform(1, 9), 3)))
+    return spark.createDataFrame(rows, "date date, ticker string, quintile byte, signal string, close double")
+
+
+def month_end(n):
+    return date(2020 + (n + 1) // 12, (n + 1) % 12 + 1, 1) - timedelta(days=1)
+
+
+def test_positions_in_two_parts_equal_the_whole_for_each_cut(spark):
+    signals_, days = book(spark), [month_end(n) for n in range(14)]
+    whole = sorted(map(tuple, backtest.positions(signals_, days).collect()), key=str)
+    assert any(r[3] for r in whole) and not all(r[3] for r in whole)
+    for cut in range(15):
+        first, state = backtest.positions_step(backtest.no_positions(spark), signals_, days[:cut])
+        state = spark.createDataFrame(state.collect(), schemas.POSITION_STATE)
+        second, last = backtest.positions_step(state, signals_, days[cut:])
+        parts = first.unionByName(second).unionByName(backtest.open_positions(last))
+        assert sorted(map(tuple, parts.collect()), key=str) == whole
+
+
+def test_carried_positions_follow_reloaded_signals(spark, tmp_path):
+    w = Warehouse(spark, str(tmp_path))
+    days = [month_end(n) for n in range(14)]
+    table = book(spark)
+    for f in schemas.SIGNALS:
+        if f.name not in table.columns:
+            table = table.withColumn(f.name, F.lit(None).cast(f.dataType))
+    table = table.select(*schemas.SIGNALS.names)
+
+    def carried_now():
+        return sorted(map(tuple, w.positions().collect()), key=str)
+
+    def whole(until):
+        kept = [d for d in days if d <= until]
+        return sorted(map(tuple, backtest.positions(w.signals(), kept).collect()), key=str)
+
+    assert carried_now() == []
+    w.replace_signals(table, days[0], days[-1])
+    for cut in (days[4], days[4], days[9], days[8], days[12]):  # one twice, one out of order
+        w.carry_positions(cut, days)
+    assert carried_now() == whole(days[12])
+    changed = table.where(F.col("date") >= F.lit(days[9])).withColumn("close", F.col("close") + 1)
+    w.replace_signals(changed, days[9], days[-1])
+    assert carried_now() == whole(days[4])  # steps that knew the old signals are gone
+    w.carry_positions(days[13], days)
+    assert carried_now() == whole(days[13])
+
+
+def test_a_month_counts_once_it_has_ended(spark, tmp_path):
+    w = Warehouse(spark, str(tmp_path))
+    quotes = spark.createDataFrame([(D0 + timedelta(days=n), t, 1.0 + n, 1) for n in range(75) for t in ("SPY", "A")], schemas.PRICES)
+    writers.replace_table(quotes, w.path("clean/prices"))
+    table = quotes.withColumn("quintile", F.lit(5).cast("byte")).withColumn("signal", F.lit("BUY"))
+    for f in schemas.SIGNALS:
+        if f.name not in table.columns:
+            table = table.withColumn(f.name, F.lit(None).cast(f.dataType))
+    w.replace_signals(table.select(*schemas.SIGNALS.names), day(0), day(74))
+    w.carry_positions(date(2020, 2, 15))
+    assert {r["date"] for r in w.positions().collect()} == {date(2020, 1, 31)}
+    w.carry_positions(date(2020, 2, 29))
+    assert {r["date"] for r in w.positions().collect()} == {date(2020, 1, 31), date(2020, 2, 29)}
+
+
+def test_reports_over_a_cut_equal_those_over_all_signals(spark, tmp_path):
+    table = book(spark, 40).withColumn("composite_score", F.col("close")).withColumn("sector", F.lit("S"))
+    latest, ends = month_end(39), [month_end(n) for n in range(0, 40, 4)]
+    cut = analysis.report_rows(table, latest, {latest, *ends})
+    assert {r["whole"] for r in cut.collect()} == {True, False}
+    assert cut.where(~F.col("whole") & F.col("close").isNotNull()).count() == 0
+    whole = cut.where("whole").drop("whole")
+    for report in (lambda s: analysis.signal_validation(s, 400, ends), lambda s: analysis.sector_heatmap(s, ends), lambda s: backtest.positions(s, ends)):
+        assert sorted(map(tuple, report(whole).collect()), key=str) == sorted(map(tuple, report(table).collect()), key=str)
