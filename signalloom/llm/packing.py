@@ -117,7 +117,7 @@ class Slots:
         rows.sort()
         table = np.array(rows, dtype=np.int64).reshape(-1, 4)
         self.length, self.rank, self.base, self.offset = table.T
-        self.first = np.searchsorted(self.length, np.arange(CAPACITY + 2))
+        self.first = np.searchsorted(self.length, np.arange(max((n for n, *_ in rows), default=0) + 2))
 
     def place(self, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Sequence and offset of pieces."""

@@ -3,13 +3,14 @@
 import collections
 import math
 import random
+import re
 
 import numpy as np
 import pytest
 import cases
 from cases import frame
 
-from signalloom.llm import components, html, vectors
+from signalloom.llm import components, html, packing, vectors
 from signalloom.llm.shared import Scratch
 
 
@@ -96,6 +97,62 @@ def page(k: int, article: str, tag: str = "article") -> str:
     )
 
 
+def test_best_region_is_the_greatest_of_all():
+    rng = random.Random(8)
+    for _ in range(400):
+        scores = [rng.choice([-3.0, -1.0, -0.5, 1.0, 2.0]) for _ in range(rng.randint(0, 25))]
+        low, high = html.best_region(scores)
+        every = {(a, b): sum(scores[a:b]) for a in range(len(scores)) for b in range(a + 1, len(scores) + 1)}
+        assert sum(scores[low:high]) == max([0.0, *every.values()])
+        assert (low < high) == any(v > 0 for v in every.values())
+
+
+def plain_tags(text: str) -> list[str]:
+    """Tags as they come, each start tried by itself to the end of the text."""
+    found, at = [], 0
+    while at < len(text):
+        m = re.match(r"</?[a-zA-Z][^\s/>]*", text[at:])
+        end, quote = at + m.end() if m else len(text), ""
+        while end < len(text) and (quote or text[end] != ">"):
+            quote = "" if text[end] == quote else quote or (text[end] if text[end] in "\"'" else "")
+            end += 1
+        if end < len(text):
+            found.append(text[at : end + 1])
+            at = end
+        at += 1
+    return found
+
+
+def test_tags_without_an_end():
+    rng = random.Random(3)
+    bits = ["<a ", "<b>", "</b>", '<p class="x y">', '"', "'", ">", "<", "<div", "text ", "<x/>", " = ", "/", "</p>"]
+    for _ in range(3_000):
+        text = "".join(rng.choices(bits, k=rng.randint(0, 16)))
+        assert [m[0] for m in html._tags(text)] == plain_tags(text), text
+    # Up to 5 MB of each; read again from every start, one would take hours. A tag without an end is text.
+    for text in ('<a "' * 1_300_000, "<a " * 500_000, "<!" * 500_000, "<script " * 200_000, "<aaaa" * 300_000):
+        assert html.main_text(text, {}) == text.strip()
+    assert html.main_text("<b>x" * 200_000, {}) == "x" * 200_000
+    assert html.main_text("<b>" * 150_000 + "</i>" * 150_000, {}) == ""
+
+
+def test_places_above_the_usual_capacity():
+    counts = np.zeros(9_001, dtype=np.int64)
+    counts[[9_000, 6_500, 2_500, 100]] = [2, 3, 3, 1]
+    plan = packing.plan(counts, 9_000)
+    slots = packing.Slots(plan)
+    length = np.repeat([9_000, 6_500, 2_500, 100], [2, 3, 3, 1])
+    rank = np.array([0, 1, 0, 1, 2, 0, 1, 2, 0])
+    sequence, offset = slots.place(length, rank)
+    own = collections.defaultdict(list)
+    for s, o, n in zip(sequence.tolist(), offset.tolist(), length.tolist(), strict=True):
+        own[s].append((o, n))
+    assert len(own) == 6
+    for parts in own.values():
+        parts.sort()
+        assert [o for o, _ in parts] == np.cumsum([0, *(n for _, n in parts)])[:-1].tolist() and sum(n for _, n in parts) <= 9_000
+
+
 def test_html(spark):
     body = "<h1>Title &amp; {k}</h1><p>First  <b>bold</b>\n words<br>after</p><p>Left open &#233;&nbsp;x<ul><li>item one</li><li>two</ul><p>" + "last words " * 30 + "</p>"
     rows = [(k, f"u{k}", page(k, body.replace("{k}", str(k))), "x") for k in range(60)]
