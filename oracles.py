@@ -290,14 +290,14 @@ _CHAIN = {
         SELECT s.ticker, s.date, s.close, s.signal, coalesce(s.quintile, 0) AS quintile,
                row_number() OVER (PARTITION BY s.ticker ORDER BY s.date) AS month_no
         FROM signals s WHERE s.date IN (SELECT date FROM rebalances)""",
-    # One month after the other: what is owned decides which test applies next.
+    # One month after the other: what is owned decides which test applies next. Fixed value: quintile 4.
     "walk": """
         SELECT ticker, month_no, (signal = 'BUY') AS held FROM book WHERE month_no = 1
         UNION ALL
         SELECT b.ticker, b.month_no,
                (w.held AND b.quintile >= 4) OR (NOT w.held AND b.signal = 'BUY')
         FROM walk w, book b
-        WHERE b.ticker = w.ticker AND b.month_no - 1 = w.month_no""",
+        WHERE b.ticker = w.ticker AND b.month_no = w.month_no + 1""",
     "positions": """
         SELECT b.date, b.ticker, b.month_no, w.held, n.close / b.close - 1 AS next_month_return
         FROM book b JOIN walk w ON w.ticker = b.ticker AND w.month_no = b.month_no
@@ -332,7 +332,7 @@ _CHAIN = {
     "jumps": """
         SELECT a.date, count(*) AS suspicious_moves
         FROM counted_prices a JOIN counted_prices b ON b.ticker = a.ticker AND b.pos = a.pos - 1
-        WHERE a.close / b.close - 1 > 0.5 OR a.close / b.close - 1 < -0.5
+        WHERE abs(a.close / b.close - 1) > 0.5
         GROUP BY a.date""",
     "sessions": """
         SELECT c.session_date AS date, l.raw_rows, l.clean_rows,
@@ -348,13 +348,14 @@ _CHAIN = {
         SELECT s.*, (SELECT avg(p.clean_rows) FROM sessions p
                      WHERE p.pos >= s.pos - 20 AND p.pos < s.pos) AS trailing_avg_rows
         FROM sessions s""",
+    # 30 hours, 0.95, 0.05, and the names and order of the statuses.
     "health": """
         SELECT date, raw_rows, clean_rows, raw_rows - clean_rows AS rows_dropped,
                first_scheduled_load, trailing_avg_rows, suspicious_moves,
-               CASE WHEN clean_rows IS NULL OR clean_rows < 1 THEN 'MISSING'
-                    WHEN first_scheduled_load - date > INTERVAL 30 HOUR THEN 'LATE'
-                    WHEN clean_rows / trailing_avg_rows < 0.95 THEN 'LOW_VOLUME'
-                    WHEN (raw_rows - clean_rows) / raw_rows > 0.05 THEN 'HIGH_DUPES'
+               CASE WHEN clean_rows IS NULL OR clean_rows = 0 THEN 'MISSING'
+                    WHEN first_scheduled_load > date + INTERVAL 30 HOUR THEN 'LATE'
+                    WHEN clean_rows < 0.95 * trailing_avg_rows THEN 'LOW_VOLUME'
+                    WHEN raw_rows - clean_rows > 0.05 * raw_rows THEN 'HIGH_DUPES'
                     WHEN suspicious_moves > 0 THEN 'CHECK_PRICES'
                     ELSE 'OK' END AS status
         FROM watched""",
