@@ -2,13 +2,14 @@
 
 1. Texts become sets of 64-bit shingle hashes. Equal sets form a class with its least document id
    as representative; only representatives are compared.
-2. Shingles are ordered rare first, by how often their cell of a fixed table of ``CELLS`` occurs,
+2. Shingles are ordered rare first, by how often their cell of a table of 2 ** ``CELL_BITS`` occurs,
    then by hash. Any common order makes prefix filtering exact; the counts only make it sharp.
    Sets of size n that link must share one of their first ``n - ceil(t n) + 1`` shingles, for the
    shorter set one of fewer.
 3. Prefix shingles of one set only are dropped. Pairs that meet pass the length filter, the
    positional filter (what can still match before and after the shared place) and the suffix
-   filter (the sets cut in fixed parts: no more can match than the smaller count in each part).
+   filter (the sets cut in parts by hash, of ``PART_SIZE`` shingles or fewer on average: no more can
+   match than the smaller count in each part).
 4. Pairs are checked on whole sets, each once, and links close up to components.
 
 Large groups of near copies would give all their pairs. So each prefix shingle's documents first
@@ -35,8 +36,10 @@ from signalloom.llm.components import connected
 from signalloom.llm.shared import Scratch, batches_of, table
 from signalloom.llm.words import Words, pieces, windows
 
-#: Cells of the table of shingle counts (2 MB), and parts of the hash range in the suffix filter.
-CELL_BITS, PARTS = 18, 32
+#: Cells of the table of shingle counts (32 MB as shared, two bytes a cell), and cells a block of it.
+CELL_BITS, BLOCK_BITS = 24, 14
+#: Suffix filter: shingles a part at most on average, and the least number of parts.
+PART_SIZE, PARTS = 4, 32
 BATCH = 1_000
 
 
@@ -52,29 +55,83 @@ def shingle_sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple
         yield rows, sets
 
 
-def _cell_counts(docs: DataFrame, size: int) -> np.ndarray:
-    """How many sets have a shingle of each cell; a table of fixed size."""
+def _cells(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+
+
+def _packed(counts: np.ndarray) -> bytes:
+    """Counts with their bytes in planes, compressed: the high ones are mostly zero."""
+    planes = counts.view(np.uint8).reshape(len(counts), counts.itemsize).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def _unpacked(packed: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(packed), np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def _rarity(docs: DataFrame, size: int) -> np.ndarray:
+    """For each cell, how many sets have a shingle there, on a scale of logarithms in 256ths of two.
+
+    Tasks send their counts in compressed blocks; blocks are added one after another where they meet,
+    so neither their number nor the corpus bounds a task. The driver gets the table, of fixed size.
+    """
 
     def count(batches):
-        total = np.zeros(1 << CELL_BITS, dtype=np.int64)
+        total = np.zeros(1 << CELL_BITS, dtype=np.uint32)
         for _, sets in shingle_sets(batches, size):
             if sets:
-                total += np.bincount((np.concatenate(sets) >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=len(total))
-        at = np.flatnonzero(total)
-        for low in range(0, len(at), 1 << 16):
-            part = at[low : low + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], ["cell", "n"])
+                cells, n = np.unique(_cells(np.concatenate(sets)), return_counts=True)
+                total[cells] += n.astype(np.uint32)
+        for block, part in enumerate(total.reshape(-1, 1 << BLOCK_BITS)):
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([_packed(part)], pa.binary())], ["block", "counts"])
+
+    def done(block, total):
+        level = np.rint(256 * np.log2(1.0 + total)).astype(np.uint16)
+        return pa.RecordBatch.from_arrays([pa.array([block]), pa.array([_packed(level)], pa.binary())], ["block", "levels"])
+
+    def add(batches):
+        block, total = None, None
+        for rows in batches:
+            for b, counts in zip(rows.column("block").to_pylist(), rows.column("counts"), strict=True):
+                if b != block:
+                    if block is not None:
+                        yield done(block, total)
+                    block, total = b, np.zeros(1 << BLOCK_BITS, dtype=np.int64)
+                total += _unpacked(counts.as_py(), np.uint32)
+        if block is not None:
+            yield done(block, total)
+
+    counted = docs.select("text").mapInArrow(count, "block long, counts binary")
+    summed = counted.repartition("block").sortWithinPartitions("block").mapInArrow(add, "block long, levels binary")
+    out = np.zeros((1 << CELL_BITS - BLOCK_BITS, 1 << BLOCK_BITS), dtype=np.uint16)
+    for row in summed.collect():  # 2 ** (CELL_BITS - BLOCK_BITS) rows at most
+        out[row["block"]] = _unpacked(bytes(row["levels"]), np.uint16)
+    return out.ravel()
+
+
+def _parts(shingles: np.ndarray) -> bytes:
+    """How many shingles fall in each part of the hash range, a byte each; none if one has over 255.
+
+    The parts are a power of two in number and cut by the low bits, so that more parts fold to fewer.
+    The high bits won't do: the cells, and with them the order, hang on them.
+    """
+    n = max(PARTS, 1 << max(len(shingles) // PART_SIZE - 1, 0).bit_length())
+    counts = np.bincount((shingles & np.uint64(n - 1)).astype(np.int64), minlength=n)
+    return b"" if counts.max() > 255 else counts.astype(np.uint8).tobytes()
 
-    counted = docs.select("text").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    got = counted.toPandas()  # 2 ** CELL_BITS rows at most
-    out = np.zeros(1 << CELL_BITS, dtype=np.int64)
-    out[got["cell"].to_numpy()] = got["n"].to_numpy()
-    return out
 
+def _most(x: np.ndarray, y: np.ndarray) -> int:
+    """The largest overlap that the parts of two sets leave room for."""
+    few = min(len(x), len(y))
+    x, y = (p.reshape(-1, few).sum(axis=0, dtype=np.int64) for p in (x, y))
+    return int(np.minimum(x, y).sum())
 
-def _prefixes(docs: DataFrame, size: int, least: int, of: int, counts: np.ndarray) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(counts)
-    schema = "doc_id long, n long, class binary, prefix array<long>, parts array<int>"
+
+def _prefixes(docs: DataFrame, size: int, least: int, of: int, rarity: np.ndarray) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(rarity)
+    schema = "doc_id long, n long, class binary, prefix array<long>, parts binary"
 
     def prefix(batches):
         order = shared.value
@@ -84,12 +141,11 @@ def _prefixes(docs: DataFrame, size: int, least: int, of: int, counts: np.ndarra
                 n = len(s)
                 ns.append(n)
                 marks.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                rare = np.lexsort((s, order[(s >> np.uint64(64 - CELL_BITS)).astype(np.int64)]))
+                rare = np.lexsort((s, order[_cells(s)]))
                 firsts.append(s[rare[: n - -(-least * n // of) + 1]].view(np.int64) if n else [])
-                # Low bits: the cells, and with them the order, hang on the high ones.
-                parts.append(np.bincount((s % np.uint64(PARTS)).astype(np.int64), minlength=PARTS) if n else [])
+                parts.append(_parts(s))
             yield pa.RecordBatch.from_arrays(
-                [rows.column("doc_id"), pa.array(ns, pa.int64()), pa.array(marks, pa.binary()), pa.array(firsts, pa.list_(pa.int64())), pa.array(parts, pa.list_(pa.int32()))],
+                [rows.column("doc_id"), pa.array(ns, pa.int64()), pa.array(marks, pa.binary()), pa.array(firsts, pa.list_(pa.int64())), pa.array(parts, pa.binary())],
                 ["doc_id", "n", "class", "prefix", "parts"],
             )
 
@@ -160,7 +216,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, least: int = 80, of: int = 1
 
 def _near_duplicates(docs: DataFrame, size: int, least: int, of: int) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "jaccard")
-    rows = scratch.store(_prefixes(docs, size, least, of, _cell_counts(docs, size)), "rows")
+    rows = scratch.store(_prefixes(docs, size, least, of, _rarity(docs, size)), "rows")
     known = rows.where("n > 0 and doc_id is not null")
     classes = known.groupBy("class").agg(F.min("doc_id").alias("rep"))
     reps = known.join(classes, "class").where("doc_id = rep")
@@ -174,12 +230,20 @@ def _near_duplicates(docs: DataFrame, size: int, least: int, of: int) -> DataFra
     hub = hub.select("shingle", "g", *(F.col(f"hub.{k}").alias(f"hub_{k}" if k != "rep" else "hub") for k in ("rep", "n", "pos", "a")))
     parts = reps.select("rep", "parts")
 
+    def room(batches):
+        for rows in batches:
+            ok = []
+            both = zip(rows.column("pa"), rows.column("pb"), rows.column("nm").to_pylist(), strict=True)
+            for x, y, nm in both:
+                x, y = np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)
+                ok.append(not len(x) or not len(y) or _most(x, y) * (least + of) >= least * nm)
+            yield rows.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
     def sifted(pairs: DataFrame) -> DataFrame:
         """Distinct pairs with n and m that pass the suffix filter."""
         once = pairs.groupBy("a", "b").agg(F.first("n").alias("n"), F.first("m").alias("m"))
         cut = once.join(parts.select(F.col("rep").alias("a"), F.col("parts").alias("pa")), "a").join(parts.select(F.col("rep").alias("b"), F.col("parts").alias("pb")), "b")
-        most = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-        return cut.where(most * (least + of) >= least * (F.col("n") + F.col("m"))).select("a", "b").distinct()
+        return cut.select("a", "b", (F.col("n") + F.col("m")).alias("nm"), "pa", "pb").mapInArrow(room, "a long, b long")
 
     star = met.join(hub, "shingle").where("rep <> hub").where(_may_link(*map(F.col, ("n", "hub_n", "pos", "hub_pos", "a", "hub_a")), least, of))
     pair = (F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b"), F.col("hub_n").alias("n"), F.col("n").alias("m"))
