@@ -81,8 +81,7 @@ def _rarity(docs: DataFrame, size: int) -> np.ndarray:
         total = np.zeros(1 << CELL_BITS, dtype=np.uint32)
         for _, sets in shingle_sets(batches, size):
             if sets:
-                cells, n = np.unique(_cells(np.concatenate(sets)), return_counts=True)
-                total[cells] += n.astype(np.uint32)
+                np.add.at(total, _cells(np.concatenate(sets)), np.uint32(1))
         for block, part in enumerate(total.reshape(-1, 1 << BLOCK_BITS)):
             if part.any():
                 yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([_packed(part)], pa.binary())], ["block", "counts"])
