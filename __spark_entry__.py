@@ -29,7 +29,7 @@ from signalloom.plans import analysis, backtest, clean, fundamentals, health, si
 from signalloom import schemas  # noqa: E402
 from signalloom.plans.pipeline import Warehouse  # noqa: E402
 from signalloom.session import fresh_path, stage  # noqa: E402
-from signalloom.sources import landing, readers, writers  # noqa: E402
+from signalloom.sources import catalog, landing, readers, writers  # noqa: E402
 from testing.market import Market  # noqa: E402
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -273,6 +273,18 @@ def q_replace_table(m: Market) -> DataFrame:
     return readers.read_table(m.spark, path, schemas.PRICES)
 
 
+def q_catalog_switch(m: Market) -> DataFrame:
+    """Replace a catalog table by one derived from it: a reader from before, and one from after."""
+    path = fresh_path(m.spark, "switched")
+    table = f"signalloom_clean.{path.rsplit('/', 1)[1].replace('-', '_')}"
+    catalog.switch_table(_prices(m).where("volume > 10"), table, path)
+    catalog.switch_table(_prices(m), table, path)
+    before = catalog.read(m.spark, table, schemas.PRICES)
+    catalog.switch_table(before.where("volume > 10").withColumn("volume", -F.col("volume")), table, path)
+    after = catalog.read(m.spark, table, schemas.PRICES)
+    return before.withColumn("seen", F.lit("before")).unionByName(after.withColumn("seen", F.lit("after")))
+
+
 def q_technicals_step(m: Market) -> DataFrame:
     """Technicals of all days by carried state: two long ranges, then single days at the end."""
     w = Warehouse(m.spark, fresh_path(m.spark, "carried"))
@@ -514,6 +526,7 @@ _SUPPLIER: dict[str, tuple[Callable[[Market], DataFrame], str]] = {
     "feed_health": (q_feed_health, sql.feed_health("supplier")),
     "write_gates": (q_write_gates, sql.write_gates("supplier")),
     "replace_table": (q_replace_table, sql.table_replaced("supplier")),
+    "catalog_switch": (q_catalog_switch, sql.table_switched("supplier")),
     "land_filings": (q_land_filings, sql.landed_facts("supplier")),
     "landed_years": (q_landed_years, sql.landed_years("supplier")),
     "csv_extracts": (q_csv_extracts, sql.sector_heatmap("supplier")),

@@ -672,3 +672,10 @@ def range_replaced(grain: str) -> str:
 
 def table_replaced(grain: str) -> str:
     return chain(grain, "prices", "date, ticker, close, -volume AS volume") + " WHERE volume > 10"
+
+
+def table_switched(grain: str) -> str:
+    return (
+        chain(grain, "prices", "date, ticker, close, volume, 'before' AS seen")
+        + " UNION ALL SELECT date, ticker, close, -volume, 'after' FROM prices WHERE volume > 10"
+    )

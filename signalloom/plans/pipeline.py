@@ -9,25 +9,44 @@ from datetime import UTC, date, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from signalloom import schemas
 from signalloom.operators.dedupe import assert_unique
 from signalloom.plans import analysis, backtest, carried, clean, fundamentals, health, signals
 from signalloom.session import stage, staging
-from signalloom.sources import landing, readers, writers
+from signalloom.sources import catalog, landing, readers, writers
 from signalloom.sources.paths import drop_partition, exists, partition_dates, partition_values
 
 
 @dataclass(frozen=True)
 class Warehouse:
-    """Folders of one installation, below a base path any executor can reach."""
+    """Folders of one installation, below a base path any executor can reach.
+
+    With ``databases``, a prefix that may be empty, the tables that are replaced whole (universe, calendar,
+    fundamentals) are tables of the catalog databases ``<prefix>ref`` and ``<prefix>mart``, switched in
+    one step. The catalog has to outlive the session, as a metastore does.
+    """
 
     spark: SparkSession
     base: str
+    databases: str | None = None
 
     def path(self, name: str) -> str:
         return f"{self.base.rstrip('/')}/{name}"
 
+    def _whole(self, name: str, schema: T.StructType) -> DataFrame:
+        """A table that is replaced whole."""
+        if self.databases is None:
+            return readers.read_table(self.spark, self.path(name), schema)
+        return catalog.read(self.spark, self.databases + name.replace("/", "."), schema)
+
+    def _replace(self, df: DataFrame, name: str) -> None:
+        if self.databases is None:
+            writers.replace_table(df, self.path(name))
+        else:
+            catalog.switch_table(df, self.databases + name.replace("/", "."), self.path(name))
+
     # ---------------------------------------------------------------- tables
 
     def raw_quotes(self, start: date, end: date) -> DataFrame:
@@ -36,16 +55,16 @@ class Warehouse:
         )
 
     def universe(self) -> DataFrame:
-        return readers.read_table(self.spark, self.path("ref/universe"), schemas.UNIVERSE)
+        return self._whole("ref/universe", schemas.UNIVERSE)
 
     def calendar(self) -> DataFrame:
-        return readers.read_table(self.spark, self.path("ref/calendar"), schemas.TRADING_CALENDAR)
+        return self._whole("ref/calendar", schemas.TRADING_CALENDAR)
 
     def prices(self) -> DataFrame:
         return readers.read_table(self.spark, self.path("clean/prices"), schemas.PRICES)
 
     def fundamentals(self) -> DataFrame:
-        return readers.read_table(self.spark, self.path("mart/fundamentals"), schemas.FUNDAMENTALS)
+        return self._whole("mart/fundamentals", schemas.FUNDAMENTALS)
 
     def signals(self) -> DataFrame:
         return readers.read_table(self.spark, self.path("mart/signals"), schemas.SIGNALS)
@@ -63,10 +82,10 @@ class Warehouse:
         """One row per ticker, or nothing is stored: rankings and joins count on it."""
         universe = landing.normalise_universe(constituents)
         assert_unique(universe, ["ticker"])
-        writers.replace_table(universe, self.path("ref/universe"))
+        self._replace(universe, "ref/universe")
 
     def store_calendar(self, span: DataFrame, holidays: DataFrame) -> None:
-        writers.replace_table(landing.trading_sessions(span, holidays), self.path("ref/calendar"))
+        self._replace(landing.trading_sessions(span, holidays), "ref/calendar")
 
     # ---------------------------------------------------------------- raw layer
 
@@ -218,9 +237,7 @@ class Warehouse:
         facts = readers.read_quarters(self.spark, self.path("raw/facts"), schemas.FILING_FACTS)
         table = fundamentals.company_fundamentals(headers, facts, self.universe(), strict)
         # The quarters come out of windows by ticker, so this sort is already there.
-        writers.replace_table(
-            table.sortWithinPartitions("ticker", "period_end"), self.path("mart/fundamentals")
-        )
+        self._replace(table.sortWithinPartitions("ticker", "period_end"), "mart/fundamentals")
 
     def load_signals(
         self,

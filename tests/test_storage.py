@@ -2,13 +2,15 @@ import os
 from datetime import date, datetime, timedelta
 
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from signalloom import schemas
 from signalloom.operators.dedupe import DuplicateKeys
 from signalloom.plans.pipeline import Warehouse
 from signalloom.session import shared_dir, stage, staging
-from signalloom.sources import landing, readers, writers
+from signalloom.sources import catalog, landing, readers, writers
 from signalloom.sources.writers import replace_table
 from signalloom.streaming.prices import day_ranges, load_new_quotes
 
@@ -289,3 +291,44 @@ def test_universe_is_unique(spark, warehouse):
     twice = spark.createDataFrame([("A", "a", "S", "1"), ("A", "b", "S", "2")], "symbol string, security string, sector string, cik string")
     with pytest.raises(DuplicateKeys):
         warehouse.store_universe(twice)
+
+
+def test_catalog_switch(spark, tmp_path):
+    path, table = f"{tmp_path}/it's here/t", "switch_ref.t"
+    schema = T.StructType([T.StructField("id", T.LongType(), False), T.StructField("name", T.StringType())])
+    assert catalog.read(spark, table, schema).count() == 0
+    seen = []
+    for k in range(3):
+        rows = spark.createDataFrame([(k, "x"), (k + 10, None)], schema)
+        catalog.switch_table(rows, table, path)
+        seen.append(catalog.read(spark, table, schema))
+        assert sorted(r["id"] for r in seen[-1].collect()) == [k, k + 10]
+    # The version just replaced is kept for its readers, the one before is gone.
+    assert sorted(r["id"] for r in seen[1].collect()) == [1, 11]
+    assert len(os.listdir(path)) == 2
+    catalog.switch_table(catalog.read(spark, table, schema).where("id > 5"), table, path)
+    assert [r["id"] for r in spark.sql(f"SELECT id FROM {table}").collect()] == [12]
+
+    broken = spark.table(table).withColumn("id", F.raise_error(F.lit("stop")).cast("long"))
+    with pytest.raises(PySparkException, match="stop"):
+        catalog.switch_table(broken, table, path)
+    with pytest.raises(ValueError, match="columns"):
+        catalog.switch_table(spark.range(3), table, path)
+    assert [r["id"] for r in catalog.read(spark, table, schema).collect()] == [12]
+    assert len(os.listdir(path)) == 2
+    where = catalog.location(spark, table)
+    catalog.create_table(spark, table, schema, f"{tmp_path}/elsewhere")  # exists: nothing changes
+    assert catalog.location(spark, table) == where
+    spark.sql("DROP DATABASE switch_ref CASCADE")
+
+
+def test_warehouse_in_the_catalog(spark, tmp_path):
+    w = Warehouse(spark, str(tmp_path), databases="switch_test_")
+    listed = spark.createDataFrame([("aa", "A", "Tech", "1"), ("bb", "B", "Tech", "2")], "symbol string, security string, sector string, cik string")
+    assert w.universe().count() == 0
+    w.store_universe(listed)
+    old = w.universe()
+    w.store_universe(listed.where("symbol = 'bb'"))
+    assert old.count() == 2
+    assert w.universe().count() == spark.table("switch_test_ref.universe").count() == 1
+    spark.sql("DROP DATABASE switch_test_ref CASCADE")
