@@ -2,9 +2,10 @@
 
 A Spark window hands each group to one task. That is the shortest plan while groups are small;
 callers name it as the strategy ``window``. The strategy ``sliced`` gives the same numbers for
-groups of any size from sorted slices: the table is range
-partitioned on (group, order), so that a large group is spread over many slices, each slice is
-counted, and a row's position is its place in the slice plus the rows in earlier slices.
+groups of any size. Groups are counted first: one of up to ``SLICE_ROWS`` rows is a slice by itself and
+is ranked where its rows meet. The rows of larger groups are range partitioned on (group, order), so
+that a group is spread over many slices, each slice is counted, and a row's position is its place in
+the slice plus the rows in earlier slices.
 """
 
 from __future__ import annotations
@@ -18,6 +19,9 @@ from signalloom.session import stage
 
 STRATEGIES = ("window", "sliced")
 
+#: Rows that one task sorts as a slice. Groups with more are cut.
+SLICE_ROWS = 1 << 18
+
 
 def sliced(strategy: str) -> bool:
     """Whether a strategy, by name, is the one for groups of any size."""
@@ -56,6 +60,27 @@ def ntile_by_window(
 # ------------------------------------------------------------------ any group: sorted slices
 
 
+def _by_size(df: DataFrame, group: Sequence[str]) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of groups that are one slice, and those of larger groups or None without any.
+
+    The count reads the columns of ``group`` alone.
+    """
+    names = [f"_large{i}" for i in range(len(group))]
+    large = (
+        df.groupBy(*[F.col(c).alias(n) for c, n in zip(group, names, strict=True)])
+        .agg(F.count(F.lit(1)).alias("_rows"))
+        .where(F.col("_rows") > SLICE_ROWS)
+        .drop("_rows")
+    )
+    if large.isEmpty():
+        return df, None
+    df, large = stage(df, "grouped"), stage(large, "large")
+    same = F.lit(True)
+    for c, n in zip(group, names, strict=True):
+        same = same & F.col(c).eqNullSafe(F.col(n))
+    return df.join(large, same, "left_anti"), df.join(large, same, "left_semi")
+
+
 def _sliced(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Range partition on (by, order) and freeze the slice number of every row.
 
@@ -103,8 +128,18 @@ def positions(
 
     ``order`` must identify rows within a group, and neither it nor ``by`` may be NULL.
     """
-    placed = _cumulated(_sliced(df, by, order), by, order, F.lit(1).cast("bigint"))
-    return placed.withColumnsRenamed({"_before": position, "_total": size})
+    df, large = _by_size(df, by)
+    whole = Window.partitionBy(*by)
+    small = df.withColumns(
+        {
+            position: (F.row_number().over(whole.orderBy(*order)) - 1).cast("bigint"),
+            size: F.count(F.lit(1)).over(whole),
+        }
+    )
+    if large is None:
+        return small
+    placed = _cumulated(_sliced(large, by, order), by, order, F.lit(1).cast("bigint"))
+    return small.unionByName(placed.withColumnsRenamed({"_before": position, "_total": size}))
 
 
 def _numbered(df: DataFrame, label: str) -> DataFrame:
@@ -115,6 +150,19 @@ def _numbered(df: DataFrame, label: str) -> DataFrame:
 def percent_ranks(df: DataFrame, group: Sequence[str], ranks: Mapping[str, str]) -> DataFrame:
     """:func:`percent_ranks_by_window` without the limit on the size of a group.
 
+    The rows are stored, since they are counted first. A shuffle by group serves all measures of
+    the groups that are one slice.
+    """
+    df, large = _by_size(stage(df, "ranked"), group)
+    small = percent_ranks_by_window(df.repartition(*group), group, ranks)
+    return small if large is None else small.unionByName(_percent_ranks_of_large(large, group, ranks))
+
+
+def _percent_ranks_of_large(
+    df: DataFrame, group: Sequence[str], ranks: Mapping[str, str]
+) -> DataFrame:
+    """Percentile ranks by sorted slices.
+
     All measures are ranked together in long form. Equal values are folded to one row with a
     count before they are sorted; the join back to a value that most rows share is skewed and
     left to the adaptive planner to split.
@@ -161,6 +209,22 @@ def ntile(
     name: str,
 ) -> DataFrame:
     """:func:`ntile_by_window` without the limit on the size of a group."""
+    df, large = _by_size(df, group)
+    small = ntile_by_window(df, group, measure, tie, buckets, name)
+    if large is None:
+        return small
+    return small.unionByName(_ntile_of_large(large, group, measure, tie, buckets, name))
+
+
+def _ntile_of_large(
+    df: DataFrame,
+    group: Sequence[str],
+    measure: str,
+    tie: Sequence[str],
+    buckets: int,
+    name: str,
+) -> DataFrame:
+    """Bucket numbers by sorted slices."""
     df = _numbered(df, "tiled")
     narrow = df.select("_row", *dict.fromkeys([*group, measure, *tie])).where(
         F.col(measure).isNotNull()

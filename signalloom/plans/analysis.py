@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from signalloom.functions import calendar_month, share_where
 from signalloom.operators import ranking
 from signalloom.plans.signals import BUCKETS
+from signalloom.session import stage
 
 # Longest gap, in days, that still counts as holding to the next month end.
 MAX_GAP_DAYS = 40
@@ -156,6 +157,7 @@ def signal_validation(
     ]
     median = "median_next_month_return"
     if ranking.sliced(strategy):
+        held = stage(held, "held")  # read by the counts, the means and the medians
         middle = ranking.medians(held, by, "_return", ["ticker"], median)
         report = held.groupBy(*by).agg(*summary).join(middle, by, "left")
     else:

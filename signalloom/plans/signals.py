@@ -225,4 +225,7 @@ def signals_of(
 ) -> DataFrame:
     """Signals of the days whose technicals are given; options as in :func:`daily_signals`."""
     joined = with_fundamentals(technical, fundamentals, universe, asof)
-    return score(sector_ranks(joined, FACTOR_RANKS, strategy), strategy)
+    scored = score(sector_ranks(joined, FACTOR_RANKS, strategy), strategy)
+    # What strategies store comes back as columns that may be NULL, so all of them say so.
+    open_to_null = {c: F.when(F.lit(False), F.lit(None)).otherwise(F.col(c)) for c in ("date", "ticker", "close")}
+    return scored.withColumns(open_to_null)

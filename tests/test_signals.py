@@ -253,6 +253,28 @@ def test_wide_universe_gives_the_same_signals(spark, market):
     assert sorted(map(str, wide.collect())) == sorted(map(str, narrow.collect()))
 
 
+@pytest.mark.parametrize("rows", [1, 4, 1 << 18])
+def test_groups_of_all_sizes_rank_the_same(spark, monkeypatch, rows):
+    monkeypatch.setattr(ranking, "SLICE_ROWS", rows)
+    sizes = {"a": 30, "b": 4, None: 9, "c": 1}
+    table = [(g, f"T{i:02}", None if i % 7 == 6 else float((i * 5) % 4)) for g, n in sizes.items() for i in range(n)]
+    df = spark.createDataFrame(table, "g string, ticker string, v double")
+    text = lambda x: sorted(map(str, x.collect()))
+    assert text(ranking.percent_ranks(df, ["g"], {"r": "v"})) == text(ranking.percent_ranks_by_window(df, ["g"], {"r": "v"}))
+    tiled = ranking.ntile(df, ["g"], "v", ["ticker"], 3, "q")
+    assert text(tiled) == text(ranking.ntile_by_window(df, ["g"], "v", ["ticker"], 3, "q"))
+    known = df.where("g is not null")
+    middle = ranking.medians(known, ["g"], "v", ["ticker"], "m")
+    assert text(middle) == text(known.groupBy("g").agg(F.median("v").alias("m")))
+
+
+def test_groups_that_are_one_slice_are_not_cut(spark):
+    df = spark.createDataFrame([("a", "T", 1.0), ("a", "U", 2.0)], "g string, ticker string, v double")
+    for ranked in (ranking.percent_ranks(df, ["g"], {"r": "v"}), ranking.ntile(df, ["g"], "v", ["ticker"], 2, "q"), ranking.positions(df, ["g"], ["v"], "at", "size")):
+        plan = ranked._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and "slices-" not in plan, plan
+
+
 def test_no_look_ahead(spark, market):
     px, facts, members = market
     joined = signals.with_fundamentals(signals.technicals(px), facts, members)
