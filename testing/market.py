@@ -22,6 +22,7 @@ from signalloom.plans.fundamentals import (
     REVENUE_TAGS,
     SHARES_TAG,
 )
+from signalloom.session import stage
 from signalloom.sources.landing import normalise_universe, trading_sessions
 
 _PRICE = "l_extendedprice / l_quantity"
@@ -153,25 +154,36 @@ class Market:
         """Figures per key, year and report: three quarters and the year. Besides the original
         (version '') there is a restatement of some years and, for some, an unrelated form."""
         cents = "cast(round(l_extendedprice * 100) as bigint)"
-        sums = (
+        summed = [F.sum(c).alias(c) for c in ("cents", "margin", "units")]
+        # Whole numbers, so a year is the sum of its quarters.
+        quarters = (
             self._lines.selectExpr(
                 "key",
                 "year(date) AS year",
-                """explode(if(quarter(date) = 4, array('FY'),
-                              array(concat('Q', quarter(date)), 'FY'))) AS fp""",
+                "quarter(date) AS quarter",
                 f"{cents} AS cents",
                 f"{cents} * (10 - cast(round(l_discount * 100) as bigint)) AS margin",
                 "cast(l_quantity as bigint) AS units",
             )
+            .groupBy("key", "year", "quarter")
+            .agg(*summed)
+        )
+        sums = (
+            quarters.selectExpr(
+                "key",
+                "year",
+                """explode(if(quarter = 4, array('FY'),
+                              array(concat('Q', quarter), 'FY'))) AS fp""",
+                "cents",
+                "margin",
+                "units",
+            )
             .where("fp <> 'FY' OR year <= 2000")
             .groupBy("key", "year", "fp")
-            .agg(
-                F.expr("sum(cents)").alias("cents"),
-                F.expr("sum(margin)").alias("margin"),
-                F.expr("sum(units)").alias("units"),
-            )
+            .agg(*summed)
         )
-        return sums.selectExpr(
+        # Headers and facts read the figures, so the lines are summed once for both.
+        return stage(sums, "figures").selectExpr(
             "*",
             """last_day(make_date(year, if(fp = 'FY', 12, 3 * cast(substring(fp, 2, 1) as int)), 1))
                AS period_end""",
