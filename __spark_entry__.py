@@ -67,9 +67,14 @@ def _stored_prices(m: Market) -> DataFrame:
     return stage(_prices(m), "prices")
 
 
-def _reported_signals(m: Market) -> DataFrame:
-    """Signals for reports that look up their month ends first."""
-    return signals.daily_signals(_stored_prices(m), _fundamentals(m), m.universe)
+def _reported_signals(m: Market) -> tuple[DataFrame, DataFrame]:
+    """Signals for reports of some days, and the member prices that tell which days there are.
+
+    A signal is a price of a member, so the days are looked up without scoring any.
+    """
+    prices = _stored_prices(m)
+    members = prices.join(m.universe.select("ticker"), "ticker", "left_semi")
+    return signals.daily_signals(prices, _fundamentals(m), m.universe), members
 
 
 def _joined(m: Market, strategy: str = "interval") -> DataFrame:
@@ -191,13 +196,18 @@ def q_daily_signals_sliced(m: Market) -> DataFrame:
 
 
 def q_todays_signals(m: Market) -> DataFrame:
-    # The report reads its table three times, so the signals are stored first, as in a pipeline.
-    report = analysis.todays_signals(stage(_signals(m), "signals"), m.universe)
+    # The report reads its table three times, so what it reads of the signals is stored first.
+    scored, members = _reported_signals(m)
+    latest = members.agg(F.max("date").alias("d")).first()["d"]
+    if latest is not None:
+        scored = analysis.report_rows(scored, latest, [latest]).drop("whole")
+    report = analysis.todays_signals(stage(scored, "signals"), m.universe, latest=latest)
     return rounded(report, 6, "ma_200", "earnings_yield", "roe", "momentum_12_1")
 
 
 def _validation(m: Market, strategy: str = "window") -> DataFrame:
-    return analysis.signal_validation(_reported_signals(m), strategy=strategy)
+    scored, members = _reported_signals(m)
+    return analysis.signal_validation(scored, days=analysis.month_ends(members), strategy=strategy)
 
 
 def q_signal_validation(m: Market) -> DataFrame:
@@ -215,8 +225,9 @@ def q_quintile_spread(m: Market) -> DataFrame:
 
 
 def q_sector_heatmap(m: Market) -> DataFrame:
+    scored, members = _reported_signals(m)
     return rounded(
-        analysis.sector_heatmap(_reported_signals(m)), 6,
+        analysis.sector_heatmap(scored, analysis.month_ends(members)), 6,
         "buy_share", "sell_share", "net_buy_share", "avg_composite_score",
     )
 
@@ -254,7 +265,7 @@ def q_load_health(m: Market) -> DataFrame:
 def q_range_replace(m: Market) -> DataFrame:
     """Load all days, then a month again with other rows and without one of its days."""
     path = fresh_path(m.spark, "prices")
-    prices, (first, last) = _prices(m), m.days
+    prices, (first, last) = _stored_prices(m), m.days
     writers.replace_range(prices, path, first, last)
     month = first.replace(day=1).replace(year=first.year + 3)
     until = month.replace(day=28)
@@ -289,7 +300,7 @@ def q_technicals_step(m: Market) -> DataFrame:
     """Technicals of all days by carried state: two long ranges, then single days at the end."""
     w = Warehouse(m.spark, fresh_path(m.spark, "carried"))
     first, last = m.days
-    writers.replace_range(_prices(m), w.path("clean/prices"), first, last)
+    writers.replace_range(_stored_prices(m), w.path("clean/prices"), first, last)
     ends = [first + (last - first) // 2, *(last - timedelta(days=k) for k in (2, 1, 0))]
     parts, start = [], first
     for end in ends:
@@ -447,7 +458,9 @@ def q_all_extracts(m: Market) -> DataFrame:
     """All five extracts of a warehouse, read back: a row per figure with its extract and key."""
     w = Warehouse(m.spark, fresh_path(m.spark, "extracts"))
     writers.replace_table(_prices(m), w.path("clean/prices"))
-    w.replace_signals(_signals(m), *m.days)
+    # Ranked by window, each day's rows already sit in one partition.
+    scored = signals.daily_signals(w.prices(), _fundamentals(m), m.universe)
+    w.replace_signals(scored, *m.days, placed=True)
     writers.replace_table(m.universe, w.path("ref/universe"))
     writers.replace_table(m.trading_calendar, w.path("ref/calendar"))
     w.log_load(_log(m, w.prices()), "all")
