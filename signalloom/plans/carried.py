@@ -38,34 +38,14 @@ def _met(state: DataFrame, prices: DataFrame) -> DataFrame:
     )
 
 
-def _block(at: Column, length: int) -> Column:
-    """Sum of the ``length`` closes up to place ``at``."""
-    return F.aggregate(F.slice("_all", at - (length - 2), F.lit(length)), F.lit(0.0), lambda s, x: s + x)
-
-
-def _with_blocks(met: DataFrame, rows: int) -> DataFrame:
-    """Add ``_blocks``, the sums of the blocks that end at each place from ``_from`` on.
-
-    A block is looked up by as many means as a mean has blocks, so a ticker with many new prices adds
-    each up once. With fewer it is NULL: their means take less than the places between them.
-    """
-    length = block_length(rows)
-    first = F.greatest(F.col("_held") - (rows - length), F.lit(length - 1))
-    many = (F.size("_new") >= length) & (F.size("_all") > first)
-    sums = F.transform(F.sequence(first, F.size("_all") - 1), lambda at: _block(at, length))
-    return met.withColumns({"_from": first, "_blocks": F.when(many, sums)})
-
-
 def _mean(at: Column, rows: int) -> Column:
     """Mean of the ``rows`` closes up to place ``at``: sums of blocks, the latest first."""
     length = block_length(rows)
-
-    def total(block) -> Column:
-        found = [block(at - back) for back in range(0, rows, length)]
-        return sum(found[1:], found[0])
-
-    kept = total(lambda end: F.get("_blocks", end - F.col("_from")))
-    return F.when(F.col("_blocks").isNotNull(), kept).otherwise(total(lambda end: _block(end, length))) / rows
+    total = None
+    for back in range(0, rows, length):
+        block = F.aggregate(F.slice("_all", at - (back + length - 2), F.lit(length)), F.lit(0.0), lambda s, x: s + x)
+        total = block if total is None else total + block
+    return total / rows
 
 
 def step(
@@ -81,7 +61,7 @@ def step(
     without a new price keep their state.
     """
     keep = max(lookback, ma - 1)
-    met = _with_blocks(_met(state, prices), ma)
+    met = _met(state, prices)
 
     def figures(x: Column, i: Column) -> Column:
         at = F.col("_held") + i
