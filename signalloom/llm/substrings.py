@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from signalloom.llm.kept import trimmed
 from signalloom.llm.shared import Scratch, batches_of, partitions, table
 from signalloom.llm.words import Words, pieces, windows
 
@@ -41,6 +42,8 @@ SPAN, GRAM = 13, 3
 CELL_BITS, HOT = 18, 16
 #: Words whose windows a bucket sorts at once; the number of buckets follows the corpus.
 BUCKET_WORDS = 500_000
+#: Bytes of a bucket's strings whose words are looked at together.
+CHUNK = 1 << 20
 #: Rows that a worker is handed at a time while windows are gathered.
 BATCH = 2_000
 
@@ -141,22 +144,42 @@ def _packed(batches: Iterator[pa.RecordBatch], hot: np.ndarray, buckets: int) ->
         yield pa.RecordBatch.from_pydict(out, schema=_PACKED)
 
 
+def _joined(packed: pa.ChunkedArray) -> Iterator[bytes]:
+    """Strings of a bucket, those of several rows together until they have ``CHUNK`` bytes."""
+    held, size = [], 0
+    for z in packed:
+        held.append(zstandard.decompress(z.as_py()))
+        size += len(held[-1])
+        if size >= CHUNK:
+            yield b"\n".join(held) + b"\n"
+            held, size = [], 0
+    if held:
+        yield b"\n".join(held) + b"\n"
+
+
+def _of_strings(packed: pa.ChunkedArray) -> tuple[np.ndarray, ...]:
+    """Both hashes of each window, the number of its string and its place there. The words are held a chunk at a time."""
+    out, strings = [], 0
+    for joined in _joined(packed):
+        text = np.frombuffer(joined, dtype=np.uint8)
+        w = Words(text, np.concatenate([[0], np.flatnonzero(text == 10) + 1]))
+        of = np.repeat(np.arange(len(w.first) - 1, dtype=np.int32), np.diff(w.first))
+        at = np.flatnonzero(of[: len(of) - SPAN + 1] == of[SPAN - 1 :])
+        one, two = (windows(w.hashes(seed), SPAN)[at] for seed in (0, 1))
+        out.append((one, two, of[at] + np.int32(strings), (at - w.first[of[at]]).astype(np.int32)))
+        strings += len(w.first) - 1
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
 def _sorted_bucket(key, group):
     """Runs of windows of a bucket that also start in a document with a smaller id."""
-    strings, docs, keys, places = ([zstandard.decompress(x.as_py()) for x in group.column(c)] for c in _PACKED.names[1:])
+    docs, keys, places = ([zstandard.decompress(x.as_py()) for x in group.column(c)] for c in _PACKED.names[2:])
     keys = [k or d for k, d in zip(keys, docs, strict=True)]  # left out where a document is its own key
-    text = np.frombuffer(b"\n".join(strings) + b"\n", dtype=np.uint8)
     docs, keys, places = (np.frombuffer(b"".join(x), dtype=np.int64) for x in (docs, keys, places))
-    w = Words(text, np.concatenate([[0], np.flatnonzero(text == 10) + 1]))
-    begin = w.first
-    of = np.repeat(np.arange(len(docs), dtype=np.int32), np.diff(begin))
-    n = len(of) - SPAN + 1
-    at = np.flatnonzero(of[:n] == of[SPAN - 1 :])
-    one, two = (windows(w.hashes(seed), SPAN)[at] for seed in (0, 1))
-    del w, text, strings
-    doc = docs[of[at]]
+    one, two, of, at = _of_strings(group.column("strings"))
+    doc = docs[of]
     order = np.argsort(one, kind="stable")
-    new = np.ones(len(at), dtype=bool)
+    new = np.ones(len(one), dtype=bool)
     new[1:] = one[order[1:]] != one[order[:-1]]
     other = two[order[1:]] != two[order[:-1]]
     if (other & ~new[1:]).any():  # two windows with one first hash
@@ -165,12 +188,15 @@ def _sorted_bucket(key, group):
     starts = np.flatnonzero(new)
     least = np.minimum.reduceat(doc[order], starts)
     marked = np.zeros(len(of), dtype=bool)
-    marked[at[order]] = np.repeat(least, np.diff(np.append(starts, len(order)))) < doc[order]
+    marked[order] = np.repeat(least, np.diff(np.append(starts, len(order)))) < doc[order]
     together = np.ones(len(of), dtype=bool)
     together[1:] = of[1:] == of[:-1]
     low, high = _runs(marked, together)
-    first = places[of[low]] + low - begin[of[low]]
-    return pa.table({"key": pa.array(keys[of[low]], pa.int64()), "low": pa.array(first, pa.int64()), "high": pa.array(first + high - low + SPAN, pa.int64())})
+    first = places[of[low]] + at[low]
+    out = pa.table({"key": pa.array(keys[of[low]], pa.int64()), "low": pa.array(first, pa.int64()), "high": pa.array(first + high - low + SPAN, pa.int64())})
+    del one, two, of, at, doc, order, new, other, starts, least, marked, together, docs, keys, places
+    trimmed()
+    return out
 
 
 def repeated_words(docs: DataFrame) -> DataFrame:

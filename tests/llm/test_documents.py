@@ -3,10 +3,12 @@
 import collections
 import hashlib
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from cases import SCHEMA, frame, texts
 from tokenizers import Tokenizer
@@ -195,6 +197,35 @@ def test_substring_dedup(docs, monkeypatch, hot):
     assert got == want
 
 
+def packed_bucket(data):
+    """All super-k-mers of ids and texts as the rows of one bucket, a row for each fifty texts."""
+    batches = [pa.RecordBatch.from_pydict({"doc_id": ids, "key": ids, "text": own}) for i in range(0, len(data), 50) for ids, own in [list(zip(*data[i : i + 50], strict=True))]]
+    return pa.Table.from_batches(substrings._packed(iter(batches), np.zeros(1 << substrings.CELL_BITS, dtype=bool), 1))
+
+
+@pytest.mark.parametrize("chunk", [1, 3_000, 1 << 30])
+def test_bucket_in_chunks(monkeypatch, chunk):
+    data = [(d, t) for d, t in texts() if d is not None]
+    want = collections.Counter(map(tuple, substrings._sorted_bucket(None, packed_bucket(data)).to_pandas().to_numpy()))
+    monkeypatch.setattr(substrings, "CHUNK", chunk)
+    got = collections.Counter(map(tuple, substrings._sorted_bucket(None, packed_bucket(data)).to_pandas().to_numpy()))
+    assert got == want
+    assert sum(want.values()) > 50
+
+
+def test_bucket_holds_the_words_of_a_chunk_only():
+    rng = np.random.default_rng(5)
+    data = [(i, " ".join(f"{x:x}" for x in rng.integers(1 << 20, 1 << 40, 500))) for i in range(1_000)]
+    bucket = packed_bucket(data + [(1_000 + i, t) for i, t in data[:100]])
+    tracemalloc.start()
+    out = substrings._sorted_bucket(None, bucket)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    low, high = (out.column(c).to_numpy() for c in ("low", "high"))
+    assert (high - low - 12).sum() == 100 * 488
+    assert peak < 90 * 1_100 * 488  # bytes for each window
+
+
 def test_substring_dedup_leaves_the_rest_as_it_was(docs):
     for r in substrings.without_repeated_words(docs).collect():
         if r["_n_removed"] == 0:
