@@ -27,7 +27,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -239,20 +238,18 @@ def repeated_words(docs: DataFrame) -> DataFrame:
 _CUT = T.StructType([T.StructField("text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())])
 
 
-@F.pandas_udf(_CUT)
-def _cut(text: pd.Series, low: pd.Series, high: pd.Series) -> pd.DataFrame:
-    """The text without its removed words, and figures. White space before a removed word goes with it."""
+def _cut_texts(text: pa.Array, low: pa.Array, high: pa.Array) -> pa.Array:
     out = []
     for t, a, b in zip(text, low, high, strict=True):
-        raw = (t or "").encode()
+        raw = t.as_buffer().to_pybytes() if t.is_valid else b""
         words = raw.split()
-        if a is None or not len(a):
-            out.append((t, len(words), 0, hashlib.sha256(b" ".join(words)).hexdigest()))
+        if not a.is_valid or not len(a.values):
+            out.append((raw if t.is_valid else None, len(words), 0, hashlib.sha256(b" ".join(words)).hexdigest()))
             continue
         edge = np.zeros(len(words) + 1, dtype=np.int64)
         # Rows of one id share their runs, also where another row of it is shorter.
-        np.add.at(edge, np.minimum(a, len(words)), 1)
-        np.add.at(edge, np.minimum(b, len(words)), -1)
+        np.add.at(edge, np.minimum(a.values.to_numpy(), len(words)), 1)
+        np.add.at(edge, np.minimum(b.values.to_numpy(), len(words)), -1)
         keep = np.cumsum(edge[:-1]) == 0
         w = Words(np.frombuffer(raw, dtype=np.uint8), np.array([0, len(raw)]))
         x, y = _runs(keep, np.ones(len(keep), dtype=bool))
@@ -260,8 +257,20 @@ def _cut(text: pd.Series, low: pd.Series, high: pd.Series) -> pd.DataFrame:
         ends = np.where(y == len(keep) - 1, len(raw), w.ends[y]).tolist()
         left = b"".join([raw[i:j] for i, j in zip(begins, ends, strict=True)])
         kept = b" ".join([v for v, k in zip(words, keep.tolist(), strict=True) if k])
-        out.append((left.decode(), len(words), int(len(words) - keep.sum()), hashlib.sha256(kept).hexdigest()))
-    return pd.DataFrame(out, columns=_CUT.names)
+        out.append((left, len(words), int(len(words) - keep.sum()), hashlib.sha256(kept).hexdigest()))
+    columns = list(zip(*out, strict=True)) or [[]] * len(_CUT)
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.string()]
+    return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], _CUT.names)
+
+
+@F.arrow_udf(_CUT)
+def _cut(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """The text without its removed words, and figures. White space before a removed word goes with it."""
+    for text, low, high in batches:
+        yield _cut_texts(text, low, high)
+        del text, low, high
+        trimmed()
+    trimmed()
 
 
 def without_repeated_words(docs: DataFrame) -> DataFrame:
