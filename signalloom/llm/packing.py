@@ -27,6 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from signalloom.llm.kept import released
 from signalloom.llm.shared import Scratch, batches_of, table
 from signalloom.llm.tokens import WORD, encoder
 from signalloom.llm.words import pieces
@@ -153,6 +154,8 @@ def token_pieces(docs: DataFrame, path: str, kind: str = WORD, end: int = END, c
             columns = list(zip(*out, strict=True))
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "task", "nth"])
+        del own
+        released()  # a worker may idle beside others of the executor from here on
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, schema)
 

@@ -1,9 +1,11 @@
 """Operators on documents against plain versions, on awkward cases."""
 
 import collections
+import gc
 import hashlib
 import re
 import tracemalloc
+import weakref
 import zlib
 
 import numpy as np
@@ -13,7 +15,7 @@ import pytest
 from cases import SCHEMA, frame, texts
 from tokenizers import Tokenizer
 
-from signalloom.llm import bpe, jaccard, lines, packing, quality, substrings, suffixes, tokenfile
+from signalloom.llm import bpe, jaccard, kept, lines, packing, quality, substrings, suffixes, tokenfile, tokens
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -226,6 +228,16 @@ def test_bucket_holds_the_words_of_a_chunk_only():
     assert peak < 90 * 1_100 * 488  # bytes for each window
 
 
+def test_released_lets_go_of_encoders():
+    gc.disable()
+    try:
+        gone = weakref.ref(tokens.encoder(public_tokenizers.path("word_bpe_49k.json"), packing.WORD))
+        kept.released()
+        assert gone() is None
+    finally:
+        gc.enable()
+
+
 def test_substring_dedup_leaves_the_rest_as_it_was(docs):
     for r in substrings.without_repeated_words(docs).collect():
         if r["_n_removed"] == 0:
